@@ -62,4 +62,16 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM x GROUP BY rid, doc_id
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_mixing": OP3, "op5_exact_dedup": OP5, "op10_line_dedup": OP10}
+OP4 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS et, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS er FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(8 + length(er) + 1 + length(et) + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+SQL = {"op4_chat_format": OP4, "op1_quality_rules": OP1, "op3_mixing": OP3, "op5_exact_dedup": OP5, "op10_line_dedup": OP10}

@@ -1,24 +1,58 @@
-"""The registered queries of the training-data operators, and their SQL."""
+"""The registered queries of the training-data operators."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import exact_dedup, line_dedup, mixing, quality_rules
+from lexmill.llm import chat, exact_dedup, html_text, licences, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash
 from lexmill.session import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: A conversation whose texts hold control strings of common templates.
+TRICKY = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.prefix_trees(said.unionByName(tricky)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_stream(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.with_licences(docs, "found").withColumn("n_words", licences.n_words())
+    return found.select("doc_id", "n_words", *[F.col(f"found.{c}") for c in ("n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs, lines="n_lines", dropped="n_dropped")
@@ -26,10 +60,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mixing, op5_exact_dedup, op10_line_dedup)}
+    found = (op1_quality_rules, op2_packing, op3_mixing, op4_chat_format, op5_exact_dedup, op6_simhash, op7_html_text, op8_licences, op9_quality_classifier, op10_line_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexmill.llm import oracles
-
-    return oracles.SQL
+    return dict(oracles.SQL)

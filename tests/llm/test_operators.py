@@ -1,0 +1,274 @@
+"""Operators against their SQL or brute force, on rows full of edge cases."""
+
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from helpers import oracle_rows, rows_of
+
+from lexmill.llm import exact_dedup, html_text, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash
+from lexmill.llm.oracles import SQL
+from lexmill.llm.queries import TOKENIZER, queries
+from lexmill.storage import materialize
+
+Q = queries()
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_mixing", "op5_exact_dedup", "op10_line_dedup"])
+def test_documents_oracle(spark, edges, name):
+    assert rows_of(Q[name](spark, edges)) == oracle_rows(edges, SQL[name], "documents")
+
+
+def test_conversations_oracle(spark, edges):
+    assert rows_of(Q["op4_chat_format"](spark, edges)) == oracle_rows(edges, SQL["op4_chat_format"], "conversations")
+
+
+@pytest.mark.parametrize("name", sorted(set(Q) - {"op4_chat_format"}))
+def test_empty_tables(spark, nothing, name):
+    assert Q[name](spark, nothing).count() == 0
+
+
+@pytest.mark.parametrize("keep", [quality_rules.keep_documents, line_dedup.dedup_lines, simhash.keep_first, mixing.mix])
+def test_clashing_columns(spark, clashing, keep):
+    out = keep(clashing)
+    assert out.columns == clashing.columns
+    assert all(r["n_words"] == "extra n_words" for r in out.collect())
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+
+
+def slow_fingerprint(text, k=3):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def slow_components(fps):
+    """fps: (id, fingerprint); smallest id that links reach, by trying all pairs."""
+    label = {i: i for i, _ in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in fps:
+            for b, y in fps:
+                if (x ^ y).bit_count() <= 3 and label[b] > label[a]:
+                    label[b] = label[a]
+                    changed = True
+    return label
+
+
+def test_simhash_brute_force(spark, edges):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{edges}/documents.parquet").collect()]
+    fps = [(2**63 - 1 if i is None else i, slow_fingerprint(t)) for i, t in docs]
+    label = slow_components(fps)
+    want = Counter((None if i == 2**63 - 1 else i, f"{f:016x}", label[i] if label[i] != 2**63 - 1 else None) for i, f in fps)
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in Q["op6_simhash"](spark, edges).collect())
+    assert {k for k in got if k[0] != 8} == {k for k in want if k[0] != 8}  # id 8 names two texts: each row has its own fingerprint
+    assert sum(got.values()) == len(docs)
+
+
+def test_simhash_large_buckets(spark):
+    """One cluster of fingerprints a few bits apart, larger than a small bucket and dealt in chunks, and a chain."""
+    import random
+
+    rng = random.Random(3)
+    center = rng.getrandbits(63)
+    fps = {center}
+    while len(fps) < 300:
+        fps.add(center ^ sum(1 << rng.randrange(63) for _ in range(rng.randrange(1, 5))) & (2**63 - 1))
+    chain = [rng.getrandbits(62)]
+    for i in range(20):
+        chain.append(chain[-1] ^ (7 << 3 * i))
+    far = {rng.getrandbits(63) for _ in range(200)}
+    numbered = list(enumerate([*fps, *chain, *far]))
+    rows = materialize(spark.createDataFrame([(i, 0, f) for i, f in numbered], "did long, th long, fp long"), "fps")
+    label = slow_components(numbered)
+    for limits in ({}, {"small": 2, "chunk": 16}):
+        got = {r["did"]: r["component"] for r in simhash.with_components(rows, **limits).collect()}
+        assert got == label
+
+
+def test_fingerprint_in_pieces(monkeypatch):
+    text = "Some words  and MORE words\nthat go on " * 50
+    whole = simhash.fingerprint(text.encode())
+    assert whole % 2**64 == slow_fingerprint(text)
+    for n in (1, 7, 64):
+        monkeypatch.setattr(simhash, "PIECE", n)
+        assert simhash.fingerprint(text.encode()) == whole
+
+
+def test_packing_brute_force(spark, edges):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(TOKENIZER)
+    docs = spark.read.parquet(f"{edges}/documents.parquet").collect()
+    want = Counter()
+    for r in docs:
+        ids = slow.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        cuts = list(range(len(ids), 0, -1024))[::-1]
+        for piece, (a, b) in enumerate(zip([0, *cuts], cuts, strict=False)):
+            want[r["doc_id"], piece, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))] += 1
+    got = Q["op2_packing"](spark, edges).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    least = -(-sum(r["length"] for r in got) // 1024)
+    assert len(sequences) <= least + 2
+
+
+def test_packing_plan_uses_everything():
+    import random
+
+    rng = random.Random(1)
+    lengths = Counter(min(1023, int(rng.expovariate(1 / 300)) + 1) for _ in range(20_000))
+    planned = packing.plan(lengths, 1024)
+    used = Counter()
+    for parts, n in planned:
+        assert sum(parts) <= 1024 and n > 0
+        for p in parts:
+            used[p] += n
+    assert used == lengths
+    assert sum(n for _, n in planned) <= 1.005 * sum(k * n for k, n in lengths.items()) / 1024 + 1
+    three = [(p, n) for p, n in planned if len(p) <= 3 and sum(p) == 1024]
+    assert sum(n for _, n in three) > 0.5 * sum(n for _, n in planned)
+
+
+def test_special_token_text(spark):
+    from tokenizers import Tokenizer
+
+    from lexmill.llm.tokens import encoder
+
+    slow = Tokenizer.from_file(TOKENIZER)
+    for text in ("a <|endoftext|> b", "plain\n\n  text's", "ünï \U0001f600\r\n\t x", " " * 30 + "1234567"):
+        assert list(encoder(TOKENIZER)(text)) == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_mixing_meets_targets(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "array_join(array_repeat('w', cast(id % 40 AS int)), ' ') AS text", "concat('s', id % 4) AS source")
+    got = mixing.mix_table(rows).collect()
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    by = defaultdict(lambda: [0, 0.0])
+    for r in got:
+        by[r["source_size"], r["target"]][0] += r["taken"]
+    for (_, target), (taken, _) in by.items():
+        assert abs(taken - target) <= 0.05 * target
+    assert sorted(got) == sorted(mixing.mix_table(rows).collect())
+    mixed = Counter(r["doc_id"] for r in mixing.mix(rows).collect())
+    assert mixed == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
+
+
+def test_exact_dedup_resumes(spark, tmp_path):
+    """A second call with one folder only reads new files and moves the kept copy to the longer text."""
+    docs = tmp_path / "documents.parquet"
+    first = spark.createDataFrame([(1, "a b"), (2, "x")], "doc_id long, text string").coalesce(1)
+    first.write.parquet(str(docs))
+    folder = str(tmp_path / "state")
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.dedup_stream(spark, str(docs), folder).collect()} == {(1, 1, 1), (2, 2, 1)}
+    spark.createDataFrame([(0, "ab"), (3, "a  b"), (4, "x")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(docs))
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup_stream(spark, str(docs), folder, max_bytes=1).collect()}
+    assert got == {(0, 3, 3, False), (1, 3, 3, False), (3, 3, 3, True), (2, 2, 2, True), (4, 2, 2, False)}
+
+
+def test_line_dedup_hot_and_ranged_agree(spark, edges):
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    rows = materialize(line_dedup.line_rows(docs, "text", "doc_id", 5), "rows")
+    for n in (2, 3, 4):
+        ranged = sorted(map(tuple, line_dedup.dropped_lines(rows, n, hot_items=1).collect()))
+        key = {(r["h1"], r["h2"]): set() for r in rows.collect()}
+        for r in rows.collect():
+            key[r["h1"], r["h2"]].add(r["did"])
+        want = sorted((r["did"], r["th"], r["pos"]) for r in rows.collect() if len(key[r["h1"], r["h2"]]) >= n and r["did"] < max(key[r["h1"], r["h2"]]))
+        assert ranged == want
+        assert sorted(map(tuple, line_dedup.dropped_lines(rows, n, hot_items=1000).collect())) == want
+
+
+def slow_licence(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    places = [(i, label) for phrase, label in licences.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    return len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_licences_base(spark, edges):
+    extra = ["under the MIT license, under the mit-license under the mit license", "cc by nc CC BY NC", "Apache License, Version 2.0", "apache license version 2" * 2, "sunder the mit license", "under the mit licensex", "É cc, by (nc)"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(extra)], "doc_id long, text string").unionByName(spark.read.parquet(f"{edges}/documents.parquet").select("doc_id", "text"))
+    got = Counter((r["doc_id"], r["n_words"], r["found"]["n_base"], r["found"]["first_word"], r["found"]["last_word"], r["found"]["base_labels"]) for r in licences.with_licences(docs, "found").withColumn("n_words", licences.n_words()).collect())
+    assert got == Counter((r["doc_id"], *slow_licence(r["text"])) for r in docs.collect())
+
+
+def test_licence_rules():
+    def labels(text):
+        return licences._scan(text)[4]
+
+    assert labels("This work is licensed under the GNU General Public License, version 3.") == "gpl-3"
+    assert labels("Licensed under the Apache License, Version 2.0.") == "apache-2"
+    assert labels("Released under the MIT license.") == "mit"
+    assert labels("Licensed under CC BY-NC-SA 4.0") == "cc-by-nc,cc-by-nc-sa"  # the base phrase stays
+    assert labels("SPDX-License-Identifier: BSD-3-Clause") == "bsd-3"
+    assert labels("we talked about licences and the river") == ""
+    assert len(licences.rules()) > 200
+    for pattern, *_, keywords in licences.rules():
+        assert keywords, pattern.pattern
+
+
+PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header class=top>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
+<div class="cookie-notice">We use cookies</div>{body}<aside>more</aside><section id=comments><article>me too</article></section><form><p>mail</p></form><footer>&copy; us</footer></body></html>"""
+
+
+def test_html_article():
+    got = html_text.extract(PAGE.format(body="<article><h1>Head &amp; tail</h1><p>First\n  part<br>of it<p>Second <b>bold</b>&nbsp;one</p><div class=ad>Buy</div><ul><li>x</li><li>y</li></ul><script>x</script><p>Ok.</article>"), dict(html_text.PLAIN))
+    assert got == "Head & tail\n\nFirst part of it\n\nSecond bold one\n\nx\n\ny\n\nOk."
+
+
+def test_html_without_article():
+    text = " ".join(["long sentence of the story"] * 10)
+    got = html_text.extract(PAGE.format(body=f"<div><div class=links><a href=1>One link here</a></div></div><div id=x><h2>Title</h2><p>{text}</p><p>{text}</p><p>End</p></div>"), dict(html_text.PLAIN))
+    assert got == f"Title\n\n{text}\n\n{text}\n\nEnd"
+
+
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("just words &lt;b&gt; here", "just words <b> here"), ("<p>unclosed", "unclosed"), ("<div class='ad'>x<article>kept</article>", "kept"), ("<article><p title=\"a>b\">say 'it'</p></article>", "say 'it'"), ("<!-- <article>no</article> --><article>yes</article>", "yes"), ("a < b", "a < b")])
+def test_html_edges(page, text):
+    assert html_text.extract(page, dict(html_text.PLAIN)) == text
+
+
+def test_html_on_pages(spark):
+    """Held-out pages: the whole article, and nothing else."""
+    import html as entities
+
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in html_text.main_text(pages).collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
+        assert r["text"] == "\n\n".join(b for b in blocks if b)
+    assert pages.select(F.count("*")).first()[0] == 50
+
+
+def test_classifier_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    train, test = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
+    scored = quality_classifier.score(docs, train).join(test, "doc_id").collect()
+    right = sum(r["kept"] == bool(r["quality"]) for r in scored) / len(scored)
+    good = [r["kept"] for r in scored if r["quality"]]
+    assert right > 0.9
+    assert sum(good) / len(good) > 0.97
+
+
+def test_classifier_without_labels(spark, edges):
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_classifier.score(docs, labels).collect()
+    assert len(got) == docs.count()
+    assert all(r["kept"] and r["score"] == 0.5 for r in got)
