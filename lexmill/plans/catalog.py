@@ -1,9 +1,13 @@
 """All registered queries of the library outside the training-data subpackage."""
 
+from lexmill.plans import corpus_plans, retrieval_plans, review_plans, store_plans
+
+MODULES = (retrieval_plans, corpus_plans, review_plans, store_plans)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
