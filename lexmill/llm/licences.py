@@ -104,13 +104,24 @@ COMMON = {"the", "of", "and", "to", "is", "are", "an", "in", "or", "you", "under
 HINT = r"(?i)licen[cs]|copyright|spdx|permission|redistribution|rights|public domain|commercial|unencumbered|publicdomain|opensource|endorse|(?:released|distributed|published|available|provided|offered|redistributed|terms)|(?<![0-9A-Za-z\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 
-def _keywords(pattern: str) -> frozenset[str]:
-    """Literal words outside groups and options of which one must occur: the rarest kind is the longest, so one is enough."""
-    flat = pattern
-    while (less := re.sub(r"\((?:\?:)?[^()]*\)\??", " ? ", flat)) != flat:
-        flat = less
-    found = [w for w in flat.split() if re.fullmatch(r"[a-z]{3,}", w) and w not in COMMON]
-    return frozenset([max(found, key=len)]) if found else frozenset()
+def _without_groups(pattern: str, group: str) -> str:
+    """The pattern with every group of the kind replaced by a space, inner ones first."""
+    while (less := re.sub(group, " ", pattern)) != pattern:
+        pattern = less
+    return pattern
+
+
+def _longest(pattern: str) -> str:
+    return max((w for w in re.findall(r"(?<![\w\[])[a-z0-9]{2,}(?![\w\[?])", pattern) if w not in COMMON), key=len, default="")
+
+
+def _keywords(name: str) -> frozenset[str]:
+    """Words of which one must occur where the name does: its longest literal word, else one of each alternative of its group."""
+    needed = _without_groups(name, r"\(\?:[^()]*\)\?")
+    if word := _longest(_without_groups(needed, r"\(\?:[^()]*\)")):
+        return frozenset([word])
+    inner = _without_groups(needed.strip().removeprefix("(?:"), r"\(\?:[^()]*\)")
+    return frozenset(w for part in inner.split("|") if (w := _longest(part)))
 
 
 @functools.cache
@@ -121,9 +132,9 @@ def rules() -> list[tuple[re.Pattern, str, int, float, frozenset[str]]]:
         for form, priority, confidence in FORMS:
             for name in [tag] if "identifier" in form else names:
                 if "dedicated" not in form or label in ("public-domain", "cc0"):
-                    out.append((form.format(f"(?:{name})"), label, priority, confidence))
-    out += TEXTS
-    return [(re.compile(rf"(?<!\S){p}(?!\S)"), label, priority, confidence, _keywords(p)) for p, label, priority, confidence in out]
+                    out.append((form.format(f"(?:{name})"), label, priority, confidence, _keywords(name)))
+    out += [(p, label, priority, confidence, _keywords(p)) for p, label, priority, confidence in TEXTS]
+    return [(re.compile(rf"(?<!\S){p}(?!\S)"), *rest) for p, *rest in out]
 
 
 @functools.cache

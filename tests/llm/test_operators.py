@@ -49,13 +49,13 @@ def slow_fingerprint(text, k=3):
 
 
 def slow_components(fps):
-    """fps: (id, fingerprint); smallest id that links reach, by trying all pairs."""
-    label = {i: i for i, _ in fps}
+    """fps: (id, fingerprint) rows; of each row the smallest id that links reach, by trying all pairs."""
+    label = [i for i, _ in fps]
     changed = True
     while changed:
         changed = False
-        for a, x in fps:
-            for b, y in fps:
+        for a, (_, x) in enumerate(fps):
+            for b, (_, y) in enumerate(fps):
                 if (x ^ y).bit_count() <= 3 and label[b] > label[a]:
                     label[b] = label[a]
                     changed = True
@@ -63,13 +63,11 @@ def slow_components(fps):
 
 
 def test_simhash_brute_force(spark, edges):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{edges}/documents.parquet").collect()]
-    fps = [(2**63 - 1 if i is None else i, slow_fingerprint(t)) for i, t in docs]
-    label = slow_components(fps)
-    want = Counter((None if i == 2**63 - 1 else i, f"{f:016x}", label[i] if label[i] != 2**63 - 1 else None) for i, f in fps)
-    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in Q["op6_simhash"](spark, edges).collect())
-    assert {k for k in got if k[0] != 8} == {k for k in want if k[0] != 8}  # id 8 names two texts: each row has its own fingerprint
-    assert sum(got.values()) == len(docs)
+    none = 2**63 - 1
+    fps = [(none if r["doc_id"] is None else r["doc_id"], slow_fingerprint(r["text"])) for r in spark.read.parquet(f"{edges}/documents.parquet").collect()]
+    known = lambda i: None if i == none else i
+    want = Counter((known(i), f"{f:016x}", known(x)) for (i, f), x in zip(fps, slow_components(fps), strict=True))
+    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in Q["op6_simhash"](spark, edges).collect()) == want
 
 
 def test_simhash_large_buckets(spark):
@@ -87,7 +85,7 @@ def test_simhash_large_buckets(spark):
     far = {rng.getrandbits(63) for _ in range(200)}
     numbered = list(enumerate([*fps, *chain, *far]))
     rows = materialize(spark.createDataFrame([(i, 0, f) for i, f in numbered], "did long, th long, fp long"), "fps")
-    label = slow_components(numbered)
+    label = dict(enumerate(slow_components(numbered)))
     for limits in ({}, {"small": 2, "chunk": 16}):
         got = {r["did"]: r["component"] for r in simhash.with_components(rows, **limits).collect()}
         assert got == label
