@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Phrases of a refusal.
-REFUSALS = ("i don't know", "i do not know", "cannot answer", "can't answer", "not enough information", "no relevant information", "无法回答", "没有找到")
+REFUSALS = ("知识库中未找到", "未找到相关信息", "没有找到相关信息", "无法从参考资料", "无法根据参考资料", "insufficient information", "not enough information", "cannot answer", "can't answer")
 METRICS = ("hit_at_1", "hit_at_3", "rr", "recall")
 
 

@@ -117,13 +117,45 @@ def overlay(facts: DataFrame, stored: DataFrame, key: str, fields: list[str]) ->
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in facts.columns])
 
 
-def apply_action(action: Column, original: Column, given: Column, n_evidence: Column) -> Column:
-    """Struct(state, effective_value) after a user's action on a fact."""
-    state = (
-        F.when((action == "confirm") & (n_evidence == 0) & ~usable(original), "unreviewed").when(action == "confirm", "confirmed").when((action == "edit") & usable(given), "edited").when(action == "reject", "rejected").when(action == "defer", "deferred").when(action == "mark_missing", "confirmed_missing").otherwise("unreviewed")
+def apply_action(action: Column, status: Column, original: Column, given: Column, n_evidence: Column, in_document: Column) -> Column:
+    """Struct(state, effective_value, source, error) after a user's action on a fact.
+
+    Confirming needs a confirmed status, a usable value and evidence; a correction must be found in the document, a
+    supplement only needs a value. A failed action leaves the fact unreviewed and says why.
+    """
+    error = (
+        F.when((action == "confirm") & ((status != "confirmed") | ~usable(original) | (n_evidence == 0)), "confirm_without_evidence")
+        .when(action.isin("correct", "supplement") & ~usable(given), "value_required")
+        .when((action == "correct") & ~in_document, "correction_evidence_not_found")
+        .when(~action.isin("confirm", "correct", "supplement", "not_applicable", "defer"), "unknown_action")
     )
-    effective = F.when(state == "confirmed", original).when(state == "edited", given)
-    return F.struct(state.alias("state"), effective.alias("effective_value"))
+    ok = error.isNull()
+    state = F.when(~ok, "unreviewed").when(action == "confirm", "confirmed").when(action == "correct", "corrected").when(action == "supplement", "supplemented").when(action == "not_applicable", "not_applicable").otherwise("deferred")
+    value = F.when(ok & (action == "confirm"), original).when(ok & action.isin("correct", "supplement"), given)
+    source = F.when(ok & action.isin("confirm", "correct"), "contract").when(ok & (action == "supplement"), "user").otherwise("none")
+    return F.struct(state.alias("state"), value.alias("effective_value"), source.alias("source"), error.alias("error"))
+
+
+def articles(lines: DataFrame, doc: str, order: str, text: str, chapter: Column, section: Column, article: Column) -> DataFrame:
+    """A row an article: doc, ordinal, label, chapter, section, text; a document's other lines make its article 0.
+
+    chapter, section and article say whether a line is such a heading. A chapter ends the section before it; any heading
+    ends an article. Blank lines at the ends of a text go; a preamble of blank lines only is no article.
+    """
+    w = Window.partitionBy(doc).orderBy(order)
+    kind = F.when(chapter, "c").when(section, "s").when(article, "a")
+    df = lines.withColumn("_k", kind)
+    df = df.withColumn("_g", F.count("_k").over(w)).withColumn("_c", F.count_if(F.col("_k") == "c").over(w))
+    last = lambda k, over: F.last(F.when(F.col("_k") == k, F.trim(text)), ignorenulls=True).over(over)
+    in_chapter = Window.partitionBy(doc, "_c").orderBy(order)
+    df = df.withColumn("_chapter", last("c", w)).withColumn("_section", last("s", in_chapter)).withColumn("_kind", F.last("_k", ignorenulls=True).over(w))
+    df = df.filter(F.col("_k").isNull() | (F.col("_k") == "a")).withColumn("_g", F.when(F.col("_kind") == "a", F.col("_g")).otherwise(0))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n")
+    first = lambda c: F.when(F.col("_g") > 0, F.min_by(c, order))
+    grouped = df.groupBy(doc, "_g").agg(joined.alias("text"), first(text).alias("label"), first("_chapter").alias("chapter"), first("_section").alias("section"))
+    grouped = grouped.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\A(?:[^\S\n]*\n)+", ""), r"(?:\n[^\S\n]*)+\z", "")).filter(F.trim("text") != "")
+    ordinal = F.when(F.col("_g") == 0, 0).otherwise(F.count_if(F.col("_g") > 0).over(Window.partitionBy(doc).orderBy("_g")))
+    return grouped.select(doc, ordinal.alias("ordinal"), "label", "chapter", "section", "text")
 
 
 def ordered_distinct(df: DataFrame, by: str, value: str, order: str) -> DataFrame:

@@ -110,6 +110,8 @@ SQL = {
     "fixed_chunk_rows": f"WITH {CHUNKS} SELECT doc_id, chunk_index, start, md5(chunk) AS chunk_md5 FROM c",
     "chunk_stats": f"WITH {CHUNKS}, p AS (SELECT doc_id, count(*) AS n, sum(length(chunk))::BIGINT AS chars FROM c GROUP BY doc_id) SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_chunks, min(n) AS min_chunks, max(n) AS max_chunks, round(avg(n), 6) AS mean_chunks, ceil(sum(n) / 12.0)::BIGINT AS n_batches, sum(chars)::BIGINT AS chunk_chars FROM p",
     "point_rows": f"WITH {CHUNKS} SELECT doc_id, chunk_index, doc_id || '#' || chunk_index AS chunk_id, sha1(doc_id || '#' || chunk_index) AS name_sha1, sha256(chunk) AS sha256 FROM c",
+    "point_ids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('legal-corpus/' || doc_id)) AS s FROM documents)
+      SELECT doc_id, concat_ws('-', substr(s, 1, 8), substr(s, 9, 4), '5' || substr(s, 14, 3), printf('%02x', (('0x' || substr(s, 17, 2))::INT & 63) | 128) || substr(s, 19, 2), substr(s, 21, 12)) AS point_id FROM h""",
     "html_strip": "SELECT page_id, md5(trim(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'))) AS text_md5 FROM pages",
     "page_titles": r"WITH p AS (SELECT page_id, coalesce(regexp_replace(url, '[?#].*$', ''), '') AS u FROM pages), s AS (SELECT *, regexp_extract(u, '([^/]*)$', 1) AS f, replace(u, '/en/', '/data/') AS r FROM p) SELECT page_id, CASE WHEN regexp_matches(f, '^.+\.[^.]*$') THEN regexp_replace(f, '\.[^.]*$', '') ELSE f END AS title, CASE WHEN strpos(r, '/data/') > 0 THEN substr(r, strpos(r, '/data/') + 6) ELSE r END AS shown FROM s",
     "page_quality": f"""WITH {D}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '(\\n\\s*)+$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '(\\n\\s*)+$', ''), chr(10)), 1) AS page_no FROM d),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import conversation as C
 from lexmill.operators import evaluation as E
 from lexmill.operators import governance as G
+from lexmill.operators import labor_rules as L
 from lexmill.operators import review as V
 from lexmill.session import table
 
@@ -73,10 +74,35 @@ def fact_statuses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def confirmation_states(spark: SparkSession, sf: str) -> DataFrame:
-    actions = F.array(*[F.lit(x) for x in ("confirm", "edit", "reject", "defer", "mark_missing")])
+    actions = F.array(*[F.lit(x) for x in ("confirm", "correct", "supplement", "not_applicable", "defer")])
     e = table(spark, sf, "events").withColumn("action", F.get(actions, (F.col("user_id") % 5).cast("int")))
-    r = V.apply_action(F.col("action"), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.lit("given")), F.col("event_id") % 3)
-    return e.withColumn("r", r).groupBy("action", F.col("r.state").alias("state")).agg(F.count("*").alias("n"), F.count("r.effective_value").alias("n_values"))
+    status = F.when(F.col("event_id") % 4 > 0, "confirmed").otherwise("needs_confirmation")
+    r = V.apply_action(F.col("action"), status, F.col("event_type"), F.when(F.col("event_id") % 2 == 0, F.lit("given")), F.col("event_id") % 3, F.col("event_id") % 5 > 0)
+    return e.withColumn("r", r).groupBy("action", "r.state", "r.source", "r.error").agg(F.count("*").alias("n"), F.count("r.effective_value").alias("n_values"))
+
+
+def article_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Shouted lines are chapters, lines of symbols sections, and lines that start with The articles."""
+    line = F.col("line")
+    found = V.articles(_lines(spark, sf), "doc_id", "line_no", "line", line.contains("!!"), line.contains("$$$"), line.startswith("The "))
+    return found.select("doc_id", F.col("ordinal").cast("int").alias("ordinal"), F.md5("label").alias("label_md5"), F.md5("chapter").alias("chapter_md5"), F.md5("section").alias("section_md5"), F.md5("text").alias("text_md5"))
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as reviews and their lines as facts; the wording is picked by the lines' numbers."""
+    pick = lambda key, *options: F.get(F.array(*[F.lit(x) for x in options]), (F.col(key) % len(options)).cast("int"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("review_id"), F.col("l_linenumber").alias("fact_id"), pick("l_partkey", "社会保险", "工时休假", "劳动报酬", "竞业", "期限").alias("category"),
+        pick("l_suppkey", "加班", "试用期", "salary", "社会保险", "other", "甲方").alias("name"), pick("l_partkey", "自愿放弃缴纳社会保险", "无偿加班", "面议", "两年", "试用期超过六个月").alias("value"),
+    )
+
+
+def rule_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return L.findings(_facts(spark, sf)).select("review_id", "rule_id", "finding_type", "risk_level", "query")
+
+
+def scope_check(spark: SparkSession, sf: str) -> DataFrame:
+    return L.in_scope(_facts(spark, sf))
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,13 +194,16 @@ def percentile_linear(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        governance_filter, constraint_errors, status_histogram, field_pending_counts, private_key_rows, rule_alias_join, missing_required, contradictions, fact_statuses, confirmation_states, clause_segments, heading_types,
+        governance_filter, constraint_errors, status_histogram, field_pending_counts, private_key_rows, rule_alias_join, missing_required, contradictions, fact_statuses, confirmation_states, article_rows, rule_findings, scope_check, clause_segments, heading_types,
         quote_places, batch_plans, prompt_budgets, ordered_distinct, message_scope, legacy_scope, memory_condense, question_answers, context_text, answer_inspection, spotcheck, release_gate, metric_means, percentile_nearest, percentile_linear,
     )
 }
 
 CARD_ROWS = "cards AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', {a}, {r})" for i, a, r in CARDS) + ") t(rule_id, aliases, required))"
 HITS = f"{CARD_ROWS}, hits AS (SELECT doc_id, rule_id FROM documents, cards WHERE len(list_filter(aliases, lambda a: contains(lower(coalesce(text, '')), a))) > 0)"
+FACTS = """facts AS (SELECT l_orderkey AS review_id, l_linenumber AS fact_id, ['社会保险', '工时休假', '劳动报酬', '竞业', '期限'][l_partkey % 5 + 1] AS category, ['加班', '试用期', 'salary', '社会保险', 'other', '甲方'][l_suppkey % 6 + 1] AS name,
+      ['自愿放弃缴纳社会保险', '无偿加班', '面议', '两年', '试用期超过六个月'][l_partkey % 5 + 1] AS value FROM lineitem)"""
+RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', {a}, '{q}', {r})" for i, _, a, q, r in L.CARDS) + ") t(rule_id, aliases, query, required)), conditions AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, '{i}', '{p}', '{k}', '{r}')" for o, (i, p, k, r) in enumerate(L.CONDITIONS)) + ") t(o, rule_id, pattern, kind, risk))"
 SCOPED = "sc AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'contract:' || turn WHEN 1 THEN 'general' END AS scope, CASE WHEN conv_id % 4 = 0 THEN 'contract_review' ELSE 'general' END AS mode, conv_id % 4 = 2 AS legacy FROM conversations)"
 
 SQL = {
@@ -188,9 +217,23 @@ SQL = {
     "missing_required": f"WITH {HITS} SELECT doc_id, rule_id FROM (SELECT DISTINCT doc_id FROM documents), cards WHERE required AND (doc_id, rule_id) NOT IN (SELECT (doc_id, rule_id) FROM hits)",
     "contradictions": "WITH f AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS v FROM orders) SELECT o_orderkey, v IS NOT NULL AND min(v) OVER k <> max(v) OVER k AS contradicted FROM f WINDOW k AS (PARTITION BY o_custkey, o_orderpriority)",
     "fact_statuses": "SELECT CASE WHEN coalesce(event_type, 'view') = 'view' THEN 'missing' WHEN length(coalesce(props, '')) % 3 = 0 OR abs(value) % 1 < 0.65 THEN 'needs_confirmation' ELSE 'extracted' END AS status, count(*) AS n FROM events GROUP BY 1",
-    "confirmation_states": """WITH a AS (SELECT *, ['confirm', 'edit', 'reject', 'defer', 'mark_missing'][user_id % 5 + 1] AS action FROM events),
-      s AS (SELECT action, CASE WHEN action = 'confirm' AND event_id % 3 = 0 AND event_type IS NULL THEN 'unreviewed' WHEN action = 'confirm' THEN 'confirmed' WHEN action = 'edit' AND event_id % 2 = 0 THEN 'edited' WHEN action = 'reject' THEN 'rejected' WHEN action = 'defer' THEN 'deferred' WHEN action = 'mark_missing' THEN 'confirmed_missing' ELSE 'unreviewed' END AS state FROM a)
-      SELECT action, state, count(*) AS n, count(*) FILTER (state IN ('confirmed', 'edited')) AS n_values FROM s GROUP BY ALL""",
+    "confirmation_states": """WITH a AS (SELECT *, ['confirm', 'correct', 'supplement', 'not_applicable', 'defer'][user_id % 5 + 1] AS action FROM events),
+      x AS (SELECT *, CASE WHEN action = 'confirm' AND (event_id % 4 = 0 OR event_type IS NULL OR event_id % 3 = 0) THEN 'confirm_without_evidence' WHEN action IN ('correct', 'supplement') AND event_id % 2 = 1 THEN 'value_required' WHEN action = 'correct' AND event_id % 5 = 0 THEN 'correction_evidence_not_found' END AS error FROM a),
+      s AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'unreviewed' ELSE map {'confirm': 'confirmed', 'correct': 'corrected', 'supplement': 'supplemented', 'not_applicable': 'not_applicable', 'defer': 'deferred'}[action] END AS state FROM x)
+      SELECT action, state, CASE WHEN state IN ('confirmed', 'corrected') THEN 'contract' WHEN state = 'supplemented' THEN 'user' ELSE 'none' END AS source, error, count(*) AS n, count(*) FILTER (state IN ('confirmed', 'corrected', 'supplemented')) AS n_values FROM s GROUP BY ALL""",
+    "article_rows": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+      k AS (SELECT *, CASE WHEN contains(line, '!!') THEN 'c' WHEN contains(line, '$$$') THEN 's' WHEN starts_with(line, 'The ') THEN 'a' END AS k FROM l),
+      g AS (SELECT *, count(k) OVER w AS g, count(*) FILTER (k = 'c') OVER w AS c, last_value(k IGNORE NULLS) OVER w AS kind, last_value(CASE WHEN k = 'c' THEN trim(line) END IGNORE NULLS) OVER w AS chapter FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+      h AS (SELECT *, last_value(CASE WHEN k = 's' THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id, c ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM g),
+      t AS (SELECT doc_id, CASE WHEN kind = 'a' THEN g ELSE 0 END AS g, string_agg(line, chr(10) ORDER BY n) AS text, arg_min(line, n) AS label, min_by(coalesce(chapter, chr(0)), n) AS chapter, min_by(coalesce(section, chr(0)), n) AS section FROM h WHERE k IS NULL OR k = 'a' GROUP BY ALL),
+      r AS (SELECT * REPLACE (regexp_replace(regexp_replace(text, '\A(?:[^\S\n]*\n)+', ''), '(?:\n[^\S\n]*)+\z', '') AS text) FROM t)
+      SELECT doc_id, CASE WHEN g = 0 THEN 0 ELSE count(*) FILTER (g > 0) OVER (PARTITION BY doc_id ORDER BY g) END::INT AS ordinal, CASE WHEN g > 0 THEN md5(label) END AS label_md5, CASE WHEN g > 0 THEN md5(nullif(chapter, chr(0))) END AS chapter_md5, CASE WHEN g > 0 THEN md5(nullif(section, chr(0))) END AS section_md5, md5(text) AS text_md5 FROM r WHERE trim(text) <> ''""",
+    "rule_findings": f"""WITH {FACTS}, {RULES},
+      m AS (SELECT f.*, rule_id, aliases FROM facts f, rules WHERE len(list_filter(aliases, lambda a: contains(lower(category || ' ' || name), lower(a)))) > 0),
+      v AS (SELECT review_id, rule_id, string_agg(value, '；' ORDER BY fact_id, value) AS v FROM m GROUP BY ALL),
+      h AS (SELECT review_id, rule_id, first(kind ORDER BY o) AS finding_type, first(risk ORDER BY o) AS risk_level FROM v JOIN conditions USING (rule_id) WHERE regexp_matches(v, pattern) GROUP BY ALL)
+      SELECT review_id, rule_id, finding_type, risk_level, query FROM (SELECT * FROM h UNION ALL SELECT review_id, rule_id, 'missing_information', 'unconfirmed' FROM (SELECT DISTINCT review_id FROM facts), rules WHERE required AND (review_id, rule_id) NOT IN (SELECT (review_id, rule_id) FROM v)) JOIN rules USING (rule_id)""",
+    "scope_check": f"WITH {FACTS} SELECT review_id, bool_or(regexp_matches(lower(category || ' ' || name || ' ' || value), '劳动|用人单位|试用期|社会保险|social|probation|employment')) AS in_scope FROM facts GROUP BY 1",
     "clause_segments": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
       m AS (SELECT *, line_no // 40 + 1 AS page, (length(line) <= 60 AND regexp_matches(line, '^[A-Z0-9]') AND NOT regexp_matches(line, '\. '))::INT AS h, (trim(line) <> '')::INT AS s FROM l),
       a AS (SELECT *, coalesce(max(s) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM m),
@@ -205,6 +248,8 @@ SQL = {
     "memory_condense": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, count(*) AS n_messages, string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'ai' END || ': ' || left(coalesce(text, ''), 300), chr(10) ORDER BY n) FILTER (n <= 2) AS summary_input FROM n GROUP BY conv_id HAVING count(*) > 6",
     "question_answers": "WITH p AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, md5(text) AS question_md5, md5(a) AS answer_md5 FROM p WHERE role = 'user' AND r = 'assistant' AND trim(text) <> '' AND trim(a) <> ''",
     "context_text": "SELECT conv_id, string_agg('[' || turn || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id",
+    "answer_inspection": r"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS t, list_transform(regexp_extract_all(coalesce(text, ''), '\[(\d{1,9})\]', 1), lambda x: x::INT) AS c FROM conversations WHERE role = 'assistant')
+      SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(lower(t), 'insufficient information|not enough information|cannot answer|can''t answer') THEN 'refusal_answer' END, CASE WHEN len(c) = 0 THEN 'missing_citation' END, CASE WHEN len(list_filter(c, lambda x: x < 1 OR x > 3)) > 0 THEN 'invalid_citation' END, CASE WHEN length(t) < 50 THEN 'short_answer' END, CASE WHEN contains(t, '\n') THEN 'literal_escaped_newlines' END], lambda x: x IS NOT NULL), ',') AS reasons FROM a""",
     "spotcheck": """WITH d AS (SELECT doc_id, n_chars, length(coalesce(text, '')) AS n, coalesce(text, '') AS t FROM documents),
       p AS (SELECT doc_id, 'invalid_citation' AS reason FROM d WHERE contains(t, '###') UNION ALL (SELECT doc_id, 'latency_outlier' FROM d ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 2) UNION ALL (SELECT doc_id, 'shortest_answer' FROM d ORDER BY n, doc_id LIMIT 1) UNION ALL (SELECT doc_id, 'longest_answer' FROM d ORDER BY n DESC, doc_id LIMIT 1))
       SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM p GROUP BY doc_id""",
