@@ -59,7 +59,7 @@ def parquet_roles(spark: SparkSession, folder: str, roles: tuple[str, ...]) -> d
 def front_matter(content: Column, marker: str) -> tuple[Column, Column]:
     """The JSON header of a Markdown file and the body after the marker's line."""
     header = F.regexp_extract(content, r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
-    body = F.trim(F.regexp_extract(content, rf"(?s)(?:\A|\n){marker}[^\n]*\n(.*)\z", 1))
+    body = F.regexp_extract(content, rf"(?s)(?:\A|\n){marker}[^\n]*\n\s*(.*?)\s*\z", 1)
     return header, body
 
 
