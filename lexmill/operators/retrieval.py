@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import english_tokens
-from lexmill.storage import join_sized
+from lexmill.storage import join_sized, materialize
 
 #: BM25 and fusion constants.
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
@@ -39,7 +39,7 @@ def idf(n: Column, df: Column) -> Column:
 
 def postings_for(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, token, tf, length for the terms' tokens only: they are matched before the counts' shuffle."""
-    wanted = terms.select("token").distinct()
+    wanted = materialize(terms.select("token").distinct(), "tokens")
     words = docs.select(F.col(doc_id).alias("doc_id"), english_tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     exploded = words.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("token"))
     return join_sized(exploded, wanted, "token", "inner").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
@@ -54,7 +54,7 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score of every document that shares a word with a query."""
     terms = query_terms(queries, query_id, text)
-    found = postings_for(docs, terms, doc_id, text)
+    found = materialize(postings_for(docs, terms, doc_id, text), "postings")  # read twice, tokenised once
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     weighted = terms.join(df, "token").crossJoin(F.broadcast(n)).withColumn("idf", idf(F.col("n"), F.col("df"))).select("query_id", "token", "idf")

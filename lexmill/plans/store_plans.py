@@ -32,8 +32,8 @@ def retention_expired(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def id_set_diff(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).filter("id % 7 != 0")
-    lines = table(spark, sf, "lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("id"))
+    orders = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    lines = table(spark, sf, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("id"))
     return store.id_differences(orders, lines, "id")
 
 
@@ -48,9 +48,9 @@ def overlay_coalesce(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    new = orders.filter("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("N"))
-    return store.upsert(orders, new, "o_orderkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    new = orders.filter("o_orderpriority = '1-URGENT'").drop("o_orderpriority").withColumn("o_orderstatus", F.lit("N"))
+    return store.upsert(orders.drop("o_orderpriority"), new, "o_orderkey")
 
 
 def next_version(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,10 +90,10 @@ SQL = {
     "lateral_top1": "SELECT c_custkey AS o_custkey, c_name, o_orderdate, o_orderkey, o_orderstatus FROM customer LEFT JOIN LATERAL (SELECT * FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) ON true",
     "retention_active": f"SELECT o_orderkey FROM orders WHERE {EXPIRY} > TIMESTAMP '{NOW}'",
     "retention_expired": f"SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders WHERE {EXPIRY} <= TIMESTAMP '{NOW}' GROUP BY 1",
-    "id_set_diff": "WITH e AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 0), a AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber = 2) SELECT id, 'missing' AS side FROM e ANTI JOIN a USING (id) UNION ALL SELECT id, 'unexpected' FROM a ANTI JOIN e USING (id)",
+    "id_set_diff": "WITH e AS (SELECT DISTINCT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'), a AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linestatus = 'F') SELECT id, 'missing' AS side FROM e ANTI JOIN a USING (id) UNION ALL SELECT id, 'unexpected' FROM a ANTI JOIN e USING (id)",
     "pair_combinations": "SELECT DISTINCT x.l_orderkey, x.l_linenumber AS a, y.l_linenumber AS b FROM lineitem x JOIN lineitem y USING (l_orderkey) WHERE x.l_linenumber < y.l_linenumber",
     "overlay_coalesce": "WITH s AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS p FROM orders GROUP BY 1) SELECT c_custkey, c_name, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN s USING (c_custkey)",
-    "keyed_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders",
+    "keyed_upsert": "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders",
     "next_version": "SELECT o_orderkey, (coalesce(max(l_linenumber), 0) + 1)::BIGINT AS next_version FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "optimistic_lock": "WITH s AS (SELECT l_orderkey AS id, max(l_linenumber) AS r FROM lineitem GROUP BY 1) SELECT coalesce(o_orderkey % 4 + 1 = r, false) AS accepted, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM orders LEFT JOIN s ON id = o_orderkey GROUP BY 1",
     "delete_cascade": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
