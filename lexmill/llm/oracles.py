@@ -16,7 +16,7 @@ f AS (
   FROM w LEFT JOIN rep ON w.rid = rep.rid),
 r AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    (4 * n_symbols > n_words)::INT + (2 * n_upper > word_chars)::INT + (10 * n_dup_lines > 3 * n_lines)::INT + (word_chars < 2 * n_words OR word_chars > 14 * n_words)::INT AS n_rules_failed
+    (4 * n_symbols > n_words)::INT + (2 * n_upper > word_chars)::INT + (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::INT + (word_chars < 2 * n_words OR word_chars > 14 * n_words)::INT AS n_rules_failed
   FROM f),
 h AS (SELECT host, count(*) AS n, sum((base_failed OR n_rules_failed > 0)::BIGINT)::BIGINT AS x FROM r GROUP BY host),
 p AS (SELECT least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(x * x / n) / sum(n) AS sq FROM h),

@@ -69,7 +69,7 @@ def base_failed(f: str) -> Column:
 def rules_failed(f: str) -> Column:
     """How many of the other rules fail: symbols, shouting, repeated lines, word length."""
     c = lambda x: F.col(f"{f}.{x}")
-    rules = [4 * c("n_symbols") > c("n_words"), 2 * c("n_upper") > c("word_chars"), 10 * c("n_dup_lines") > 3 * c("n_lines"), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words"))]
+    rules = [4 * c("n_symbols") > c("n_words"), 2 * c("n_upper") > c("word_chars"), (c("n_dup_lines") >= 3) & (10 * c("n_dup_lines") > 3 * c("n_lines")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words"))]
     return sum((r.cast("int") for r in rules), F.lit(0))
 
 
