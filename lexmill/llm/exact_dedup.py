@@ -1,13 +1,16 @@
 """Exact deduplication as a stateful stream.
 
-A first stream reads the document files and appends a ledger: id, SHA-256 of the text without white space, code points,
-and the content's locator (file and row in it). A second stream keeps, for each digest and without expiry, the best
-copy's id and locator and the number of copies in RocksDB state; what changed in a micro-batch is appended as a version,
-and the version with the most copies is the digest's last. Rows of groups then fetch their texts by locator and are
-compared with the kept copy byte by byte; texts that only share a digest are grouped again by their bytes.
+A stream reads the document files. Each micro-batch appends its ledger rows (id, SHA-256 of the text without white
+space, code points, and the content's locator: file and row in it) and, by digest, its part of the state: the best
+copy's id and locator and the number of copies. The state is keyed by digest, lies on disk in shared storage, never
+expires, and is log-structured: a digest's entries of all micro-batches merge to its state whenever it is read, at the
+cost of one aggregate. A repeated micro-batch replaces its own parts, and the stream resumes from its checkpoint.
 
-Both streams resume from their checkpoints; a micro-batch reads at most `max_bytes` of files. Copies are combined by
-digest before each shuffle, and a hot digest's rows are split by AQE in the joins.
+Rows of groups then fetch their texts by locator and are compared with the kept copy byte by byte; texts that only
+share a digest are grouped again by their bytes. Copies are combined by digest before each shuffle, and a hot digest's
+rows are split by AQE in the joins. A micro-batch reads at most `max_bytes` of files.
+
+Spark's own keyed state in RocksDB gives the same rows, but each of its stores reserves 4 MB of disk, whatever it holds.
 
 Edge cases: null and empty texts are equal; a null id loses to any other; rows of the same id and length are told apart
 by locator, so one row of each group stays; extra columns aren't read; an empty table gives an empty result.
@@ -19,10 +22,6 @@ from pyspark.sql import functions as F
 from lexmill.llm.text import BLANK_CLASS, whole_text
 from lexmill.storage import materialize, shared_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
 def best() -> Column:
     """Its largest is the copy that stays: most code points, smallest id (a null is the worst), last locator.
     The bitwise not of an integer reverses its order without overflow."""
@@ -42,28 +41,18 @@ def documents_read(spark: SparkSession, path: str, streaming: bool, options: dic
     return df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def run_ledger(spark: SparkSession, path: str, ledger: str, checkpoint: str, max_bytes: int) -> None:
-    """Append the ledger rows of all files that aren't in it yet."""
+def run_stream(spark: SparkSession, path: str, folder: str, max_bytes: int) -> None:
+    """Append the ledger rows and state entries of all files under path that the folder doesn't have yet."""
     docs = documents_read(spark, path, True, {"maxBytesPerTrigger": str(max_bytes)})
     rows = docs.select("doc_id", F.unhex(F.sha2(normal("text"), 256)).alias("digest"), F.length(whole_text("text")).cast("long").alias("n_chars"), "file", "row")
-    rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(ledger).awaitTermination()
-
-
-def run_state(spark: SparkSession, ledger: str, versions: str, checkpoint: str, max_bytes: int) -> None:
-    """Update the state by digest from new ledger rows; append what changed to versions."""
-    schema = spark.read.parquet(ledger).schema
-    rows = spark.readStream.options(maxBytesPerTrigger=str(max_bytes)).schema(schema).parquet(ledger)
-    state = rows.groupBy("digest").agg(F.max(best()).alias("best"), F.count("*").alias("group_size"))
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{versions}/batch={number}")  # a repeated batch replaces itself
+        ledger = f"{folder}/ledger/batch={number}"
+        batch.write.mode("overwrite").parquet(ledger)
+        entries = spark.read.schema(batch.schema).parquet(ledger).groupBy("digest").agg(F.max(best()).alias("best"), F.count("*").alias("copies"))
+        entries.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before)
+    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
 
 
 def dedup_stream(spark: SparkSession, path: str, folder: str | None = None, max_bytes: int = 64 << 30) -> DataFrame:
@@ -72,13 +61,9 @@ def dedup_stream(spark: SparkSession, path: str, folder: str | None = None, max_
     folder: in shared storage; a later call with the same one only processes files that are new since.
     """
     folder = folder or shared_path(spark, "dedup")
-    ledger, versions = f"{folder}/ledger", f"{folder}/versions"
-    run_ledger(spark, path, ledger, f"{folder}/checkpoints/ledger", max_bytes)
-    run_state(spark, ledger, versions, f"{folder}/checkpoints/state", max_bytes)
-    rows = spark.read.parquet(ledger)
-    if not rows.take(1):
-        return _result(rows.withColumn("best", best()).withColumn("group_size", F.lit(1).cast("long")))
-    state = spark.read.parquet(versions).groupBy("digest").agg(F.max_by("best", "group_size").alias("best"), F.max("group_size").alias("group_size"))
+    run_stream(spark, path, folder, max_bytes)
+    rows = spark.read.parquet(f"{folder}/ledger").drop("batch")
+    state = spark.read.parquet(f"{folder}/state").groupBy("digest").agg(F.max("best").alias("best"), F.sum("copies").alias("group_size"))
     joined = rows.join(state, "digest")
     clashes = digest_clashes(spark, path, joined)
     if not clashes.take(1):
