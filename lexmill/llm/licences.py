@@ -100,8 +100,18 @@ TEXTS = [
 ]
 #: Words of a rule that don't make a keyword.
 COMMON = {"the", "of", "and", "to", "is", "are", "an", "in", "or", "you", "under", "terms", "with", "for", "only", "by", "any"}
-#: What must occur in a text (any case) for any rule to match it.
-HINT = r"(?i)licen[cs]|copyright|spdx|permission|redistribution|rights|public domain|commercial|unencumbered|publicdomain|opensource|endorse|(?:released|distributed|published|available|provided|offered|redistributed|terms)|(?<![0-9A-Za-z\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+#: What must occur in a text (any case) for any rule or base phrase to match it: one of the hints, or cc, then by.
+HINTS = "licen copyright spdx permission redistribution rights commercial unencumbered opensource endorse released distributed published available provided offered terms".split() + ["public domain", "publicdomain"]
+CC_BY = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+
+
+def hinted(text: Column) -> Column:
+    """Whether any rule can match; plain searches, as one large pattern takes several times as long."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for hint in HINTS:
+        out = out | low.contains(hint)
+    return out | (low.contains("cc") & text.rlike(CC_BY))
 
 
 def _without_groups(pattern: str, group: str) -> str:
@@ -151,15 +161,36 @@ def _gates() -> tuple[ahocorasick.Automaton, list[int]]:
     return automaton, [i for i, rule in enumerate(rules()) if not rule[4]]
 
 
+#: More characters than any rule can match before or after its keyword.
+REACH = 300
+
+
+def _windows(ends: list[int], joined: str) -> list[tuple[int, int]]:
+    """Where a rule with keywords that end at these places can match: merged, and cut at spaces."""
+    out: list[list[int]] = []
+    for end in ends:
+        if out and end - REACH <= out[-1][1]:
+            out[-1][1] = end + REACH
+        else:
+            out.append([max(0, end - REACH), end + REACH])
+    cut = lambda at: len(joined) if (space := joined.find(" ", at)) < 0 else space
+    return [(a, cut(b)) for a, b in out]
+
+
 def detections(joined: str) -> list[tuple[int, int, str, float]]:
     """(first word, end word, label, confidence) of what stays after suppression; joined: words, one space between."""
     automaton, always = _gates()
-    tried = sorted({i for _, found in automaton.iter(joined) for i in found} | set(always))
-    found = []
-    for i in tried:
+    places: dict[int, list[int]] = {}
+    for end, tried in automaton.iter(joined):
+        for i in tried:
+            places.setdefault(i, []).append(end)
+    windows = {i: _windows(ends, joined) for i, ends in places.items()} | {i: [(0, len(joined))] for i in always}
+    found = set()
+    for i, spans in windows.items():
         pattern, label, priority, confidence, _ = rules()[i]
-        for m in pattern.finditer(joined):
-            found.append((-priority, m.start() - m.end(), m.start(), m.end(), i, label, confidence))
+        for lo, hi in spans:
+            for m in pattern.finditer(joined, lo, hi):
+                found.add((-priority, m.start() - m.end(), m.start(), m.end(), i, label, confidence))
     kept: list[tuple[int, int, str, float]] = []
     for _, _, a, b, _, label, confidence in sorted(found):
         if not any(x <= a and b <= y for x, y, _, _ in kept):
@@ -209,7 +240,7 @@ def with_licences(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
         return frame
 
     whole = whole_text(text)
-    return docs.withColumn(out, scan(F.when(whole.rlike(HINT), whole)))
+    return docs.withColumn(out, scan(F.when(hinted(whole), whole)))
 
 
 def n_words(text: str = "text") -> Column:

@@ -1,5 +1,6 @@
 """Operators against their SQL or brute force, on rows full of edge cases."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -72,8 +73,6 @@ def test_simhash_brute_force(spark, edges):
 
 def test_simhash_large_buckets(spark):
     """One cluster of fingerprints a few bits apart, larger than a small bucket and dealt in chunks, and a chain."""
-    import random
-
     rng = random.Random(3)
     center = rng.getrandbits(63)
     fps = {center}
@@ -127,8 +126,6 @@ def test_packing_brute_force(spark, edges):
 
 
 def test_packing_plan_uses_everything():
-    import random
-
     rng = random.Random(1)
     lengths = Counter(min(1023, int(rng.expovariate(1 / 300)) + 1) for _ in range(20_000))
     planned = packing.plan(lengths, 1024)
@@ -220,6 +217,22 @@ def test_licence_rules():
         assert keywords, pattern.pattern
 
 
+def test_licence_windows():
+    """Looking only near keywords finds what whole texts give."""
+    rng = random.Random(2)
+    lines = ["licensed under the gnu general public license version 3", "under the mit license", "mit der", "spdx license identifier apache 2 0", "redistribution and use in source and binary forms with or without modification are permitted", "general public", "cc by nc sa 4 0 license"]
+    for _ in range(30):
+        joined = " ".join(rng.choice(lines) if rng.random() < 0.03 else "word" for _ in range(800))
+        whole = set()
+        for i, (pattern, label, priority, confidence, _) in enumerate(licences.rules()):
+            whole |= {(-priority, m.start() - m.end(), m.start(), m.end(), i, label, confidence) for m in pattern.finditer(joined)}
+        kept = []
+        for _, _, a, b, _, label, _ in sorted(whole):
+            if not any(x <= a and b <= y for x, y, _ in kept):
+                kept.append((a, b, label))
+        assert sorted(x[2] for x in licences.detections(joined)) == sorted(x[2] for x in kept)
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header class=top>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div>{body}<aside>more</aside><section id=comments><article>me too</article></section><form><p>mail</p></form><footer>&copy; us</footer></body></html>"""
 
@@ -235,7 +248,7 @@ def test_html_without_article():
     assert got == f"Title\n\n{text}\n\n{text}\n\nEnd"
 
 
-@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("just words &lt;b&gt; here", "just words <b> here"), ("<p>unclosed", "unclosed"), ("<div class='ad'>x<article>kept</article>", "kept"), ("<article><p title=\"a>b\">say 'it'</p></article>", "say 'it'"), ("<!-- <article>no</article> --><article>yes</article>", "yes"), ("a < b", "a < b")])
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("just words &lt;b&gt; here", "just words <b> here"), ("<p>unclosed", "unclosed"), ("<div class='ad'>x<article>kept</article>", "kept"), ("<article><p title=\"a>b\">say 'it'</p></article>", "say 'it'"), ("<!-- <article>no</article> --><article>yes</article>", "yes"), ("a < b", "a < b"), ("<div class='page has-sidebar'><p>kept words</p></div>", "kept words"), ("<div class='siteHeader'>x</div><div class='site-header'>y</div><article><header>title</header><p>text</p></article>", "title\n\ntext"), ("<table><tr><td>one<td>two</table>", "one\n\ntwo")])
 def test_html_edges(page, text):
     assert html_text.extract(page, dict(html_text.PLAIN)) == text
 
