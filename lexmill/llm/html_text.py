@@ -1,7 +1,7 @@
 """Main text of HTML pages by the maximum-scoring subsequence of their tokens.
 
 Words score positive and tags negative; the weights are log odds of a token standing inside or outside the content of
-labelled pages (pages whose author marked it with an article or main element; a bounded sample of them, by id hash).
+labelled pages (pages whose author marked it with an article or main element, out of `max_pages` pages by id hash).
 One linear scan finds the best contiguous run. Parts that are never content (scripts, menus, adverts, forms, comments
 and the like, by element, role or class words) have no tokens. The run then snaps to the element that holds it: the
 article or main element with most of its words, or else the innermost element around it.
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.text import hash_cutoff
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
@@ -31,9 +33,12 @@ BLOCK = set("address article aside blockquote body caption center dd details div
 NEVER = set("head nav footer aside form dialog menu button select option datalist noscript template iframe object applet svg math canvas audio video map".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 OPEN_PARAGRAPH = BLOCK - {"html", "body"}
+LEAVES = set("p h1 h2 h3 h4 h5 h6 li ul ol dt dd dl pre blockquote a b i em strong span small code".split())
+CELLS = set("td th tr tbody thead table".split())
 #: Words of class and id attributes, and roles, of parts that aren't content.
 NOT_CONTENT = set("ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted sidebar sidebars rail cookie cookies consent gdpr notice notices popup modal overlay lightbox newsletter subscribe subscription signup menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond discussion social share sharing sharebar related recommended recommendations widget widgets footer masthead toolbar topbar pagination pager login search skip hidden".split())
-HEADS = {"header", "head"}
+HEADS = {"header", "head", "site-header", "page-header", "top-header", "main-header", "global-header"}
+ABOUT = {"has", "with", "no", "without"}  # a class such as has-sidebar says something about the content
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 
 
@@ -62,8 +67,9 @@ def _not_content(name: str, attributes: str, in_article: bool) -> bool:
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
-    said = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
-    return bool(said & NOT_CONTENT) or not in_article and bool(said & HEADS)
+    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
+    words = {w for n in names if (parts := re.split(r"[^a-z0-9]+", n))[0] not in ABOUT for w in parts}
+    return bool(words & NOT_CONTENT) or not in_article and bool(HEADS.intersection(names))
 
 
 def _inside(element: Element | None, names: tuple[str, ...]) -> "Element | None":
@@ -185,7 +191,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             if any(x is not level[0] for x in level):
                 break
             shared.append(level[0])
-        while len(shared) > 1 and shared[-1].name in ("p", "h1", "h2", "h3", "li", "b", "i", "em", "strong", "span"):
+        # an element that holds the text of a single block isn't the content's container
+        inner = LEAVES | CELLS if len(chains) == 1 else LEAVES
+        while len(shared) > 1 and shared[-1].name in inner:
             shared.pop()
         whole, strict = (shared[-1] if shared else None), True
     kept = []
@@ -197,9 +205,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def fit_weights(pages: DataFrame, html: str = "html", page_id: str = "page_id", max_pages: int = 2000) -> dict[str, float]:
-    """Weight of words, of words in links, and of each known tag, from at most max_pages labelled pages."""
-    labelled = pages.filter(F.col(html).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html).alias("h"), F.xxhash64(F.col(page_id)).alias("o"), F.octet_length(html).alias("n"))
-    sample = labelled.orderBy("o", "n").limit(max_pages).select("h")
+    """Weight of words, of words in links, and of each known tag, from the labelled ones of max_pages pages by id hash."""
+    cutoff = hash_cutoff(pages.select(page_id), F.col(page_id), max_pages)
+    sample = pages.filter((F.xxhash64(F.col(page_id)) <= F.lit(cutoff)) & F.col(html).rlike("(?i)<(article|main)[\\s>]")).select(html)
     known = BLOCK | VOID | {"word", "link", "a", "b", "i", "em", "strong", "span", "small", "code", "u", "sup", "sub", "q", "cite", "time", "mark", "font"}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
