@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.text import BLANK_CLASS, whole_text, words
+from lexmill.llm.text import BLANK_CLASS, hash_cutoff, whole_text, words
 from lexmill.storage import fresh, join_sized, materialize
 
 FEATURES = ("size", "word_length", "symbols", "upper", "digits", "marks", "repeats", "dup_lines")
@@ -56,8 +56,9 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 2
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality", max_labels: int = 20_000) -> list[tuple[float, float, float]] | None:
     """(mean, spread, coefficient) a feature, then (0, 1, intercept); None without labels of both kinds. features: doc_id, f."""
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("y"))
-    chosen = chosen.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(max_labels)
-    rows = features.groupBy("doc_id").agg(F.min("f").alias("f")).join(chosen, "doc_id").orderBy("o", "doc_id").select("f", "y").collect()  # max_labels rows at most
+    chosen = chosen.filter(F.xxhash64("doc_id") <= F.lit(hash_cutoff(chosen, F.col("doc_id"), max_labels)))
+    rows = features.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("f").alias("f"), F.min("y").alias("y")).collect()  # max_labels rows at most
+    rows.sort(key=lambda r: r["doc_id"])
     if len({r["y"] for r in rows}) < 2:
         return None
     mean, spread, beta = regression(np.array([r["f"] for r in rows], float), np.array([r["y"] for r in rows], float))
