@@ -63,7 +63,8 @@ def dedup_stream(spark: SparkSession, path: str, folder: str | None = None, max_
     folder = folder or shared_path(spark, "dedup")
     run_stream(spark, path, folder, max_bytes)
     rows = spark.read.parquet(f"{folder}/ledger").drop("batch")
-    state = spark.read.parquet(f"{folder}/state").groupBy("digest").agg(F.max("best").alias("best"), F.sum("copies").alias("group_size"))
+    merged = spark.read.parquet(f"{folder}/state").groupBy("digest").agg(F.max("best").alias("best"), F.sum("copies").alias("group_size"))
+    state = materialize(merged, "state")  # both sides of the join are plain shuffles then, of which AQE splits a hot digest's rows
     joined = rows.join(state, "digest")
     clashes = digest_clashes(spark, path, joined)
     if not clashes.take(1):
