@@ -82,7 +82,8 @@ def digest_clashes(spark: SparkSession, path: str, joined: DataFrame) -> DataFra
     texts = documents_read(spark, path, False, {}).select("file", "row", "text").join(copies, ["file", "row"]).select("digest", "is_best", normal("text").alias("bytes"))
     kept = texts.filter("is_best").select("digest", F.col("bytes").alias("kept_bytes"))
     hits = texts.filter("not is_best").join(kept, "digest")
-    return materialize(hits.filter(F.col("bytes") != F.col("kept_bytes")).select("digest").distinct(), "clashes")
+    # distinct only after the write: an aggregate by digest right behind the join would keep AQE from splitting a hot one
+    return materialize(hits.filter(F.col("bytes") != F.col("kept_bytes")).select("digest"), "clashes").distinct()
 
 
 def _is_best() -> Column:
