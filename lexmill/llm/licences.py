@@ -100,8 +100,9 @@ TEXTS = [
 ]
 #: Words of a rule that don't make a keyword.
 COMMON = {"the", "of", "and", "to", "is", "are", "an", "in", "or", "you", "under", "terms", "with", "for", "only", "by", "any"}
-#: What must occur in a text (any case) for any rule or base phrase to match it: one of the hints, or cc, then by.
-HINTS = "licen copyright spdx permission redistribution rights commercial unencumbered opensource endorse released distributed published available provided offered terms".split() + ["public domain", "publicdomain"]
+#: What must occur in a text (any case) for any rule or base phrase to match it: one of the hints, or cc, then by. Each
+#: is part of one word, as anything may stand between a rule's words.
+HINTS = "licen copyright spdx permission redistribution rights commercial unencumbered opensource endorse released distributed published available provided offered terms dedicated mozilla publicdomain".split()
 CC_BY = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 

@@ -217,6 +217,47 @@ def test_licence_rules():
         assert keywords, pattern.pattern
 
 
+def rule_texts(pattern: str, rng: random.Random) -> str:
+    """Words that the pattern matches, with random choices."""
+
+    def make(parts) -> str:
+        out = ""
+        for op, arg in parts:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "ANY":
+                out += "x"
+            elif op == "IN":
+                out += rng.choice([chr(c) for kind, x in arg for c in ([x] if str(kind) == "LITERAL" else range(x[0], x[1] + 1))])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(make(arg[2]) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 1))))
+            elif op == "SUBPATTERN":
+                out += make(arg[3])
+            elif op == "BRANCH":
+                out += make(rng.choice(arg[1]))
+            else:
+                assert op == "ASSERT_NOT", op
+        return out
+
+    return make(re._parser.parse(pattern))
+
+
+def test_licence_hints(spark):
+    """A text that any rule or base phrase matches leaves the JVM, whatever stands between its words."""
+    rng = random.Random(4)
+    texts = ["https://mozilla.org/MPL/2.0/", "dedicated to the public-domain", "dedicated to the public\ndomain", "Dedicated to the public  domain", "dedicated to the Creative Commons Zero"]
+    for pattern in [r[0] for r in licences.rules()] + [re.compile(phrase) for phrase in licences.BASE]:
+        for _ in range(6):
+            said = rule_texts(pattern.pattern, rng)
+            assert pattern.search(said)
+            texts += [said, "".join(rng.choice(["-", "\n", "  ", ", ", "/", ".\r\n\t", "_"]) if c == " " else rng.choice([c, c.upper()]) for c in said)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["found"]["labels"], r["found"]["score"]) for r in licences.with_licences(docs, "found").collect()}
+    assert [t for i, t in enumerate(texts) if found[i][0] == ""] == []
+    assert found == {i: licences._scan(t)[4:6] for i, t in enumerate(texts)}
+
+
 def test_licence_windows():
     """Looking only near keywords finds what whole texts give."""
     rng = random.Random(2)
