@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) of each linked node but the roots. links: long columns a, b, a != b.
+    """node, root (the smallest node of its component) of each linked node but the roots. links: columns a, b of one sortable type, a != b.
 
     Minima are combined before each shuffle, and a hot node's links are split by AQE. Each round is written to the
     shared folder, so the lineage stays short; rounds grow with the logarithm of a component's size.

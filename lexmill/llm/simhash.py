@@ -10,7 +10,8 @@ So no bucket is capped, none meets in one task, and all components are exact.
 Three of six blocks are 32 bits: random buckets stay small up to billions of distinct fingerprints.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle make one
-shingle; a null id ranks above all others; repeated rows get a row each.
+shingle; a null id ranks above all others; repeated rows get a row each. Links and components are of fingerprints, never
+of ids, so different texts with null or repeated ids have nothing to do with each other.
 """
 
 from collections.abc import Iterator
@@ -94,7 +95,7 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, list[tuple[int,
 
 def chunk_links(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     """Links between two chunks of a bucket, as few as keep its components, or within one chunk."""
-    fps, reps, chunk = pdf["fp"].to_numpy().astype(np.uint64), pdf["rep"].to_numpy(), pdf["chunk"].to_numpy()
+    fps, chunk = pdf["fp"].to_numpy().astype(np.uint64), pdf["chunk"].to_numpy()
     left, right = np.flatnonzero(chunk == chunk[0]), np.flatnonzero(chunk != chunk[0])
     label, links = _forest(fps[left], max_bits)
     if len(right):
@@ -116,32 +117,39 @@ def chunk_links(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
                     links.append((int(left[x]), int(right[y])))
     else:
         links = [(int(left[a]), int(left[b])) for a, b in links]
-    return pd.DataFrame({"a": [int(reps[a]) for a, _ in links], "b": [int(reps[b]) for _, b in links]}, dtype="int64")
+    sides = [(k, pdf.iloc[[link[i] for link in links]]) for i, k in enumerate("ab")]
+    return pd.DataFrame({f"{k}_{c}": side[c].to_numpy() for k, side in sides for c in ("did", "fp")}, dtype="int64")
 
 
 def near_links(nodes: DataFrame, max_bits: int = 3, blocks: int = 6, small: int = 32, chunk: int = 2048) -> DataFrame:
-    """a, b: links that keep the components of all pairs of nodes at most max_bits apart. nodes: fp, rep, both unique."""
+    """a, b (structs of did and fp): links that keep the components of all pairs of nodes at most max_bits apart.
+
+    nodes: fp, which is unique, and did, which needn't be.
+    """
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(blocks, max_bits)])
-    rows = nodes.select("fp", "rep", F.posexplode(keys).alias("choice", "key"))
+    rows = nodes.select("did", "fp", F.posexplode(keys).alias("choice", "key"))
     sizes = rows.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialize(rows.join(sizes, ["choice", "key"]), "buckets")
     x, y = met.filter(F.col("n") <= small).alias("x"), met.filter(F.col("n") <= small).alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("choice", "key")]
-    near = (F.col("x.rep") < F.col("y.rep")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits)
-    pairs = x.join(y, [*on, near]).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    near = (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits)
+    pairs = x.join(y, [*on, near]).select(*[F.col(f"{side}.{c}").alias(f"{k}_{c}") for k, side in ("ax", "by") for c in ("did", "fp")])
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = met.filter(F.col("n") > small).withColumn("chunk", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    dealt = met.filter(F.col("n") > small).withColumn("chunk", F.pmod(F.xxhash64("fp"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    groups = dealt.select("choice", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "rep").groupBy("choice", "key", "i", "j")
-    return pairs.unionByName(groups.applyInPandas(lambda pdf: chunk_links(pdf, max_bits), "a long, b long"))
+    groups = dealt.select("choice", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "did", "fp").groupBy("choice", "key", "i", "j")
+    both = pairs.unionByName(groups.applyInPandas(lambda pdf: chunk_links(pdf, max_bits), "a_did long, a_fp long, b_did long, b_fp long"))
+    return both.select(*[F.struct(F.col(f"{k}_did").alias("did"), F.col(f"{k}_fp").alias("fp")).alias(k) for k in "ab"])
 
 
 def with_components(rows: DataFrame, max_bits: int = 3, **blocks) -> DataFrame:
-    """rows (as from fingerprints) with component: the smallest did that links reach."""
-    nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("rep")), "nodes")
-    roots = components(near_links(nodes, max_bits, **blocks)).withColumnRenamed("node", "rep")
-    named = nodes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
-    return rows.join(named, "fp")
+    """rows (as from fingerprints) with component, the smallest did that links reach, and root, a fingerprint of that did
+    there: components of different texts may share a did, but not both."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("did")), "nodes")
+    roots = components(near_links(nodes, max_bits, **blocks)).select(F.col("node.fp").alias("fp"), F.col("root.did").alias("component"), F.col("root.fp").alias("root"))
+    named = nodes.join(roots, "fp", "left").select("fp", F.coalesce("component", "did").alias("component"), F.coalesce("root", "fp").alias("root"))
+    # written first, so that both sides of the next join have plain shuffles and AQE splits a hot fingerprint
+    return rows.join(materialize(named, "named"), "fp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, **limits) -> DataFrame:
@@ -154,7 +162,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, **limits) -> DataFrame:
     """One row of docs of each component: the smallest id, and of its rows the one with the smallest text hash."""
     df = with_components(fingerprints(docs, text, doc_id, shingle), **limits)
-    kept = df.filter(F.col("did") == F.col("component")).groupBy("did").agg(F.min("th").alias("th"))
+    kept = df.filter(F.col("did") == F.col("component")).groupBy("did", "root").agg(F.min("th").alias("th")).select("did", "th")
     did, th = fresh(docs.columns, "_did"), fresh(docs.columns, "_th")
     keyed = docs.withColumn(did, F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long")).withColumn(th, F.xxhash64(whole_text(text)))
     return keyed.join(kept.toDF(did, th), [did, th], "left_semi").dropDuplicates([did, th]).drop(did, th)

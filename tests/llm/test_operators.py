@@ -90,6 +90,22 @@ def test_simhash_large_buckets(spark):
         assert got == label
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    """Different texts with null ids or one repeated id aren't copies of each other, nor of what one of them is a copy of."""
+    rng = random.Random(6)
+    a, b, c, d, e = (rng.getrandbits(62) for _ in range(5))
+    none = simhash.NO_ID
+    rows = [(none, 1, a), (none, 2, b), (none, 3, c), (none, 4, b ^ 1), (1, 5, a ^ 1), (7, 6, d), (7, 7, e), (2, 8, e ^ 2)]
+    fps = materialize(spark.createDataFrame(rows, "did long, th long, fp long"), "fps")
+    for limits in ({}, {"small": 1, "chunk": 2}):
+        got = {r["th"]: r["component"] for r in simhash.with_components(fps, **limits).collect()}
+        assert got == {1: 1, 2: none, 3: none, 4: none, 5: 1, 6: 7, 7: 2, 8: 2}
+    texts = [" ".join(rng.choice("abcdefghijklm") * 3 for _ in range(40)) for _ in range(6)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " "), (1, texts[0]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (2, texts[4]), (7, texts[5])]
+    kept = Counter((r["doc_id"], r["text"].strip()) for r in simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == Counter([(None, texts[1]), (None, texts[2]), (1, texts[0]), (7, texts[3]), (2, texts[4]), (7, texts[5])])
+
+
 def test_fingerprint_in_pieces(monkeypatch):
     text = "Some words  and MORE words\nthat go on " * 50
     whole = simhash.fingerprint(text.encode())
