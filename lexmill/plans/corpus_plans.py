@@ -87,7 +87,7 @@ def page_quality(spark: SparkSession, sf: str) -> DataFrame:
     lines = form_feed_pages(_docs(spark, sf).withColumn("text", F.translate("text", "\n", "\f")), "doc_id", "text")
     moded = lines.withColumn("mode", G.page_mode(F.col("text")))
     n = lambda m: F.count_if(F.col("mode") == m).alias(m)
-    failed = F.array_join(F.slice(F.sort_array(F.collect_set(F.when(F.trim("text") == "", F.col("page_no")))), 1, 1000), ",").alias("failed_pages")
+    failed = F.array_join(F.sort_array(F.collect_set(F.when(F.trim("text") == "", F.col("page_no")))), ",").alias("failed_pages")
     return moded.groupBy("doc_id").agg(F.count("*").alias("n_pages"), n("native"), n("hybrid"), n("scanned"), F.round(F.count_if(F.trim("text") != "") / F.count("*"), 4).alias("coverage"), failed)
 
 

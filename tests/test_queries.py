@@ -36,3 +36,17 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_rows_only(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_page_quality_many_blank_lines(spark, tmp_path):
+    """A document with more than a thousand blank lines keeps all of its failed pages."""
+    from pyspark.sql import functions as F
+
+    text = "first\n" + "\n" * 1500 + "last line\n \n"
+    spark.createDataFrame([(1, text, "s"), (2, "a\n\nb", "s"), (3, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["page_quality"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = c.sql(SQL["page_quality"])
+    assert shown([[r[x] for x in rel.columns] for r in got.collect()]) == shown(rel.fetchall())
+    assert got.filter("doc_id = 1").select(F.size(F.split("failed_pages", ","))).first()[0] == 1500
