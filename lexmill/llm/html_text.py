@@ -4,7 +4,9 @@ Words score positive and tags negative; the weights are log odds of a token stan
 labelled pages (pages whose author marked it with an article or main element, out of `max_pages` pages by id hash).
 One linear scan finds the best contiguous run. Parts that are never content (scripts, menus, adverts, forms, comments
 and the like, by element, role or class words) have no tokens. The run then snaps to the element that holds it: the
-article or main element with most of its words, or else the innermost element around it.
+article or main element with most of its words, or else the innermost element around it. In the latter, a block with
+more than half its words in links is left out if it stands outside the run, or if it is neither a heading nor a paragraph
+and its list, table or other container has more than half its words in links as a whole.
 
 Edge cases: null or empty html gives an empty text; unclosed and stray tags are taken as browsers mostly do; html
 without tags is one block; repeated rows get a row each; a null id or url is passed through.
@@ -35,6 +37,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 OPEN_PARAGRAPH = BLOCK - {"html", "body"}
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li ul ol dt dd dl pre blockquote a b i em strong span small code".split())
 CELLS = set("td th tr tbody thead table".split())
+ALWAYS_SAID = set("h1 h2 h3 h4 h5 h6 p".split())
+PARTS = set("li dt dd tr td th tbody thead tfoot caption".split())
 #: Words of class and id attributes, and roles, of parts that aren't content.
 NOT_CONTENT = set("ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted sidebar sidebars rail cookie cookies consent gdpr notice notices popup modal overlay lightbox newsletter subscribe subscription signup menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond discussion social share sharing sharebar related recommended recommendations widget widgets footer masthead toolbar topbar pagination pager login search skip hidden".split())
 HEADS = {"header", "head", "site-header", "page-header", "top-header", "main-header", "global-header"}
@@ -170,6 +174,17 @@ def _chain(element: Element | None) -> list[Element]:
     return out[::-1]
 
 
+def _link_dense(blocks: list[Block]) -> set[int]:
+    """The id() of each element with more than half its words in links."""
+    sums: dict[int, list[int]] = {}
+    for block in blocks:
+        for x in _chain(block.element):
+            held = sums.setdefault(id(x), [0, 0])
+            held[0] += block.words
+            held[1] += block.links
+    return {x for x, (words, links) in sums.items() if 2 * links > words}
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     blocks, tokens = parse(page or "")
     run = best_run(tokens, weights)
@@ -196,9 +211,18 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         while len(shared) > 1 and shared[-1].name in inner:
             shared.pop()
         whole, strict = (shared[-1] if shared else None), True
-    kept = []
-    for block in blocks:
-        if whole and any(x is whole for x in _chain(block.element)) and not (strict and 2 * block.links > block.words):
+    kept, dense = [], _link_dense(blocks) if strict and any(b.links for b in blocks) else set()
+    for i, block in enumerate(blocks):
+        if whole and any(x is whole for x in _chain(block.element)):
+            if strict and 2 * block.links > block.words:
+                at = block.element
+                while at is not whole and not at.block:
+                    at = at.parent
+                said_always = at.name in ALWAYS_SAID
+                while at is not whole and (not at.block or at.name in PARTS):
+                    at = at.parent
+                if i not in inside or not said_always and id(at) in dense:
+                    continue
             if said := " ".join("".join(block.parts).split()):
                 kept.append(said)
     return "\n\n".join(kept)

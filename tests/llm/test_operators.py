@@ -305,6 +305,15 @@ def test_html_without_article():
     assert got == f"Title\n\n{text}\n\n{text}\n\nEnd"
 
 
+def test_html_linked_blocks_inside_the_run():
+    """Without an article, linked headings, paragraphs and list items amid the content stay; link lists and what is around don't."""
+    text = " ".join(["long sentence of the story"] * 10)
+    middle = "<h2><a href=2>Linked title</a></h2><p><a href=3>A linked paragraph</a> here</p><ul><li>a plain item of the list</li><li><a href=4>linked item</a></li></ul>"
+    links = "<ul><li><a href=5>one</a></li><li><a href=6>two</a></li></ul><div><a href=7>three</a></div>"
+    got = html_text.extract(PAGE.format(body=f"<div id=x><div><a href=1>Before it</a></div><p>{text}</p>{middle}<p>{text}</p>{links}<p>{text}</p><div><a href=8>After it</a></div></div>"), dict(html_text.PLAIN))
+    assert got == f"{text}\n\nLinked title\n\nA linked paragraph here\n\na plain item of the list\n\nlinked item\n\n{text}\n\n{text}"
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("just words &lt;b&gt; here", "just words <b> here"), ("<p>unclosed", "unclosed"), ("<div class='ad'>x<article>kept</article>", "kept"), ("<article><p title=\"a>b\">say 'it'</p></article>", "say 'it'"), ("<!-- <article>no</article> --><article>yes</article>", "yes"), ("a < b", "a < b"), ("<div class='page has-sidebar'><p>kept words</p></div>", "kept words"), ("<div class='siteHeader'>x</div><div class='site-header'>y</div><article><header>title</header><p>text</p></article>", "title\n\ntext"), ("<table><tr><td>one<td>two</table>", "one\n\ntwo")])
 def test_html_edges(page, text):
     assert html_text.extract(page, dict(html_text.PLAIN)) == text
