@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
-from test_operators import slow_components, slow_fingerprint
+from test_llm_operators import slow_components, slow_fingerprint
 
 import corpus_pipeline
 from lexmill.llm import mixing, quality_rules
