@@ -1,66 +1,95 @@
 """Main text of HTML pages by the maximum-scoring subsequence of their tokens.
 
-Words score positive and tags negative; the weights are log odds of a token standing inside or outside the content of
-labelled pages (pages whose author marked it with an article or main element, out of `max_pages` pages by id hash).
-One linear scan finds the best contiguous run. Parts that are never content (scripts, menus, adverts, forms, comments
-and the like, by element, role or class words) have no tokens. The run then snaps to the element that holds it: the
-article or main element with most of its words, or else the innermost element around it. In the latter, a block with
-more than half its words in links is left out if it stands outside the run, or if it is neither a heading nor a paragraph
-and its list, table or other container has more than half its words in links as a whole.
-
-Edge cases: null or empty html gives an empty text; unclosed and stray tags are taken as browsers mostly do; html
-without tags is one block; repeated rows get a row each; a null id or url is passed through.
+Words score positive and tags negative; words in links, and words in parts that by element, role or class words are no
+content (menus, adverts, forms, comments and the like), are kinds of their own. A kind's weight is its log odds of
+standing inside or outside the content of labelled pages: pages whose author marked it with an article or main element,
+out of `max_pages` pages by id hash. The marks themselves are no tokens, so pages without them are judged alike. One
+linear scan finds the run of tokens with the largest sum, and that run says where the content is.
+
+Where a page has marks, they are evidence in the same scan: a word inside weighs 1 + `MARK` times, one outside
+1 - `MARK` times its weight. What the run starts and ends in the middle of is then completed: the content is the
+article that holds the run, or else the innermost element around it, or, where that is the whole page, the run alone.
+Scripts and parts that are no content are left out of it, and outside articles so is a block with more than half its
+words in links if it stands outside the run, or if it is neither a heading nor a paragraph and its list, table or other
+container has more than half its words in links as a whole.
+
+Time and memory grow with the page's length, however its tags are nested or broken.
+
+Edge cases: null or empty html, and a page without a run of positive sum, give an empty text; unclosed and stray tags are
+taken as browsers mostly do; html without tags is one block; repeated rows get a row each; a null id or url is passed
+through; `out` replaces a column of that name, and all other columns are passed through.
 """
 
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.text import hash_cutoff
+from lexmill.llm.text import hash_cutoff, one_by_one
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+#: A tag ends before the next "<" outside quotes, so that unclosed ones cost no more than their length.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][^\s/<>]*)((?>=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^<>])*+)>|[^<]+|<", re.S)
+ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 #: Element names by what they mean here.
 RAW = {"script", "style", "textarea", "title", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+INLINE = set("a b i em strong span small code u s sup sub q cite time mark font abbr label kbd".split())
 NEVER = set("head nav footer aside form dialog menu button select option datalist noscript template iframe object applet svg math canvas audio video map".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+MARKS = {"main": 1, "article": 2}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 OPEN_PARAGRAPH = BLOCK - {"html", "body"}
-LEAVES = set("p h1 h2 h3 h4 h5 h6 li ul ol dt dd dl pre blockquote a b i em strong span small code".split())
+LEAVES = set("p h1 h2 h3 h4 h5 h6 li ul ol dt dd dl pre blockquote".split()) | INLINE
 CELLS = set("td th tr tbody thead table".split())
 ALWAYS_SAID = set("h1 h2 h3 h4 h5 h6 p".split())
 PARTS = set("li dt dd tr td th tbody thead tfoot caption".split())
+WHOLE_PAGE = {"", "html", "body"}
 #: Words of class and id attributes, and roles, of parts that aren't content.
 NOT_CONTENT = set("ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted sidebar sidebars rail cookie cookies consent gdpr notice notices popup modal overlay lightbox newsletter subscribe subscription signup menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus reply replies respond discussion social share sharing sharebar related recommended recommendations widget widgets footer masthead toolbar topbar pagination pager login search skip hidden".split())
 HEADS = {"header", "head", "site-header", "page-header", "top-header", "main-header", "global-header"}
 ABOUT = {"has", "with", "no", "without"}  # a class such as has-sidebar says something about the content
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 
+#: Kinds of words, and how much an author's mark says beside a word's own weight.
+WORD, LINK, OUT, OTHER = "word", "link", "out", "other"
+MARK = 2.0
+#: Weights without labelled pages.
+PLAIN = {WORD: 1.0, LINK: -0.5, OUT: -1.0, OTHER: -0.4}
+
 
-@dataclass
 class Element:
-    name: str
-    parent: "Element | None"
-    out: bool  # nothing inside is content
-    link: bool
-    block: bool
+    """An element; number counts elements in page order and last is the largest number inside it."""
+
+    __slots__ = ("name", "parent", "number", "last", "out", "link", "mark", "block", "holder")
+
+    def __init__(self, name: str, parent: "Element | None", number: int, out: bool, mark: "Element | None"):
+        self.name, self.parent, self.number, self.last, self.out = name, parent, number, number, out
+        self.link = name == "a" or bool(parent and parent.link)
+        is_block = parent is None or name in BLOCK
+        self.block = self if is_block else parent.block  # the block element around it
+        self.holder = self if is_block and name not in PARTS else parent.holder  # the same, other than a part of a list or table
+        self.mark = self if name in MARKS and not out and MARKS[name] >= _level(mark) else mark
+
+    def holds(self, other: "Element") -> bool:
+        return self.number <= other.number <= self.last
 
 
-@dataclass
 class Block:
-    element: Element
-    parts: list[str] = field(default_factory=list)
-    words: int = 0
-    links: int = 0
+    __slots__ = ("element", "parts", "words", "links")
+
+    def __init__(self, element: Element):
+        self.element, self.parts, self.words, self.links = element, [], 0, 0
+
+
+def _level(mark: Element | None) -> int:
+    return MARKS[mark.name] if mark else 0
 
 
 def _not_content(name: str, attributes: str, in_article: bool) -> bool:
@@ -76,184 +105,205 @@ def _not_content(name: str, attributes: str, in_article: bool) -> bool:
     return bool(words & NOT_CONTENT) or not in_article and bool(HEADS.intersection(names))
 
 
-def _inside(element: Element | None, names: tuple[str, ...]) -> "Element | None":
-    while element and element.name not in names:
-        element = element.parent
-    return element
-
-
-def parse(page: str) -> tuple[list[Block], list[tuple[str, int, int]]]:
-    """The blocks outside never-content parts, and the tokens: (tag name, "word" or "link", number, block number)."""
-    here = Element("", None, False, False, True)
-    blocks, tokens, seen, raw_end = [Block(here)], [], False, 0
-    for m in TOKEN.finditer(page):
-        if m.start() < raw_end:
-            continue
-        name = (m[2] or "").lower()
-        if not name:
-            said = m[0]
-            if said.startswith("<![CDATA["):
-                said = said[9:].removesuffix("]]>")
-            elif said != "<" and said[0] == "<":
-                continue
-            if here.out:
-                continue
-            said = entities.unescape(said)
-            if raw_start := said.strip():
-                n = len(raw_start.split())
-                blocks[-1].words += n
-                blocks[-1].links += n * here.link
-                tokens.append(("link" if here.link else "word", n, len(blocks) - 1))
-            blocks[-1].parts.append(said)
-            continue
-        if m[1]:
-            top = here
-            while top and top.name != name:
-                top = top.parent
-            if top is None:
-                if name in BLOCK:
-                    blocks.append(Block(here))
-                continue
-            was_out, here = here.out, top.parent
-            if not was_out:
-                tokens.append((name, 1, len(blocks) - 1))
-            if name in BLOCK or top.out != here.out:
-                blocks.append(Block(here))
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, m.end())
-            raw_end = end.end() if end else len(page)
-            continue
-        if name in VOID:
-            if not here.out:
-                tokens.append((name, 1, len(blocks) - 1))
+class Page:
+    """A page's blocks, its elements in page order, and its tokens: (kind, number, block number, mark's level)."""
+
+    def __init__(self, page: str, free: bool = False):
+        """free: the first mark inside a part that is no content is content nevertheless."""
+        root = Element("", None, 0, False, None)
+        self.elements, self.blocks, self.tokens = [root], [Block(root)], []
+        self.out_words: list[tuple[int, int]] = []  # element's number, words
+        self.lost: Element | None = None
+        here, opened, seen, at = root, Counter(), False, 0
+        while at < len(page):
+            m = TOKEN.match(page, at)
+            at, name = m.end(), (m[2] or "").lower()
+            if not name:
+                self._said(m[0], here)
+            elif m[1]:
+                if opened[name]:
+                    was_out, top = here.out, here
+                    while top.name != name:
+                        opened[top.name] -= 1
+                        top.last, top = len(self.elements) - 1, top.parent
+                    opened[name] -= 1
+                    top.last, here = len(self.elements) - 1, top.parent
+                    self._tag(name, here)
+                    if name in BLOCK or was_out != here.out:
+                        self.blocks.append(Block(here))
+                elif name in BLOCK:
+                    self.blocks.append(Block(here))
+            elif name in RAW:
+                end = re.compile(rf"</{name}\b[^<>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            elif name in VOID:
+                self._tag(name, here)
                 if name == "hr":
-                    blocks.append(Block(here))
-                blocks[-1].parts.append(" ")
-            continue
-        shut = CLOSES.get(name, set()) | ({"p"} if name in OPEN_PARAGRAPH else set())
-        near = here
-        while near.parent and near.name not in shut and not near.block:
-            near = near.parent
-        if near.name in shut and near.parent:
-            here = near.parent
-        marked = name in ("article", "main")
-        out = _not_content(name, m[3], bool(_inside(here, ("article", "main"))))
-        # the first article is content whatever unclosed part stands before it
-        free = marked and not seen and not out
-        seen |= free
-        here = Element(name, here, (here.out and not free) or out, here.link or name == "a", name in BLOCK)
-        if name in BLOCK or here.out != here.parent.out:
-            blocks.append(Block(here))
-        if not here.out:
-            tokens.append((name, 1, len(blocks) - 1))
-    return blocks, tokens
-
-
-#: Weights without labelled pages.
-PLAIN = {"word": 1.0, "link": -0.5}
-
-
-def best_run(tokens: list[tuple[str, int, int]], weights: dict[str, float]) -> tuple[int, int] | None:
-    """First and last block of the run of tokens with the largest sum; the earliest of equal ones."""
+                    self.blocks.append(Block(here))
+                self.blocks[-1].parts.append(" ")
+            else:
+                shut = CLOSES.get(name, set()) | ({"p"} if name in OPEN_PARAGRAPH else set())
+                if here.block.name in shut:
+                    top = here.block
+                    while here is not top.parent:
+                        opened[here.name] -= 1
+                        here.last, here = len(self.elements) - 1, here.parent
+                out = _not_content(name, m[3], here.mark is not None)
+                first = name in MARKS and not seen and not out
+                self.elements.append(Element(name, here, len(self.elements), (here.out and not (first and free)) or out, here.mark))
+                parent, here = here, self.elements[-1]
+                if first:
+                    seen, self.lost = True, here if here.out else None
+                opened[name] += 1
+                if name in BLOCK or here.out != parent.out:
+                    self.blocks.append(Block(here))
+                self._tag(name, here)
+        while here:
+            here.last, here = len(self.elements) - 1, here.parent
+        self.marked = max((x[3] for x in self.tokens), default=0)
+
+    @classmethod
+    def of(cls, page: str) -> "Page":
+        """The page; where its first article or main element stands in a part that is no content, such as an unclosed
+        advert, and holds more words than the page has otherwise, that one is content."""
+        found = cls(page)
+        if found.lost and sum(n for at, n in found.out_words if found.lost.number <= at <= found.lost.last) > sum(b.words for b in found.blocks):
+            found = cls(page, free=True)
+        return found
+
+    def _tag(self, name: str, here: Element) -> None:
+        if name not in MARKS:
+            self.tokens.append((name if name in BLOCK or name in VOID or name in INLINE else OTHER, 1, len(self.blocks) - 1, 0 if here.out else _level(here.mark)))
+
+    def _said(self, said: str, here: Element) -> None:
+        if said.startswith("<![CDATA["):
+            said = said[9:].removesuffix("]]>")
+        elif said != "<" and said[0] == "<":
+            return
+        said = entities.unescape(said)
+        block = self.blocks[-1]
+        if n := len(said.split()):
+            self.tokens.append((OUT if here.out else LINK if here.link else WORD, n, len(self.blocks) - 1, 0 if here.out else _level(here.mark)))
+        if here.out:
+            self.out_words.append((here.number, n))
+        else:
+            block.words += n
+            block.links += n * here.link
+            block.parts.append(said)
+
+    def link_dense(self) -> set[int]:
+        """Numbers of the elements with more than half their words in links."""
+        words, links = [0] * len(self.elements), [0] * len(self.elements)
+        for block in self.blocks:
+            words[block.element.number] += block.words
+            links[block.element.number] += block.links
+        for x in reversed(self.elements[1:]):
+            words[x.parent.number] += words[x.number]
+            links[x.parent.number] += links[x.number]
+        return {i for i, n in enumerate(words) if 2 * links[i] > n}
+
+
+def scores(page: Page, weights: dict[str, float]) -> list[float]:
+    """Each token's score."""
+    out = []
+    for kind, n, _, level in page.tokens:
+        if page.marked and kind in (WORD, LINK):
+            # a page with articles says nothing of what stands in its main element only
+            inside = level == page.marked
+            out.append(n * (weights[WORD] * (1 + MARK) if inside else weights[kind] if level or kind == LINK else weights[kind] * (1 - MARK)))
+        else:
+            out.append(n * weights.get(kind, weights[OTHER]))
+    return out
+
+
+def best_run(values: list[float]) -> tuple[int, int] | None:
+    """First and last place of the run with the largest sum, if that is above zero; the earliest and shortest of equal ones."""
     best, total, start, found = 0.0, 0.0, 0, None
-    for i, (kind, n, _) in enumerate(tokens):
+    for i, value in enumerate(values):
         if total <= 0:
             total, start = 0.0, i
-        total += n * weights.get(kind, -1.5)
+        total += value
         if total > best:
             best, found = total, (start, i)
-    return found and (tokens[found[0]][2], tokens[found[1]][2])
-
-
-def _chain(element: Element | None) -> list[Element]:
-    out = []
-    while element:
-        out.append(element)
-        element = element.parent
-    return out[::-1]
-
-
-def _link_dense(blocks: list[Block]) -> set[int]:
-    """The id() of each element with more than half its words in links."""
-    sums: dict[int, list[int]] = {}
-    for block in blocks:
-        for x in _chain(block.element):
-            held = sums.setdefault(id(x), [0, 0])
-            held[0] += block.words
-            held[1] += block.links
-    return {x for x, (words, links) in sums.items() if 2 * links > words}
-
-
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    blocks, tokens = parse(page or "")
-    run = best_run(tokens, weights)
+    return found
+
+
+def _container(page: Page, first: int, last: int) -> Element:
+    """What holds the run's blocks: their article or main element, else the innermost element that isn't a mere part of a text."""
+    held = [b.element for b in page.blocks[first : last + 1] if b.words]
+    if not held:
+        return page.elements[0]
+    mark, at = held[0].mark, held[0]
+    if mark and all(mark.holds(x) for x in held):
+        return mark
+    for x in held:
+        while not at.holds(x):
+            at = at.parent
+    inner = LEAVES | CELLS if len(held) == 1 else LEAVES
+    while at.parent and at.name in inner:
+        at = at.parent
+    return at
+
+
+def extract(html: str | None, weights: dict[str, float]) -> str:
+    page = Page.of(html or "")
+    run = best_run(scores(page, weights))
     if run is None:
-        run = (0, len(blocks) - 1)
-    held: dict[int, tuple[Element, int]] = {}
-    inside = range(run[0], run[1] + 1)
-    for i in inside:
-        if mark := _inside(blocks[i].element, ("article", "main")):
-            held[id(mark)] = (mark, held.get(id(mark), (mark, 0))[1] + blocks[i].words)
-    words = sum(blocks[i].words for i in inside)
-    most = max(held.values(), key=lambda x: x[1], default=(None, 0))
-    if most[0] and 2 * most[1] >= words:
-        whole, strict = most[0], False
-    else:
-        chains = [_chain(blocks[i].element) for i in inside if blocks[i].words]
-        shared = []
-        for level in zip(*chains, strict=False):
-            if any(x is not level[0] for x in level):
-                break
-            shared.append(level[0])
-        # an element that holds the text of a single block isn't the content's container
-        inner = LEAVES | CELLS if len(chains) == 1 else LEAVES
-        while len(shared) > 1 and shared[-1].name in inner:
-            shared.pop()
-        whole, strict = (shared[-1] if shared else None), True
-    kept, dense = [], _link_dense(blocks) if strict and any(b.links for b in blocks) else set()
-    for i, block in enumerate(blocks):
-        if whole and any(x is whole for x in _chain(block.element)):
-            if strict and 2 * block.links > block.words:
-                at = block.element
-                while at is not whole and not at.block:
-                    at = at.parent
-                said_always = at.name in ALWAYS_SAID
-                while at is not whole and (not at.block or at.name in PARTS):
-                    at = at.parent
-                if i not in inside or not said_always and id(at) in dense:
-                    continue
-            if said := " ".join("".join(block.parts).split()):
-                kept.append(said)
+        return ""
+    first, last = (page.tokens[i][2] for i in run)
+    whole = _container(page, first, last)
+    strict = whole.name not in MARKS
+    dense = page.link_dense() if strict and any(b.links for b in page.blocks) else set()
+    kept = []
+    for i, block in enumerate(page.blocks):
+        inside = first <= i <= last
+        if not (inside if whole.name in WHOLE_PAGE else whole.holds(block.element)):
+            continue
+        if strict and 2 * block.links > block.words:
+            holder = block.element.holder
+            holder = holder if whole.holds(holder) else whole
+            if not inside or block.element.block.name not in ALWAYS_SAID and holder.number in dense:
+                continue
+        if said := " ".join("".join(block.parts).split()):
+            kept.append(said)
     return "\n\n".join(kept)
 
 
-def fit_weights(pages: DataFrame, html: str = "html", page_id: str = "page_id", max_pages: int = 2000) -> dict[str, float]:
-    """Weight of words, of words in links, and of each known tag, from the labelled ones of max_pages pages by id hash."""
+def fit_weights(pages: DataFrame, html: str = "html", page_id: str = "page_id", max_pages: int = 2000, doubt: float = 20.0) -> dict[str, float]:
+    """Weight of each kind of word and of each tag, from the labelled ones of max_pages pages by id hash.
+
+    Counts are of tokens inside and outside the marked content; doubt is how many tokens of each side the weights of
+    PLAIN count for. As the method asks, words weigh more than nothing and tags less.
+    """
     cutoff = hash_cutoff(pages.select(page_id), F.col(page_id), max_pages)
     sample = pages.filter((F.xxhash64(F.col(page_id)) <= F.lit(cutoff)) & F.col(html).rlike("(?i)<(article|main)[\\s>]")).select(html)
-    known = BLOCK | VOID | {"word", "link", "a", "b", "i", "em", "strong", "span", "small", "code", "u", "sup", "sub", "q", "cite", "time", "mark", "font"}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, bool], int] = {}
-            for page in batch.column(0).to_pylist():
-                blocks, tokens = parse(page)
-                for kind, n, block in tokens:
-                    if kind in known:
-                        key = (kind, _inside(blocks[block].element, ("article", "main")) is not None)
-                        sums[key] = sums.get(key, 0) + n
+            sums: Counter = Counter()
+            for text in one_by_one(batch.column(0)):
+                page = Page.of(text)
+                for kind, n, _, level in page.tokens:
+                    sums[kind, level > 0 and level == page.marked] += n
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.string()), pa.array([x for _, x in sums], pa.bool_()), pa.array(list(sums.values()), pa.int64())], ["kind", "inside", "n"])
 
     counts = sample.mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()  # two rows a known kind
-    table = {(r["kind"], r["inside"]): r["n"] for r in counts}
-    if not table:
+    return weights_of({(r["kind"], r["inside"]): r["n"] for r in counts}, doubt)
+
+
+def weights_of(counts: dict[tuple[str, bool], int], doubt: float = 20.0) -> dict[str, float]:
+    """Log odds of each kind inside against outside, shrunk to PLAIN."""
+    if not counts:
         return dict(PLAIN)
-    total = {x: sum(n for (_, i), n in table.items() if i == x) + len(known) for x in (True, False)}
+    known = sorted(BLOCK | VOID | INLINE | set(PLAIN) - set(MARKS))
+    prior = {k: 1 / (1 + math.exp(-PLAIN.get(k, PLAIN[OTHER]))) for k in known}  # how likely inside
+    total = {x: sum(n for (_, i), n in counts.items() if i == x) + 1 for x in (True, False)}
     weights = {}
-    for kind in sorted({k for k, _ in table}):
-        odds = math.log((table.get((kind, True), 0) + 1) / total[True]) - math.log((table.get((kind, False), 0) + 1) / total[False])
-        weights[kind] = min(max(odds, 0.3), 2.0) if kind == "word" else min(odds, -0.2) if kind == "link" else min(max(odds, -4.0), 0.0) - 0.5
+    for kind in known:
+        inside = counts.get((kind, True), 0) / total[True] * 1000 + doubt * prior[kind]
+        outside = counts.get((kind, False), 0) / total[False] * 1000 + doubt * (1 - prior[kind])
+        odds = math.log(inside / outside)
+        weights[kind] = max(odds, 0.01) if kind == WORD else odds if kind in (LINK, OUT) else min(odds, -0.01)
     return weights
 
 

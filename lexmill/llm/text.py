@@ -1,7 +1,9 @@
 """Expressions shared by the operators on documents."""
 
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,9 @@ def hash_cutoff(df: DataFrame, key: Column, most: int) -> int:
     share = min(1.0, (1.2 * most + 100) / n)
     near = df.select(h.alias("h")).filter(F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
     return near.orderBy("h").limit(most).agg(F.max("h").alias("h")).first()["h"]
+
+
+def one_by_one(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of an Arrow column, of which one at a time is a Python string: a batch may hold thousands of long ones."""
+    for x in texts:
+        yield x.as_py()

@@ -319,18 +319,74 @@ def test_html_edges(page, text):
     assert html_text.extract(page, dict(html_text.PLAIN)) == text
 
 
-def test_html_on_pages(spark):
-    """Held-out pages: the whole article, and nothing else."""
+def article_of(html):
+    """The given pages' article by its own tags: blocks of its paragraphs and heading."""
     import html as entities
 
-    from pyspark.sql import functions as F
+    article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
+    return "\n\n".join(b for b in blocks if b)
+
 
+def test_html_on_pages(spark):
+    """The whole article, and nothing else."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    for r in html_text.main_text(pages).collect():
-        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
-        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article)]
-        assert r["text"] == "\n\n".join(b for b in blocks if b)
-    assert pages.select(F.count("*")).first()[0] == 50
+    found = html_text.main_text(pages).collect()
+    assert len(found) == 50
+    for r in found:
+        assert r["text"] == article_of(r["html"])
+
+
+def test_html_held_out_without_marks(spark):
+    """Weights of half the pages, on the other half without article tags, then with the menu's name
+    taken away too: the scan finds the content by words and tags. A negative word weight gives another text."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.fit_weights(pages.filter("page_id % 2 = 0"))
+    right = found = there = whole = 0
+    rest = [r["html"] for r in pages.filter("page_id % 2 = 1").collect()]
+    for page in rest:
+        want = article_of(page)
+        stripped = re.sub(r"</?article>", "", page)
+        whole += html_text.extract(stripped, weights) == want
+        bare = re.sub(r"<(/?)nav>", r"<\1div>", stripped)
+        got, wanted = Counter(html_text.extract(bare, weights).split()), Counter(want.split())
+        right, found, there = right + (got & wanted).total(), found + got.total(), there + wanted.total()
+        assert html_text.extract(page, {**weights, "word": -1.0}) != want
+        assert html_text.extract(stripped, {**weights, "word": -1.0}) != want
+    assert whole == len(rest)
+    assert right / found > 0.99
+    assert right / there > 0.99
+
+
+def test_html_run_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        values = [rng.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2, 4]) for _ in range(rng.randrange(1, 14))]
+        sums = [(sum(values[i : j + 1]), -j, i) for i in range(len(values)) for j in range(i, len(values))]
+        best = max(x for x, _, _ in sums)
+        run = html_text.best_run(values)
+        assert (run is None) == (best <= 0)
+        if run:
+            assert sum(values[run[0] : run[1] + 1]) == best
+            assert run[1] == min(-j for x, j, _ in sums if x == best)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>x", "<a ", "<!", "<b>", "</span>", "<option>x</option>", "<hr>y", "<article>x", "<a b='", "<script></script "])
+def test_html_long_and_hostile(piece):
+    """Time grows with the length: 100,000 tags, nested or broken, take seconds."""
+    import time
+
+    began = time.perf_counter()
+    html_text.extract("<b><div>" + piece * 100_000, dict(html_text.PLAIN))
+    assert time.perf_counter() - began < 20
+
+
+def test_html_clashing_and_repeated(spark):
+    """Other columns stay, a column named as the result is replaced, repeated rows and null ids get a row each."""
+    rows = [(1, "u", "<p>one</p>", "old", "extra"), (1, "u", "<p>one</p>", "old", "extra"), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, weights string")
+    got = [tuple(r) for r in html_text.main_text(pages).collect()]
+    assert sorted(got, key=str) == sorted([(1, "u", "<p>one</p>", "one", "extra")] * 2 + [(None, None, None, "", None)], key=str)
 
 
 def test_classifier_held_out(spark):
