@@ -4,11 +4,20 @@ All operators are set-at-a-time. Scores are rounded to six places before ranking
 ranks don't depend on the order of summation.
 """
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import english_tokens
-from lexmill.storage import join_sized, materialize
+from lexmill.functions.text import ENGLISH_TOKEN, english_tokens
+from lexmill.storage import materialize
 
 #: BM25 and fusion constants.
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
@@ -24,68 +33,204 @@ def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return exploded.groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
 
 
-def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
-    """query_id, token: the distinct words of each query."""
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(english_tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token"))
-
-
-def bm25_weight(tf: Column, length: Column) -> Column:
-    return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / F.lit(AVERAGE_LENGTH)))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
-
-
-def postings_for(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, token, tf, length for the terms' tokens only: they are matched before the counts' shuffle."""
-    wanted = materialize(terms.select("token").distinct(), "tokens")
-    words = docs.select(F.col(doc_id).alias("doc_id"), english_tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    exploded = words.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("token"))
-    return join_sized(exploded, wanted, "token", "inner").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
-
-
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The k best rows of each query with their rank; Spark keeps k rows a query and task before the shuffle."""
     best = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text") -> DataFrame:
-    """query_id, doc_id, score of every document that shares a word with a query."""
-    terms = query_terms(queries, query_id, text)
-    found = materialize(postings_for(docs, terms, doc_id, text), "postings")  # read twice, tokenised once
-    df = found.groupBy("token").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    weighted = terms.join(df, "token").crossJoin(F.broadcast(n)).withColumn("idf", idf(F.col("n"), F.col("df"))).select("query_id", "token", "idf")
-    scored = found.join(weighted, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * bm25_weight(F.col("tf"), F.col("length"))).alias("score"))
-    return scored.withColumn("score", F.round("score", 6))
-
-
-def sparse_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Inner product of a text's largest weight a token (here its count) with the query's; only scores above zero."""
-    q = term_counts(queries.withColumnRenamed(query_id, "_q"), "_q", text).select(F.col("doc_id").alias("query_id"), "token", F.col("tf").alias("q"))
-    found = postings_for(docs, q, doc_id, text)
-    scored = found.join(q, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("tf")).cast("double").alias("score"))
-    return scored.filter("score > 0")
-
-
-def cosine_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Cosine of term counts: the stand-in for a dense path where documents have no vectors."""
-    q = term_counts(queries.withColumnRenamed(query_id, "_q"), "_q", text).select(F.col("doc_id").alias("query_id"), "token", F.col("tf").alias("q"))
-    norms = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    words = term_counts(docs, doc_id, text)
-    lengths = words.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    dots = postings_for(docs, q, doc_id, text).join(q, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("tf")).alias("dot"))
-    return dots.join(lengths, "doc_id").join(norms, "query_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("score"))
-
-
-def dense_scores(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Cosine of every query vector with every stored vector (unit vectors: the inner product), in doubles."""
-    q = queries.select(F.col(vec_id).alias("query_id"), F.col(embedding).cast("array<double>").alias("qv"))
-    v = vectors.select(F.col(vec_id).alias("doc_id"), F.col(embedding).cast("array<double>").alias("dv"))
-    dot = F.aggregate(F.zip_with("qv", "dv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return v.crossJoin(q).filter("query_id != doc_id").select("query_id", "doc_id", F.round(dot, 6).alias("score"))
+@dataclass
+class QueryBlock:
+    """Some of the queries: ids, distinct words of all of them in order, and counts (words x queries)."""
+
+    ids: list
+    words: dict[str, int]
+    counts: np.ndarray
+
+
+def query_blocks(queries: DataFrame, query_id: str, text: str, max_bytes: int = 64 << 20) -> Iterator[QueryBlock]:
+    """The queries by id, in blocks whose matrix of counts takes at most max_bytes (one query at least)."""
+    ids: list = []
+    words: dict[str, int] = {}
+    entries: list[tuple[int, int, int]] = []
+
+    def block() -> QueryBlock:
+        counts = np.zeros((len(words), len(ids)))
+        for word, q, n in entries:
+            counts[word, q] = n
+        return QueryBlock(ids, words, counts)
+
+    for row in queries.select(F.col(query_id).alias("q"), english_tokens(F.coalesce(F.col(text), F.lit(""))).alias("w")).orderBy("q").toLocalIterator():
+        found = Counter(row["w"])
+        if ids and 8 * (len(ids) + 1) * len(words.keys() | found.keys()) > max_bytes:
+            yield block()
+            ids, words, entries = [], {}, []
+        for word, n in found.items():
+            entries.append((words.setdefault(word, len(words)), len(ids), n))
+        ids.append(row["q"])
+    if ids:
+        yield block()
+
+
+TOKEN = re.compile(ENGLISH_TOKEN)
+
+
+def postings(docs: DataFrame, block: QueryBlock, doc_id: str, text: str) -> DataFrame:
+    """doc_id, length (all words), squares (sum of all words' squared counts), words and counts (the block's) of each
+    document that has any of the block's words; materialised, as narrow as the queries' words are few. No shuffle."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(block.words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value
+        for batch in batches:
+            at, rows = [], []
+            for i, said in enumerate(batch.column(1)):
+                found = Counter(TOKEN.findall((said.as_py() or "").lower()))
+                mine = sorted((numbers[w], n) for w, n in found.items() if w in numbers)
+                if mine:
+                    at.append(i)
+                    rows.append((found.total(), sum(n * n for n in found.values()), [w for w, _ in mine], [n for _, n in mine]))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["doc_id", "length", "squares", "words", "counts"])
+
+    return materialize(docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(count, f"doc_id {kind}, length long, squares long, words array<int>, counts array<int>"), "postings")
+
+
+def keep_best(scores: np.ndarray, docs: np.ndarray, best: list, k: int, skip: np.ndarray | None = None) -> None:
+    """Merge scores (documents x queries, rounded) into best, a (scores, docs) pair a query: the k largest above zero,
+    smaller ids first among equals. skip: a row a query, the id that doesn't count."""
+    for q in range(scores.shape[1]):
+        s, found = scores[:, q], best[q]
+        if len(found[0]) == k:
+            at = np.flatnonzero(s >= found[0][-1])
+        else:
+            at = np.flatnonzero(s > -np.inf)
+        if skip is not None:
+            at = at[docs[at] != skip[q]]
+        if len(at) > k:
+            at = at[s[at] >= np.partition(s[at], -k)[-k]]
+        if len(at):
+            both, ids = np.concatenate((found[0], s[at])), np.concatenate((found[1], docs[at]))
+            order = np.lexsort((ids, -both))[:k]
+            best[q] = (both[order], ids[order])
+
+
+#: Documents scored at once.
+ROWS = 512
+
+
+def score_rows(block: QueryBlock, idf_: np.ndarray, lengths: np.ndarray, squares: np.ndarray, ends: np.ndarray, words: np.ndarray, counts: np.ndarray, path: str) -> np.ndarray:
+    """Scores of one path (documents x queries), -inf where a document shares no word with a query. ends: where each
+    document's words end."""
+    sizes = np.diff(ends, prepend=0)
+    row = np.repeat(np.arange(len(lengths)), sizes)
+    table = np.zeros((len(lengths), len(block.words)))
+    if path == "bm25":
+        tf = counts.astype(float)
+        table[row, words] = idf_[words] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.repeat(lengths, sizes) / AVERAGE_LENGTH)))
+        out = table @ (block.counts > 0).astype(float)
+        table[row, words] = 1
+        shared = table @ (block.counts > 0).astype(float)
+        return np.where(shared > 0, np.round(out, 6), -np.inf)
+    table[row, words] = counts
+    out = table @ block.counts
+    if path == "sparse":
+        return np.where(out > 0, out, -np.inf)
+    norms = np.sqrt((block.counts**2).sum(0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(out > 0, np.round(out / (np.sqrt(squares)[:, None] * norms[None, :]), 6), -np.inf)
+
+
+def lexical_hits(docs: DataFrame, queries: DataFrame, k: int = 10, paths: tuple[str, ...] = PATHS, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text") -> DataFrame:
+    """query_id, doc_id, score, rank, path, path_order: the k best documents of each query by each path.
+
+    bm25 is Okapi's with idf from the corpus, sparse the inner product of word counts, dense their cosine (the stand-in
+    where documents have no vectors). The corpus is tokenised once for all paths, into postings of the queries' words; each
+    task multiplies its documents with the block of queries and hands on its k best a query, so no pair of a document and
+    a query is shuffled but those. Queries come in blocks of a bounded size, each a pass over the corpus.
+    """
+    spark, out = docs.sparkSession, None
+    ids, asked = docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    schema = f"query_id {asked}, doc_id {ids}, score double, path string, path_order int"
+    for block in query_blocks(queries, query_id, text):
+        found = postings(docs, block, doc_id, text)
+        idf_ = np.zeros(len(block.words))
+        if "bm25" in paths:
+            n = docs.count()
+            for r in found.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df")).collect():  # a row a word of the block
+                idf_[r["w"]] = math.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
+        shared = spark.sparkContext.broadcast((block, idf_))
+        best = found.mapInArrow(_scorer(shared, paths, k), schema)
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    w = Window.partitionBy("query_id", "path").orderBy(F.col("score").desc(), "doc_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _scorer(shared, paths: tuple[str, ...], k: int):
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, idf_ = shared.value
+        none = (np.empty(0), np.empty(0, object))
+        best = {p: [none] * len(block.ids) for p in paths}
+        kind = None
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                docs = np.array(batch.column(0).to_pylist())
+                lengths, squares = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                words, counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (3, 4))
+                ends = np.cumsum(pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))
+                for p in paths:
+                    keep_best(score_rows(block, idf_, lengths, squares, ends, words, counts, p), docs, best[p], k)
+        for order, p in enumerate(paths):
+            for q, (scores, docs) in zip(block.ids, best[p], strict=True):
+                if len(scores):
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(docs)), pa.array(docs.tolist(), kind), pa.array(scores, pa.float64()), pa.array([p] * len(docs)), pa.array([order] * len(docs), pa.int32())], ["query_id", "doc_id", "score", "path", "path_order"])
+
+    return best_of
+
+
+def dense_hits(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", max_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, doc_id, score, rank: the k vectors with the largest inner product (unit vectors: the cosine, in doubles)
+    with each query vector, itself left out.
+
+    Query vectors are collected in blocks of at most max_bytes; each task multiplies its vectors with the block and hands
+    on its k best a query, so the shuffle holds k rows a query and task.
+    """
+    spark, out = vectors.sparkSession, None
+    ids, asked = vectors.schema[vec_id].dataType.simpleString(), queries.schema[vec_id].dataType.simpleString()
+
+    def passes(block: list[tuple]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.array([v for _, v in block], float)))
+
+        def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
+            best, kind, asked_for = [(np.empty(0), np.empty(0, object))] * len(names), None, np.array(names)
+            for whole in batches:
+                kind = whole.schema.field(0).type
+                for start in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(start, ROWS)
+                    stored = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                    keep_best(np.round(stored @ matrix.T, 6), np.array(batch.column(0).to_pylist()), best, k, asked_for)
+            for q, (scores, docs) in zip(names, best, strict=True):
+                if len(scores):
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(docs)), pa.array(docs.tolist(), kind), pa.array(scores, pa.float64())], ["query_id", "doc_id", "score"])
+
+        return vectors.filter(F.col(embedding).isNotNull()).select(vec_id, embedding).mapInArrow(best_of, f"query_id {asked}, doc_id {ids}, score double")
+
+    block, size = [], 0
+    for row in queries.filter(F.col(embedding).isNotNull()).select(vec_id, embedding).orderBy(vec_id).toLocalIterator():
+        if block and size + 8 * len(row[1]) > max_bytes:
+            out = passes(block) if out is None else out.unionByName(passes(block))
+            block, size = [], 0
+        block.append(tuple(row))
+        size += 8 * len(row[1])
+    if block:
+        out = passes(block) if out is None else out.unionByName(passes(block))
+    return top_k(out if out is not None else spark.createDataFrame([], f"query_id {asked}, doc_id {ids}, score double"), k)
 
 
 def named_paths(**paths: DataFrame) -> DataFrame:

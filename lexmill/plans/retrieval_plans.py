@@ -14,26 +14,29 @@ def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, sf, "documents"), table(spark, sf, "benchmark")
 
 
+def _top(spark: SparkSession, sf: str, path: str) -> DataFrame:
+    return R.lexical_hits(*_both(spark, sf), paths=(path,)).drop("path", "path_order")
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.bm25_scores(*_both(spark, sf)), 10)
+    return _top(spark, sf, "bm25")
 
 
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.sparse_scores(*_both(spark, sf)), 10)
+    return _top(spark, sf, "sparse")
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.cosine_scores(*_both(spark, sf)), 10)
+    return _top(spark, sf, "dense")
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    return R.top_k(R.dense_scores(vectors, vectors.filter("vec_id % 20 = 0")), 10)
+    return R.dense_hits(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    paths = R.named_paths(dense=cosine_topk(spark, sf), sparse=sparse_topk(spark, sf), bm25=bm25_topk(spark, sf))
-    return materialize(paths, "paths")  # each path is used by the fusion more than once
+    return materialize(R.lexical_hits(*_both(spark, sf)), "paths")  # each path is used by the fusion more than once
 
 
 def _specificity(spark: SparkSession, sf: str) -> DataFrame:
