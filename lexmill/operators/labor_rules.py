@@ -1,9 +1,9 @@
 """Rule cards for labour contracts, and their findings on fact tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators.review import alias_matches
+from lexmill.operators.review import alias_matches, missing_required
 
 #: Id, title, aliases, question for the legal search, whether a review needs it.
 CARDS = [
@@ -39,10 +39,6 @@ CONDITIONS = [
 SEPARATOR = "；"
 
 
-def cards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CARDS, "rule_id string, title string, aliases array<string>, query string, required boolean")
-
-
 def finding(rule_id: Column, values: Column) -> Column:
     """Struct(finding_type, risk_level) of a rule on its facts' joined values, or null."""
     out = None
@@ -58,14 +54,15 @@ def findings(facts: DataFrame, review: str = "review_id", order: str = "fact_id"
     Rules match by category and name only. A required rule without any fact is missing information. A review's facts of
     one rule are joined in order, which a review's size bounds.
     """
-    rules = cards(facts.sparkSession)
-    matched = alias_matches(facts, rules, F.concat_ws(" ", F.coalesce("category", F.lit("")), F.coalesce("name", F.lit(""))))
+    matched = alias_matches(facts, [(i, aliases) for i, _, aliases, _, _ in CARDS], F.concat_ws(" ", F.coalesce("category", F.lit("")), F.coalesce("name", F.lit(""))))
     values = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"]), SEPARATOR)
     grouped = matched.groupBy(review, "rule_id").agg(values.alias("values"))
     hits = grouped.select(review, "rule_id", finding(F.col("rule_id"), F.col("values")).alias("f")).filter("f IS NOT NULL").select(review, "rule_id", "f.*")
-    needed = facts.select(review).distinct().crossJoin(F.broadcast(rules.filter("required").select("rule_id")))
-    missing = needed.join(grouped.select(review, "rule_id"), [review, "rule_id"], "left_anti").withColumn("finding_type", F.lit("missing_information")).withColumn("risk_level", F.lit("unconfirmed"))
-    return hits.unionByName(missing).join(F.broadcast(rules.select("rule_id", "query")), "rule_id")
+    none = facts.select(review, F.lit(None).cast("string").alias("rule_id"))
+    missing = missing_required(matched.select(review, "rule_id").unionByName(none), [i for i, *_, required in CARDS if required], "rule_id", review)
+    missing = missing.withColumn("finding_type", F.lit("missing_information")).withColumn("risk_level", F.lit("unconfirmed"))
+    query = F.create_map(*[F.lit(x) for i, _, _, q, _ in CARDS for x in (i, q)])[F.col("rule_id")]
+    return hits.unionByName(missing.select(*hits.columns)).withColumn("query", query)
 
 
 def in_scope(facts: DataFrame, review: str = "review_id") -> DataFrame:

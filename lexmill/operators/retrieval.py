@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import ENGLISH_TOKEN, english_tokens
-from lexmill.storage import materialize
+from lexmill.storage import join_sized, materialize, spread
 
 #: BM25 and fusion constants.
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
@@ -94,7 +94,7 @@ def postings(docs: DataFrame, block: QueryBlock, doc_id: str, text: str) -> Data
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["doc_id", "length", "squares", "words", "counts"])
 
-    return materialize(docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(count, f"doc_id {kind}, length long, squares long, words array<int>, counts array<int>"), "postings")
+    return materialize(spread(docs.select(F.col(doc_id).alias("doc_id"), text)).mapInArrow(count, f"doc_id {kind}, length long, squares long, words array<int>, counts array<int>"), "postings")
 
 
 def keep_best(scores: np.ndarray, docs: np.ndarray, best: list, k: int, skip: np.ndarray | None = None) -> None:
@@ -233,6 +233,38 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     return top_k(out if out is not None else spark.createDataFrame([], f"query_id {asked}, doc_id {ids}, score double"), k)
 
 
+#: Words of a passage by which documents that may contain it are found.
+KEY_WORDS = 5
+
+
+def containing_pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "item_id", text: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
+    """query_id, doc_id of the passages that stand in a document's text, character by character.
+
+    A passage's words but its first and last stand whole in such a text, so passages and documents meet by the hash of
+    KEY_WORDS of them, and only those that meet are compared. Shorter passages are compared with all documents, in one
+    pass if they take at most max_bytes together.
+    """
+    blank = r"\s+"
+    items = passages.filter(F.col(text).isNotNull()).select(F.col(passage_id).alias("query_id"), F.col(text).alias("passage"))
+    items = items.withColumn("w", F.array_remove(F.split("passage", blank), ""))
+    long = items.filter(F.size("w") >= KEY_WORDS + 2).withColumn("key", F.xxhash64(*[F.get("w", i + 1) for i in range(KEY_WORDS)]))
+    short = items.filter(F.size("w") < KEY_WORDS + 2).select("query_id", "passage")
+    n = F.size("w")
+    windows = F.when(n >= KEY_WORDS, F.transform(F.sequence(F.lit(0), n - KEY_WORDS), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(KEY_WORDS)])))
+    words = spread(docs.select(doc_id, text)).select(doc_id, F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), blank), "").alias("w"))
+    keys = materialize(long.select("query_id", "key"), "passage-keys")
+    wanted = materialize(keys.select("key").distinct(), "keys")
+    met = join_sized(words.select(doc_id, F.explode(F.array_distinct(windows)).alias("key")), wanted, "key", "left_semi")
+    pairs = materialize(met.join(keys, "key").select("query_id", doc_id).distinct(), "met")
+    met_docs = join_sized(docs.select(doc_id, text), materialize(pairs.select(doc_id).distinct(), "met-docs"), doc_id, "left_semi")
+    found = met_docs.join(pairs, doc_id).join(long.select("query_id", "passage"), "query_id").filter(F.contains(F.col(text), F.col("passage")))
+    size = short.agg(F.sum(F.octet_length("passage") + 16)).first()[0] or 0
+    if size:
+        less = docs.select(doc_id, text).join(F.broadcast(short) if size <= max_bytes else short, F.contains(F.col(text), F.col("passage")))
+        found = found.select("query_id", doc_id).unionByName(less.select("query_id", doc_id))
+    return found.select("query_id", F.col(doc_id).alias("doc_id"))
+
+
 def named_paths(**paths: DataFrame) -> DataFrame:
     """Union of hit lists (query_id, doc_id, score, rank) with the path's name and order."""
     out = None

@@ -1,5 +1,8 @@
 """Facts, rules and clauses of document review."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +54,17 @@ def mark_contradictions(facts: DataFrame, value: str, *key: str) -> DataFrame:
     return keyed.join(spread, "_k").withColumn("contradicted", F.coalesce("_c", F.lit(False)) & F.col("_v").isNotNull()).drop("_k", "_v", "_c")
 
 
-def alias_matches(facts: DataFrame, rules: DataFrame, haystack: Column) -> DataFrame:
-    """facts joined with the rules (rule_id, aliases) of which an alias stands in the haystack, case ignored.
-
-    The rule cards are a fixed list, so their side is broadcast.
-    """
-    return facts.withColumn("_h", F.lower(haystack)).join(F.broadcast(rules), F.expr("exists(aliases, a -> contains(_h, lower(a)))")).drop("_h")
+def alias_matches(facts: DataFrame, cards: list[tuple[str, list[str]]], haystack: Column) -> DataFrame:
+    """facts with rule_id, a row for each of the cards (rule_id, aliases) of which an alias stands in the haystack, case
+    ignored. The cards are a fixed list, so all are searched in one expression on the row, without a join."""
+    said = [F.when(reduce(or_, (F.contains(F.col("_h"), F.lit(a.lower())) for a in aliases)), F.lit(rule)) for rule, aliases in cards]
+    return facts.withColumn("_h", F.lower(haystack)).withColumn("rule_id", F.explode(F.array_compact(F.array(*said)))).drop("_h")
 
 
-def missing_required(present: DataFrame, required: DataFrame, key: str, per: str) -> DataFrame:
-    """(per, key) of the required keys that a group of present lacks."""
-    groups = present.select(per).distinct()
-    return groups.crossJoin(F.broadcast(required.select(key))).join(present.select(per, key).distinct(), [per, key], "left_anti")
+def missing_required(present: DataFrame, required: list[str], key: str, per: str) -> DataFrame:
+    """(per, key) of the required keys, a fixed list, that a group of present lacks."""
+    found = present.groupBy(per).agg(F.collect_set(F.when(F.col(key).isin(required), F.col(key))).alias("_found"))  # at most the fixed list
+    return found.select(per, F.explode(F.array_except(F.array(*[F.lit(k) for k in required]), "_found")).alias(key))
 
 
 def clause_type(title: Column) -> Column:

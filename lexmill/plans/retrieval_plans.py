@@ -74,10 +74,9 @@ def bm25_vocab_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that contain the passage; one pass, the passages being the questions of the set."""
+    """Documents that contain the passage."""
     docs, items = _both(spark, sf)
-    first = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return docs.join(F.broadcast(first), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    return R.containing_pairs(docs, items).select("query_id", "doc_id")
 
 
 def gold_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,8 +14,7 @@ from lexmill.session import table
 CARDS = [("R-01", ["license", "licence"], True), ("R-02", ["email", "@"], False), ("R-03", ["the"], True), ("R-04", ["http"], False), ("R-05", ["apache", "mit"], True)]
 
 
-def _cards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CARDS, "rule_id string, aliases array<string>, required boolean")
+ALIASES = [(rule, aliases) for rule, aliases, _ in CARDS]
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,15 +49,15 @@ def private_key_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_alias_join(spark: SparkSession, sf: str) -> DataFrame:
-    found = V.alias_matches(_docs(spark, sf).select("doc_id", "text"), _cards(spark), F.col("text"))
+    found = V.alias_matches(_docs(spark, sf).select("doc_id", "text"), ALIASES, F.col("text"))
     return found.groupBy("rule_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 def missing_required(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).select("doc_id", "text")
-    found = V.alias_matches(docs, _cards(spark), F.col("text")).select("doc_id", "rule_id")
+    found = V.alias_matches(docs, ALIASES, F.col("text")).select("doc_id", "rule_id")
     all_docs = docs.select("doc_id", F.lit(None).cast("string").alias("rule_id"))
-    return V.missing_required(found.unionByName(all_docs), _cards(spark).filter("required"), "rule_id", "doc_id")
+    return V.missing_required(found.unionByName(all_docs), [rule for rule, _, required in CARDS if required], "rule_id", "doc_id")
 
 
 def contradictions(spark: SparkSession, sf: str) -> DataFrame:

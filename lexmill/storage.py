@@ -47,5 +47,14 @@ def join_sized(left: DataFrame, right: DataFrame, key: str, how: str = "left", m
     return left.join(F.broadcast(right) if (size or 0) <= max_bytes else right, key, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a table just read, dealt over all cores if its files give only half of them a task, as one small file does.
+
+    Larger tables come as they are: what is moved here is less than a split a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
