@@ -1,22 +1,24 @@
 """Exact deduplication as a stateful stream.
 
-A stream reads the document files. Each micro-batch appends its ledger rows (id, SHA-256 of the text without white
-space, code points, and the content's locator: file and row in it) and, by digest, its part of the state: the best
-copy's id and locator and the number of copies. The state is keyed by digest, lies on disk in shared storage, never
-expires, and is log-structured: a digest's entries of all micro-batches merge to its state whenever it is read, at the
-cost of one aggregate. A repeated micro-batch replaces its own parts, and the stream resumes from its checkpoint.
-
-Rows of groups then fetch their texts by locator and are compared with the kept copy byte by byte; texts that only
-share a digest are grouped again by their bytes. Copies are combined by digest before each shuffle, and a hot digest's
-rows are split by AQE in the joins. A micro-batch reads at most `max_bytes` of files.
-
-Spark's own keyed state in RocksDB gives the same rows, but each of its stores reserves 4 MB of disk, whatever it holds.
+Two streams run one after the other, each until what is there has been read. The first reads the document files and writes
+a ledger: id, SHA-256 of the text without white space, code points, and the content's locator (file and row in it). The
+second reads the ledger into Spark's keyed state: by digest, without expiry, on disk in RocksDB, it retains the stable
+identifier (the first copy's locator), the copy that stays with its id and locator, and the number of copies. Each of its
+micro-batches hands on the entries that it changed; hits, rows of a digest that has more than one copy, fetch their texts
+by locator and are compared byte by byte with the first copy, which never changes. Digests with differing bytes are noted
+and their rows are grouped again by their bytes in the end. A repeated micro-batch replaces its own parts, and both
+streams resume from their checkpoints; the state is not read as a whole but by the entries handed on.
+
+The text is hashed once. Entries are combined by digest before the shuffle, so a hot digest is one row a task; in the
+joins AQE splits it. A micro-batch reads at most `max_bytes` of document files, or of ledger. The state has as many stores
+as the first call finds splits of `store_bytes` in the files, `max_stores` at most: a store reserves some MB of disk
+whatever it holds. That number belongs to the folder.
 
 Edge cases: null and empty texts are equal; a null id loses to any other; rows of the same id and length are told apart
 by locator, so one row of each group stays; extra columns aren't read; an empty table gives an empty result.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import BLANK_CLASS, whole_text
@@ -41,49 +43,89 @@ def documents_read(spark: SparkSession, path: str, streaming: bool, options: dic
     return df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def run_stream(spark: SparkSession, path: str, folder: str, max_bytes: int) -> None:
-    """Append the ledger rows and state entries of all files under path that the folder doesn't have yet."""
-    docs = documents_read(spark, path, True, {"maxBytesPerTrigger": str(max_bytes)})
-    rows = docs.select("doc_id", F.unhex(F.sha2(normal("text"), 256)).alias("digest"), F.length(whole_text("text")).cast("long").alias("n_chars"), "file", "row")
+LEDGER = "doc_id long, digest binary, n_chars long, file string, row long"
 
-    def append(batch: DataFrame, number: int) -> None:
-        ledger = f"{folder}/ledger/batch={number}"
-        batch.write.mode("overwrite").parquet(ledger)
-        entries = spark.read.schema(batch.schema).parquet(ledger).groupBy("digest").agg(F.max(best()).alias("best"), F.count("*").alias("copies"))
-        entries.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
+def locator(file: str = "file", row: str = "row") -> Column:
+    """A number for a place in a file; 64 bits suffice to join a place with itself beside the row's number."""
+    return F.xxhash64(file, row)
 
 
-def dedup_stream(spark: SparkSession, path: str, folder: str | None = None, max_bytes: int = 64 << 30) -> DataFrame:
+def write_ledger(spark: SparkSession, path: str, folder: str, max_bytes: int) -> None:
+    """Append the ledger rows of all files under path that the folder doesn't have yet."""
+    docs = documents_read(spark, path, True, {"maxBytesPerTrigger": str(max_bytes)})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normal("text"), 256)).alias("digest"), F.length(whole_text("text")).cast("long").alias("n_chars"), "file", "row")
+    rows.writeStream.format("parquet").option("path", f"{folder}/ledger").option("checkpointLocation", f"{folder}/ledger-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def stores_for(spark: SparkSession, path: str, store_bytes: int, max_stores: int) -> int:
+    """How many state stores: splits of store_bytes in the files, from 4 up."""
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length")).first()[0] or 0
+    return max(4, min(max_stores, -(-size // store_bytes)))
+
+
+def run_state(spark: SparkSession, path: str, folder: str, max_bytes: int, stores: int) -> None:
+    """Take the ledger's new rows into the state; write the entries that changed and the digests whose bytes clash."""
+    rows = spark.readStream.schema(LEDGER).option("maxBytesPerTrigger", str(max_bytes)).parquet(f"{folder}/ledger")
+    first = F.min_by(F.struct("file", "row"), F.struct(F.col("_seen"), F.col("file"), F.col("row")))
+    keyed = rows.withColumn("_seen", F.expr("_metadata.file_modification_time"))
+    state = keyed.groupBy("digest").agg(first.alias("first"), F.max(best()).alias("best"), F.count("*").alias("copies"))
+
+    def changed(batch: DataFrame, number: int) -> None:
+        entries = f"{folder}/state/batch={number}"
+        batch.write.mode("overwrite").parquet(entries)
+        now = spark.read.schema(batch.schema).parquet(entries)
+        clashes(spark, path, folder, now).write.mode("overwrite").parquet(f"{folder}/clashes/batch={number}")
+
+    settings = {"spark.sql.shuffle.partitions": str(stores), "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(changed).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    query.awaitTermination()
+
+
+def dedup_stream(spark: SparkSession, path: str, folder: str | None = None, max_bytes: int = 64 << 30, store_bytes: int = 256 << 20, max_stores: int = 4096) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, file, row of every document under path.
 
     folder: in shared storage; a later call with the same one only processes files that are new since.
     """
     folder = folder or shared_path(spark, "dedup")
-    run_stream(spark, path, folder, max_bytes)
-    rows = spark.read.parquet(f"{folder}/ledger").drop("batch")
-    merged = spark.read.parquet(f"{folder}/state").groupBy("digest").agg(F.max("best").alias("best"), F.sum("copies").alias("group_size"))
-    state = materialize(merged, "state")  # both sides of the join are plain shuffles then, of which AQE splits a hot digest's rows
+    write_ledger(spark, path, folder, max_bytes)
+    run_state(spark, path, folder, max_bytes, stores_for(spark, path, store_bytes, max_stores))
+    rows = spark.read.schema(LEDGER).parquet(f"{folder}/ledger")
+    entries = spark.read.schema(f"{STATE}, batch long").parquet(f"{folder}/state")
+    last = entries.groupBy("digest").agg(F.max_by(F.struct("best", F.col("copies").alias("group_size")), "batch").alias("e")).select("digest", "e.*")
+    state = materialize(last, "state")  # both sides of the join are plain shuffles then, of which AQE splits a hot digest's rows
     joined = rows.join(state, "digest")
-    clashes = digest_clashes(spark, path, joined)
-    if not clashes.take(1):
+    clashing = spark.read.schema("digest binary, batch long").parquet(f"{folder}/clashes").select("digest").distinct()
+    if not clashing.take(1):
         return _result(joined)
     texts = documents_read(spark, path, False, {}).select("file", "row", normal("text").alias("bytes"))
-    again = rows.join(clashes, "digest", "left_semi").join(texts, ["file", "row"])
-    same = Window.partitionBy("digest", "bytes")
-    again = again.withColumn("best", F.max(best()).over(same)).withColumn("group_size", F.count("*").over(same))
-    return _result(joined.join(clashes, "digest", "left_anti").unionByName(again.select(*joined.columns)))
-
-
-def digest_clashes(spark: SparkSession, path: str, joined: DataFrame) -> DataFrame:
-    """Digests of which a copy's bytes differ from the kept one's; only rows of groups fetch their texts."""
-    copies = joined.filter(F.col("group_size") > 1).select("file", "row", "digest", _is_best().alias("is_best"))
-    texts = documents_read(spark, path, False, {}).select("file", "row", "text").join(copies, ["file", "row"]).select("digest", "is_best", normal("text").alias("bytes"))
-    kept = texts.filter("is_best").select("digest", F.col("bytes").alias("kept_bytes"))
-    hits = texts.filter("not is_best").join(kept, "digest")
+    again = rows.join(clashing, "digest", "left_semi").join(texts, ["file", "row"])
+    same = again.groupBy("digest", "bytes").agg(F.max(best()).alias("best"), F.count("*").alias("group_size"))  # combined before the shuffle
+    again = again.join(materialize(same, "again"), ["digest", "bytes"])
+    return _result(joined.join(clashing, "digest", "left_anti").unionByName(again.select(*joined.columns)))
+
+
+STATE = "digest binary, first struct<file:string,row:long>, best struct<n_chars:long,not_id:long,file:string,row:long>, copies long"
+
+
+def clashes(spark: SparkSession, path: str, folder: str, entries: DataFrame) -> DataFrame:
+    """Digests among the changed entries of which a copy's bytes differ from the first one's. Only rows of groups, known by
+    their place, fetch their texts."""
+    groups = entries.filter(F.col("copies") > 1).select("digest", "first")
+    rows = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").join(groups, "digest")
+    places = rows.select("digest", locator().alias("place"), "row", ((F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))).alias("is_first"))
+    texts = documents_read(spark, path, False, {}).select(locator().alias("place"), "row", "text").join(places, ["place", "row"]).select("digest", "is_first", normal("text").alias("bytes"))
+    known = texts.filter("is_first").select("digest", F.col("bytes").alias("first_bytes"))
+    hits = texts.filter("not is_first").join(known, "digest")
     # distinct only after the write: an aggregate by digest right behind the join would keep AQE from splitting a hot one
-    return materialize(hits.filter(F.col("bytes") != F.col("kept_bytes")).select("digest"), "clashes").distinct()
+    return hits.filter(F.col("bytes") != F.col("first_bytes")).select("digest")
 
 
 def _is_best() -> Column:
