@@ -192,6 +192,23 @@ def test_exact_dedup_resumes(spark, tmp_path):
     assert got == {(0, 3, 3, False), (1, 3, 3, False), (3, 3, 3, True), (2, 2, 2, True), (4, 2, 2, False)}
 
 
+def test_exact_dedup_clashing_digests(spark, edges, monkeypatch):
+    """With one digest for all texts, bytes still tell them apart."""
+    want = {tuple(r) for r in Q["op5_exact_dedup"](spark, edges).select("doc_id", "keep_id", "group_size", "kept").collect()}
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(F, "sha2", lambda text, bits: F.when(text.isNotNull(), "00ff"))
+    got = exact_dedup.dedup_stream(spark, f"{edges}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert {tuple(r) for r in got} == want
+
+
+def test_exact_dedup_extra_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "x", 5), (2, "ab", "y", 6)], "doc_id long, text string, digest string, row long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = exact_dedup.dedup_stream(spark, f"{tmp_path}/documents.parquet").collect()
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got} == {(1, 1, 2, True), (2, 1, 2, False)}
+
+
 def test_line_dedup_hot_and_ranged_agree(spark, edges):
     docs = spark.read.parquet(f"{edges}/documents.parquet")
     rows = materialize(line_dedup.line_rows(docs, "text", "doc_id", 5), "rows")
@@ -435,3 +452,79 @@ def test_classifier_without_labels(spark, edges):
     got = quality_classifier.score(docs, labels).collect()
     assert len(got) == docs.count()
     assert all(r["kept"] and r["score"] == 0.5 for r in got)
+
+
+def test_classifier_shrinkage_brute_force(spark):
+    """Host and path means, their priors' strengths and the posterior, against the model's formulas row by row."""
+    import math
+
+    rng = random.Random(9)
+    sites = [("h0", "h0 a"), ("h0", "h0 b"), ("h1", "h1 a"), ("h2", "h2 a"), ("h2", "h2 b"), ("h3", "h3 a")]
+    rows = []
+    for i in range(300):
+        host, path = sites[min(int(rng.expovariate(0.6)), 5)]
+        evidence = rng.gauss({"h0": 2, "h1": -2, "h2": 0.5, "h3": 0}[host] + (path[-1] == "b"), 1)
+        rows.append((i if i % 50 else None, host, path, evidence, round(1e6 / (1 + math.exp(-evidence)))))
+    rows += rows[:3]
+    own = materialize(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double, p long"), "own")
+    base, keep_at = 0.4, 0.3
+
+    def clamp(x, lo, hi):
+        return min(max(x, lo), hi)
+
+    def moments(at, parent):
+        by = defaultdict(list)
+        for r in rows:
+            by[r[at]].append(r)
+        v = 0.0
+        for site, held in by.items():
+            ps = [r[4] / 1e6 for r in held]
+            m = sum(ps) / len(ps)
+            sq = sum((math.floor(r[4] / 100 + 0.5) / 1e4) ** 2 for r in held) / len(held)
+            v += len(held) * (m - parent(held[0])) ** 2 - max(sq - m * m, 0)
+        return by, clamp(mean * (1 - mean) / max(v / len(rows), 1e-9) - 1, 2, 10_000)
+
+    mean = sum(r[4] for r in rows) / 1e6 / len(rows)
+    hosts, k_host = moments(1, lambda r: mean)
+    paths, k_path = moments(2, lambda r: sum(x[4] for x in hosts[r[1]]) / 1e6 / len(hosts[r[1]]))
+    want = []
+    for r in rows:
+        h, p = hosts[r[1]], paths[r[2]]
+        host_mean = ((sum(x[4] for x in h) - r[4]) / 1e6 + mean * k_host) / (len(h) - 1 + k_host)
+        path_mean = ((sum(x[4] for x in p) - r[4]) / 1e6 + host_mean * k_path) / (len(p) - 1 + k_path)
+        q = clamp(path_mean, 1e-4, 1 - 1e-4)
+        score = 1 / (1 + math.exp(-(r[3] - base + math.log(q / (1 - q)))))
+        want.append((r[0], host_mean, path_mean, score))
+    got = quality_classifier.with_posterior(own, base, keep_at).collect()
+    order = lambda x: (x[0] is None, x[0] or 0, x[1], x[3])
+    got = sorted(((r["doc_id"], r["host_mean"], r["path_mean"], r["score"], r["kept"]) for r in got), key=order)
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want, key=order), strict=True):
+        assert g[0] == w[0]
+        assert all(abs(a - b) < 2e-6 for a, b in zip(g[1:4], w[1:], strict=True))
+        assert g[4] == (g[3] >= keep_at)
+
+
+def test_classifier_edge_rows(spark, edges, clashing):
+    """Nulls, ties, repeated rows and clashing names: a row each, equal texts of a site score alike, other columns don't matter."""
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (70, 0, 1), (71, 0, 0), (None, 1, 0), (20, 1, 0), (21, None, None), (22, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    got = quality_classifier.score(docs, labels).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in docs.collect())
+    assert all(0 <= r["score"] <= 1 and r["kept"] == (r["score"] >= 0.3) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 4}) == 1  # repeated rows
+    assert sorted(got, key=str) == sorted(quality_classifier.score(clashing, labels).collect(), key=str)
+    tie = next(r["score"] for r in got if r["doc_id"] == 1)
+    assert {r["kept"] for r in quality_classifier.score(docs, labels, keep_at=tie).collect() if r["doc_id"] == 1} == {True}
+
+
+def test_words_seen_brute_force(spark):
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    weights = np.round(np.random.default_rng(1).normal(size=quality_classifier.BUCKETS), 6)
+    docs = spark.createDataFrame([("a b c a b",), ("one",), ("",)], "text string").withColumn("w", F.array_remove(F.split("text", " "), ""))
+    for r in docs.select("w", quality_classifier.buckets(F.col("w")).alias("b"), quality_classifier.seen("w", weights).alias("s")).collect():
+        assert len(r["b"]) == max(2 * len(r["w"]) - 1, 0)
+        assert abs(r["s"] - sum(weights[i] for i in r["b"]) / max(2 * len(r["w"]) - 1, 1)) < 1e-9
