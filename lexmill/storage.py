@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Intermediate tables written inside are deleted at the end, but for those taken off the list."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield paths
+    finally:
+        _made.remove(paths)
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: the lineage is cut and any executor can reread it."""
     path = shared_path(df.sparkSession, name)
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
