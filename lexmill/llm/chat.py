@@ -8,7 +8,8 @@ in its tree, its position ids (they go on from its parent's), and the intervals
 besides itself; touching intervals are merged.
 
 A first turn or a whole conversation that is very common is cut at slice borders (the range sort has the id as its last
-key); a slice starts its own tree and so repeats the prefix of at most one path. Memory is that of one conversation.
+key); a slice starts its own tree and so repeats the prefix of at most one path. A task holds one Arrow batch of conversations,
+of which one at a time is Python objects, and the nodes that the batch gives.
 
 Edge cases: null roles and texts are empty; a null turn comes first, turns of one number are ordered by role and text;
 rows with a null id form one conversation; extra columns aren't read.
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.text import whole_text
+from lexmill.llm.text import one_by_one, whole_text
 from lexmill.llm.tokens import encoder
 from lexmill.storage import materialize, partitions
 
@@ -82,7 +83,7 @@ def prefix_trees(conversations: DataFrame, tokenizer: str | None = None, loss_ro
         path: list[tuple] = []  # digest, node, start, end
         for batch in batches:
             out = []
-            for conv, turns, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for conv, turns, key in zip(*(one_by_one(batch.column(i)) for i in range(3)), strict=True):
                 same = 0
                 while same < min(len(path), len(key)) and path[same][0] == key[same]:
                     same += 1
@@ -114,7 +115,7 @@ def read_back(trees: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for steps in batch.column(1).to_pylist():
+            for steps in one_by_one(batch.column(1)):
                 full = "".join(s["text"] for s in steps)
                 turns = TURN.findall(full)
                 said = "".join(f"{unescape(role)}\n{unescape(text)}\n" for role, text in turns)

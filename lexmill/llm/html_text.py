@@ -26,7 +26,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -311,8 +310,8 @@ def main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", ou
     """pages with the column out: each page's main text."""
     weights = fit_weights(pages, html, page_id, **fit)
 
-    @F.pandas_udf("string")
-    def text(column: pd.Series) -> pd.Series:
-        return pd.Series([extract(x, weights) for x in column], dtype="object")
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array([extract(x, weights) for x in one_by_one(column)], pa.string())
 
     return pages.withColumn(out, text(html))

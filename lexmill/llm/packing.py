@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.text import whole_text
+from lexmill.llm.text import one_by_one, whole_text
 from lexmill.llm.tokens import encoder
 from lexmill.storage import materialize, partitions
 
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str, doc_id: str, capacity: in
         encode = encoder(tokenizer)
         for batch in batches:
             who, found = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "ids")}
-            for row, said in enumerate(batch.column(1).to_pylist()):
+            for row, said in enumerate(one_by_one(batch.column(1))):
                 ids = np.append(np.asarray(encode(said), "<u4"), np.uint32(END)).astype("<u4")
                 at, n = 0, (len(ids) - 1) % capacity + 1
                 for piece in range(-(-len(ids) // capacity)):

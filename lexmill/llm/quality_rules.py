@@ -7,7 +7,8 @@ moments shrinks each host's failure rate; the host's verdict then decides how st
 * watched: shrunk rate above `watch_rate`: a document that fails one rule goes;
 * trusted: a document goes when it fails two rules, or one of the base rules.
 
-Only DataFrame functions; the text is read once. Sums by host are combined before the shuffle, so a host with a third of
+Only DataFrame functions; the text is read once. A row holds a text's words and the hashes of its windows, some tens of bytes
+a word, while it is judged: that is the largest need of memory, several times the longest text. Sums by host are combined before the shuffle, so a host with a third of
 all rows is cheap; verdicts (a row a host) are broadcast only after their size is measured.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated rows
@@ -108,7 +109,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
 
 
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of docs that are kept. Features are computed twice (for the hosts, then beside the text), which moves no text."""
+    """The rows of docs that are kept. Rows are written once with their counts, so that the text is judged once; hosts read
+    the counts only."""
     f = fresh(docs.columns, "_f")
-    df, names = _judged(with_features(docs, text, host, f), f, **limits)
+    df, names = _judged(materialize(with_features(docs, text, host, f), "judged"), f, **limits)
     return df.filter(F.col(names["kept"])).select(*[F.col(f"`{c}`") for c in docs.columns])

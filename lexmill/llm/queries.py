@@ -6,22 +6,28 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import chat, exact_dedup, html_text, licences, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash
 from lexmill.session import table
+from lexmill.storage import spread
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: A conversation whose texts hold control strings of common templates.
 TRICKY = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The named columns of all documents."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), TOKENIZER)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_table(table(spark, sf_dir, "documents"))
+    return mixing.mix_table(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,26 +41,26 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = html_text.main_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     found = licences.with_licences(docs, "found").withColumn("n_words", licences.n_words())
     return found.select("doc_id", "n_words", *[F.col(f"found.{c}") for c in ("n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier.score(documents(spark, sf_dir, "doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     kept = line_dedup.dedup_lines(docs, lines="n_lines", dropped="n_dropped")
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

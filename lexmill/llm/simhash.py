@@ -9,24 +9,32 @@ So no bucket is capped, none meets in one task, and all components are exact.
 
 Three of six blocks are 32 bits: random buckets stay small up to billions of distinct fingerprints.
 
+Similarity. A few of 64 bits are far from a Jaccard similarity of 0.8, at which a seventh of the bits differs; blocks that
+such pairs must share would be six bits wide. Given a `similarity`, the fingerprint therefore is 256 bits wide, over
+distinct shingles, and its blocks are hashes of a sample of the shingles instead of a stretch of the bits: a block has the
+least shingle under each of `SAMPLED` orders that all documents share, so two documents agree in it with probability
+similarity ** SAMPLED, in one of `SAMPLES` blocks almost surely (0.998 at 0.8), and unrelated ones hardly ever, whatever
+the corpus's size. Joining on blocks and checking the Hamming distance of the whole fingerprints is as before.
+
 Edge cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle make one
 shingle; a null id ranks above all others; repeated rows get a row each. Links and components are of fingerprints, never
-of ids, so different texts with null or repeated ids have nothing to do with each other.
+of ids, so different texts with null or repeated ids have nothing to do with each other. Extra columns are passed through
+by keep_first, whatever their names.
 """
 
-from collections.abc import Iterator
+import math
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.components import components
-from lexmill.llm.text import whole_text
-from lexmill.storage import fresh, materialize
+from lexmill.llm.text import one_by_one, whole_text
+from lexmill.storage import fresh, join_sized, materialize
 
 NO_ID = 2**63 - 1
 PIECE = 4 << 20
@@ -57,16 +65,72 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True) if n else 0
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """did (id, or NO_ID), th (hash of the text), fp of every row; materialised."""
+WIDE, SAMPLES, SAMPLED = 4, 12, 4
+#: Odd multipliers: four that spread a hash over the wide fingerprint, and one for each order of shingles.
+ODD = np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(WIDE + SAMPLES * SAMPLED)], np.uint64)
+
+
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, eight bytes a word."""
+    words = text.lower().split()
+    k = min(shingle, len(words))
+    if not k:
+        return np.empty(0, np.uint64)
+    joined, at, starts = b" ".join(words), 0, []
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    ends = [*starts[k:], at]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, ends, strict=False)), np.uint64, len(words) - k + 1))
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[list[int], list[int]]:
+    """WIDE signed words of the fingerprint, and the hashes of its SAMPLES blocks."""
+    found = hashes(text, shingle)
+    if not len(found):
+        return [0] * WIDE, [0]
+    ones, least = np.zeros(64 * WIDE, np.int64), np.full(SAMPLES * SAMPLED, 2**64 - 1, np.uint64)
+    for i in range(0, len(found), 1 << 13):
+        some = found[i : i + (1 << 13), None] * ODD[None, :]
+        spread = some[:, :WIDE] ^ (some[:, :WIDE] >> np.uint64(32))
+        ones += np.unpackbits((spread * ODD[1]).astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1).sum(axis=0, dtype=np.int32)
+        np.minimum(least, some[:, WIDE:].min(axis=0), out=least)
+    bits = np.packbits(2 * ones > len(found)).tobytes()
+    words = [int.from_bytes(bits[8 * i : 8 * i + 8], "big", signed=True) for i in range(WIDE)]
+    return words, [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(least.reshape(SAMPLES, SAMPLED))]
+
+
+def bits_at(similarity: float) -> int:
+    """How many bits of the wide fingerprint differ at a similarity: what is expected of two texts of one length, and 1.6
+    standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * WIDE * p + 1.6 * math.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def with_fingerprint(docs: DataFrame, out: str, text: str, shingle: int, wide: bool) -> DataFrame:
+    """docs with the struct out: fp (a word or WIDE of them) and, if wide, the hashes of its blocks."""
+
+    @F.arrow_udf("struct<fp:array<long>,keys:array<long>>" if wide else "struct<fp:array<long>>")
+    def make(texts: pa.Array) -> pa.Array:
+        each = (x.encode() for x in one_by_one(texts))
+        if not wide:
+            return pa.StructArray.from_arrays([pa.array([[fingerprint(x, shingle)] for x in each], pa.list_(pa.int64()))], ["fp"])
+        rows = [wide_fingerprint(x, shingle) for x in each]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (0, 1)], ["fp", "keys"])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint(x, shingle) for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["did", "th", "fp"])
+    return docs.withColumn(out, make(whole_text(text)))
 
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64(whole_text(text)).alias("th"), whole_text(text).alias("t"))
-    return materialize(rows.mapInArrow(make, "did long, th long, fp long"), "fingerprints")
+
+def row_keys(doc_id: str, text: str) -> list[Column]:
+    """did (id, or NO_ID) and th (hash of the text)."""
+    return [F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64(whole_text(text)).alias("th")]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """did, th, fp (an array of one word) of every row; materialised."""
+    out = fresh(docs.columns, "_made")
+    made = with_fingerprint(docs.select(doc_id, text), out, text, shingle, False)
+    return materialize(made.select(*row_keys(doc_id, text), F.col(out)["fp"].alias("fp")), "fingerprints")
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -77,6 +141,14 @@ def block_masks(blocks: int, max_bits: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which rows of a and b (fingerprints, a row of words each) are at most max_bits apart."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for i in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, i] ^ b[None, :, i])
+    return out <= max_bits
+
+
 def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Component of each fingerprint and the links of a spanning forest, breadth first."""
     label, links, rest = np.full(len(fps), -1), [], np.arange(len(fps))
@@ -85,7 +157,7 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, list[tuple[int,
         label[front] = root = front[0]
         while len(front) and len(rest):
             some, front = front[:256], front[256:]
-            near = np.bitwise_count(fps[some][:, None] ^ fps[rest][None, :]) <= max_bits
+            near = _near(fps[some], fps[rest], max_bits)
             found = near.any(axis=0)
             links += zip(some[near[:, found].argmax(axis=0)].tolist(), rest[found].tolist(), strict=True)
             label[rest[found]] = root
@@ -95,7 +167,7 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, list[tuple[int,
 
 def chunk_links(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     """Links between two chunks of a bucket, as few as keep its components, or within one chunk."""
-    fps, chunk = pdf["fp"].to_numpy().astype(np.uint64), pdf["chunk"].to_numpy()
+    fps, chunk = np.array(pdf["fp"].tolist()).astype(np.uint64), pdf["chunk"].to_numpy()
     left, right = np.flatnonzero(chunk == chunk[0]), np.flatnonzero(chunk != chunk[0])
     label, links = _forest(fps[left], max_bits)
     if len(right):
@@ -108,7 +180,7 @@ def chunk_links(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
             return x
 
         for i in range(0, len(left), 256):
-            r, c = np.nonzero(np.bitwise_count(fps[left[i : i + 256]][:, None] ^ fps[right][None, :]) <= max_bits)
+            r, c = np.nonzero(_near(fps[left[i : i + 256]], fps[right], max_bits))
             _, first = np.unique(label[r + i] * len(pdf) + other[c], return_index=True)
             for x, y in zip((r[first] + i).tolist(), c[first].tolist(), strict=True):
                 a, b = top(int(label[x])), top(int(other[y]))
@@ -117,36 +189,40 @@ def chunk_links(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
                     links.append((int(left[x]), int(right[y])))
     else:
         links = [(int(left[a]), int(left[b])) for a, b in links]
-    sides = [(k, pdf.iloc[[link[i] for link in links]]) for i, k in enumerate("ab")]
-    return pd.DataFrame({f"{k}_{c}": side[c].to_numpy() for k, side in sides for c in ("did", "fp")}, dtype="int64")
+    did, fp = pdf["did"].tolist(), pdf["fp"].tolist()
+    return pd.DataFrame({f"{k}_{c}": [held[link[i]] for link in links] for i, k in enumerate("ab") for c, held in (("did", did), ("fp", fp))}, dtype="object")
 
 
-def near_links(nodes: DataFrame, max_bits: int = 3, blocks: int = 6, small: int = 32, chunk: int = 2048) -> DataFrame:
-    """a, b (structs of did and fp): links that keep the components of all pairs of nodes at most max_bits apart.
+def near_links(keyed: DataFrame, max_bits: int = 3, small: int = 32, chunk: int = 2048) -> DataFrame:
+    """a, b (structs of did and fp): links that keep the components of all pairs at most max_bits apart that share a bucket.
 
-    nodes: fp, which is unique, and did, which needn't be.
+    keyed: choice and key, which name a bucket; fp, once a bucket; did, which needn't be unique.
     """
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(blocks, max_bits)])
-    rows = nodes.select("did", "fp", F.posexplode(keys).alias("choice", "key"))
-    sizes = rows.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialize(rows.join(sizes, ["choice", "key"]), "buckets")
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialize(keyed.join(sizes, ["choice", "key"]), "buckets")
     x, y = met.filter(F.col("n") <= small).alias("x"), met.filter(F.col("n") <= small).alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("choice", "key")]
-    near = (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits)
-    pairs = x.join(y, [*on, near]).select(*[F.col(f"{side}.{c}").alias(f"{k}_{c}") for k, side in ("ax", "by") for c in ("did", "fp")])
+    apart = F.aggregate(F.zip_with("x.fp", "y.fp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    pairs = x.join(y, [*on, F.col("x.fp") < F.col("y.fp")]).filter(apart <= max_bits).select(*[F.col(f"{side}.{c}").alias(f"{k}_{c}") for k, side in ("ax", "by") for c in ("did", "fp")])
     parts = F.ceil(F.col("n") / chunk).cast("int")
     dealt = met.filter(F.col("n") > small).withColumn("chunk", F.pmod(F.xxhash64("fp"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     groups = dealt.select("choice", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "did", "fp").groupBy("choice", "key", "i", "j")
-    both = pairs.unionByName(groups.applyInPandas(lambda pdf: chunk_links(pdf, max_bits), "a_did long, a_fp long, b_did long, b_fp long"))
+    both = pairs.unionByName(groups.applyInPandas(lambda pdf: chunk_links(pdf, max_bits), "a_did long, a_fp array<long>, b_did long, b_fp array<long>"))
     return both.select(*[F.struct(F.col(f"{k}_did").alias("did"), F.col(f"{k}_fp").alias("fp")).alias(k) for k in "ab"])
 
 
-def with_components(rows: DataFrame, max_bits: int = 3, **blocks) -> DataFrame:
-    """rows (as from fingerprints) with component, the smallest did that links reach, and root, a fingerprint of that did
-    there: components of different texts may share a did, but not both."""
-    nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("did")), "nodes")
-    roots = components(near_links(nodes, max_bits, **blocks)).select(F.col("node.fp").alias("fp"), F.col("root.did").alias("component"), F.col("root.fp").alias("root"))
+def with_components(rows: DataFrame, max_bits: int = 3, blocks: int = 6, **limits) -> DataFrame:
+    """rows (materialised: did, fp, and keys where the fingerprints are wide) with component, the smallest did that links
+    reach, and root, a fingerprint of that did there: components of different texts may share a did, but not both."""
+    if "keys" in rows.columns:
+        nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("did"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")), "nodes")
+        keyed = nodes.select(F.lit(0).alias("choice"), F.explode("keys").alias("key"), "did", "fp")
+    else:
+        nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("did")), "nodes")
+        keys = F.array(*[F.col("fp")[0].bitwiseAND(F.lit(m)) for m in block_masks(blocks, max_bits)])
+        keyed = nodes.select(F.posexplode(keys).alias("choice", "key"), "did", "fp")
+    roots = components(near_links(keyed, max_bits, **limits)).select(F.col("node.fp").alias("fp"), F.col("root.did").alias("component"), F.col("root.fp").alias("root"))
     named = nodes.join(roots, "fp", "left").select("fp", F.coalesce("component", "did").alias("component"), F.coalesce("root", "fp").alias("root"))
     # written first, so that both sides of the next join have plain shuffles and AQE splits a hot fingerprint
     return rows.join(materialize(named, "named"), "fp")
@@ -156,13 +232,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     df = with_components(fingerprints(docs, text, doc_id, shingle), **limits)
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return df.select(known("did").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), known("component").alias("component_id"))
+    return df.select(known("did").alias("doc_id"), F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), known("component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, **limits) -> DataFrame:
-    """One row of docs of each component: the smallest id, and of its rows the one with the smallest text hash."""
-    df = with_components(fingerprints(docs, text, doc_id, shingle), **limits)
-    kept = df.filter(F.col("did") == F.col("component")).groupBy("did", "root").agg(F.min("th").alias("th")).select("did", "th")
-    did, th = fresh(docs.columns, "_did"), fresh(docs.columns, "_th")
-    keyed = docs.withColumn(did, F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long")).withColumn(th, F.xxhash64(whole_text(text)))
-    return keyed.join(kept.toDF(did, th), [did, th], "left_semi").dropDuplicates([did, th]).drop(did, th)
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float | None = 0.8, **limits) -> DataFrame:
+    """One row of docs of each component: the smallest id, and of its rows the one with the smallest text hash.
+
+    Links are of a Jaccard similarity of shingles of about similarity or more, or without one at most max_bits of 64 bits.
+    Rows are written once with their fingerprints and a number; what is dropped is a list of numbers.
+    """
+    wide = similarity is not None
+    made, uid = fresh(docs.columns, "_made"), fresh(docs.columns, "_uid")
+    held = materialize(with_fingerprint(docs, made, text, shingle, wide).withColumn(uid, F.monotonically_increasing_id()), "fingerprinted")
+    rows = materialize(held.select(*row_keys(doc_id, text), F.col(uid).alias("uid"), f"`{made}`.*"), "rows")
+    df = with_components(rows, **({"max_bits": bits_at(similarity)} if wide else {}), **limits)
+    df = materialize(df.select("root", "component", "did", "th", "uid"), "components")
+    best = df.filter(F.col("did") == F.col("component")).groupBy("root", "did").agg(F.min(F.struct("th", "uid")).alias("best"))
+    kept = materialize(best.select(F.col("best.uid").alias("uid")), "kept")
+    dropped = materialize(df.select("uid").join(kept, "uid", "left_anti").toDF(uid), "dropped")
+    return join_sized(held, dropped, uid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

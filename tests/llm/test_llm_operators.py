@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 from helpers import oracle_rows, rows_of
+from pyspark.sql.functions import col as F_col
 
 from lexmill.llm import exact_dedup, html_text, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash
 from lexmill.llm.oracles import SQL
@@ -83,7 +84,7 @@ def test_simhash_large_buckets(spark):
         chain.append(chain[-1] ^ (7 << 3 * i))
     far = {rng.getrandbits(63) for _ in range(200)}
     numbered = list(enumerate([*fps, *chain, *far]))
-    rows = materialize(spark.createDataFrame([(i, 0, f) for i, f in numbered], "did long, th long, fp long"), "fps")
+    rows = materialize(spark.createDataFrame([(i, 0, [f]) for i, f in numbered], "did long, th long, fp array<long>"), "fps")
     label = dict(enumerate(slow_components(numbered)))
     for limits in ({}, {"small": 2, "chunk": 16}):
         got = {r["did"]: r["component"] for r in simhash.with_components(rows, **limits).collect()}
@@ -96,16 +97,73 @@ def test_simhash_null_and_repeated_ids(spark):
     a, b, c, d, e = (rng.getrandbits(62) for _ in range(5))
     none = simhash.NO_ID
     rows = [(none, 1, a), (none, 2, b), (none, 3, c), (none, 4, b ^ 1), (1, 5, a ^ 1), (7, 6, d), (7, 7, e), (2, 8, e ^ 2)]
-    fps = materialize(spark.createDataFrame(rows, "did long, th long, fp long"), "fps")
+    fps = materialize(spark.createDataFrame([(i, t, [f]) for i, t, f in rows], "did long, th long, fp array<long>"), "fps")
     for limits in ({}, {"small": 1, "chunk": 2}):
         got = {r["th"]: r["component"] for r in simhash.with_components(fps, **limits).collect()}
         assert got == {1: 1, 2: none, 3: none, 4: none, 5: 1, 6: 7, 7: 2, 8: 2}
     texts = [" ".join(rng.choice("abcdefghijklm") * 3 for _ in range(40)) for _ in range(6)]
     docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " "), (1, texts[0]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (2, texts[4]), (7, texts[5])]
-    kept = Counter((r["doc_id"], r["text"].strip()) for r in simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    kept = Counter((r["doc_id"], r["text"].strip()) for r in simhash.keep_first(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, similarity=None).collect())
     assert kept == Counter([(None, texts[1]), (None, texts[2]), (1, texts[0]), (7, texts[3]), (2, texts[4]), (7, texts[5])])
 
 
+def shingles(text, k=5):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def edited(rng, text, n):
+    """The text with n of its words replaced."""
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_similarity_against_brute_force(spark):
+    """Pairs of a Jaccard similarity of five-word shingles of 0.83 or more fall together, those of 0.6 or less don't."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400)))
+        texts += [base] + [edited(rng, base, n) for n in (1, 2, 3, 8, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = materialize(simhash.with_fingerprint(docs, "m", "text", 5, True).select("doc_id", F_col("doc_id").alias("did"), "m.*"), "wide")
+    got = {r["doc_id"]: r["component"] for r in simhash.with_components(rows, simhash.bits_at(0.8)).collect()}
+    sets = [shingles(t) for t in texts]
+    near = far = caught = wrong = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            jaccard = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if jaccard >= 0.83:
+                near, caught = near + 1, caught + (got[i] == got[j])
+            elif i // 6 != j // 6:
+                far, wrong = far + 1, wrong + (got[i] == got[j])
+    assert near > 100
+    assert caught / near >= 0.97
+    assert far > 0
+    assert wrong == 0
+    alone = spark.createDataFrame([(1, texts[0]), (2, edited(rng, texts[0], len(texts[0].split()) // 5))], "doc_id long, text string")
+    assert len(shingles(texts[0]) & shingles(alone.collect()[1]["text"])) / len(sets[0]) < 0.6
+    assert simhash.keep_first(alone).count() == 2
+
+
+def test_wide_fingerprint_brute_force():
+    text = "Some words  and MORE words\nthat go on, and Some words again" * 3
+    found = {xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles(text)}
+    odd = [int(x) for x in simhash.ODD]
+    top = 2**64
+    made = [[(h * odd[i] % top) for h in found] for i in range(len(odd))]
+    for i in range(simhash.WIDE):
+        spread = [((x ^ (x >> 32)) * odd[1]) % top for x in made[i]]
+        bits = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in spread) > len(found))
+        assert simhash.wide_fingerprint(text.encode())[0][i] % top == bits
+    least = [min(x) for x in made[simhash.WIDE :]]
+    blocks = [b"".join(x.to_bytes(8, "little") for x in least[i : i + simhash.SAMPLED]) for i in range(0, len(least), simhash.SAMPLED)]
+    assert simhash.wide_fingerprint(text.encode())[1] == [xxhash.xxh64_intdigest(b, i) - 2**63 for i, b in enumerate(blocks)]
+    assert simhash.wide_fingerprint(b"") == ([0] * simhash.WIDE, [0])
+
+
 def test_fingerprint_in_pieces(monkeypatch):
     text = "Some words  and MORE words\nthat go on " * 50
     whole = simhash.fingerprint(text.encode())

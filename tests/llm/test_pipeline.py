@@ -3,7 +3,6 @@
 from collections import Counter, defaultdict
 
 import pytest
-from test_llm_operators import slow_components, slow_fingerprint
 
 import corpus_pipeline
 from lexmill.llm import mixing, quality_rules
@@ -49,10 +48,27 @@ def test_line_dedup(kept):
 
 
 def test_near_duplicates(kept):
-    docs = [(2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept[2].collect()]
-    label = slow_components([(i, slow_fingerprint(t)) for i, t in docs])
-    left = Counter(2**63 - 1 if r["doc_id"] is None else r["doc_id"] for r in kept[3].collect())
-    assert left == Counter(set(label))
+    """One row of each component stays, text and all; components by comparing all pairs of wide fingerprints."""
+    from lexmill.llm import simhash
+
+    none = 2**63 - 1
+    docs = sorted((none if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept[2].collect())
+    fps = [simhash.wide_fingerprint(t.encode())[0] for _, t in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sum((x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(fps[i], fps[j], strict=True)) <= simhash.bits_at(0.8):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    groups = defaultdict(list)
+    for doc, x in zip(docs, label, strict=True):
+        groups[x].append(doc)
+    left = Counter((none if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept[3].collect())
+    assert sum(left.values()) == len(groups)
+    for held in groups.values():
+        least = min(i for i, _ in held)
+        assert sum(left[doc] for doc in set(held)) == 1
+        assert any(left[doc] for doc in held if doc[0] == least)
 
 
 def test_mixing(kept):
@@ -75,3 +91,7 @@ def test_packing(kept):
 def test_run_is_the_stages(spark, edges, kept):
     pick = lambda df: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert pick(corpus_pipeline.run(spark, edges)) == pick(kept[5])
+
+
+def test_empty_table(spark, nothing):
+    assert corpus_pipeline.run(spark, nothing).count() == 0
