@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's
-docs. SQL cannot tokenise or fit the packing, so ORACLE_SQL is None; the stages are tested against brute force.
+docs. Near duplicates are documents of a Jaccard similarity of five-word shingles of about 0.8 or more. SQL cannot tokenise or fit the packing, so ORACLE_SQL is None; the stages are tested against brute force.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexmill.llm import line_dedup, mixing, packing, quality_rules, simhash
 from lexmill.llm.queries import TOKENIZER
 from lexmill.session import table
-from lexmill.storage import materialize
+from lexmill.storage import materialize, remove, scratch, spread
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; a stage's own intermediate tables, and its input, go once its result is written."""
+    docs, before = spread(table(spark, sf_dir, "documents")), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            written = [made.pop()]
+        remove(spark, before)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
