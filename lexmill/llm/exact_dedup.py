@@ -11,8 +11,8 @@ streams resume from their checkpoints; the state is not read as a whole but by t
 
 The text is hashed once. Entries are combined by digest before the shuffle, so a hot digest is one row a task; in the
 joins AQE splits it. A micro-batch reads at most `max_bytes` of document files, or of ledger. The state has as many stores
-as the first call finds splits of `store_bytes` in the files, `max_stores` at most: a store reserves some MB of disk
-whatever it holds. That number belongs to the folder.
+as the first call finds splits of `store_bytes` in the files, `max_stores` at most, as each has a fixed cost; that number
+belongs to the folder. Stores don't reserve disk ahead (allowFAllocate), which would be some MB each whatever it holds.
 
 Edge cases: null and empty texts are equal; a null id loses to any other; rows of the same id and length are told apart
 by locator, so one row of each group stays; extra columns aren't read; an empty table gives an empty result.
@@ -77,7 +77,7 @@ def run_state(spark: SparkSession, path: str, folder: str, max_bytes: int, store
         now = spark.read.schema(batch.schema).parquet(entries)
         clashes(spark, path, folder, now).write.mode("overwrite").parquet(f"{folder}/clashes/batch={number}")
 
-    settings = {"spark.sql.shuffle.partitions": str(stores), "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    settings = {"spark.sql.shuffle.partitions": str(stores), "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
