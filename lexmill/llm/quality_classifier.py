@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import BLANK_CLASS, hash_cutoff, whole_text, words
-from lexmill.storage import fresh, join_sized, materialize
+from lexmill.storage import fresh, join_sized, materialize, spread
 
 FEATURES = ("size", "word_length", "symbols", "upper", "digits", "marks", "repeats", "dup_lines", "words_seen")
 UNIT, COARSE = 1_000_000, 10_000
@@ -107,8 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str =
     chosen = materialize(chosen.filter(F.xxhash64("doc_id") <= F.lit(hash_cutoff(chosen, F.col("doc_id"), max_labels))), "labels")
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     sample = join_sized(named, chosen, "doc_id", "inner").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
-    sample = materialize(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")), "labelled")  # max_labels rows at most
-    found = sample.select("fold", "y", F.explode(buckets(words(F.col("text")))).alias("bucket")).groupBy("fold", "bucket").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    sample = spread(materialize(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int")), "labelled"))  # max_labels rows at most
+    # words are a column of their own, as each place of the buckets' expression would make them anew
+    split = sample.withColumn("w", words(F.col("text"))).select("fold", "y", "w")
+    found = split.select("fold", "y", F.explode(buckets(F.col("w"))).alias("bucket")).groupBy("fold", "bucket").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
     counts = {(r["fold"], r["bucket"]): (r["good"], r["bad"]) for r in found.collect()}  # two rows a bucket
     halves = [_bucket_weights(counts, (1 - fold,)) for fold in (0, 1)]
     featured, f = with_features(sample, "text", lambda w: F.when(F.col("fold") == 0, seen(w, halves[0])).otherwise(seen(w, halves[1])))
