@@ -118,9 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str =
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return None
-    mean, spread, beta = regression(np.array([r["f"] for r in rows], float), y)
+    mean, deviation, beta = regression(np.array([r["f"] for r in rows], float), y)
     share = min(max(float(y.mean()), 0.01), 0.99)
-    return Model([*zip(mean.tolist(), spread.tolist(), beta[:-1].tolist(), strict=True), (0.0, 1.0, float(beta[-1]))], _bucket_weights(counts, (0, 1)), float(np.log(share / (1 - share))))
+    return Model([*zip(mean.tolist(), deviation.tolist(), beta[:-1].tolist(), strict=True), (0.0, 1.0, float(beta[-1]))], _bucket_weights(counts, (0, 1)), float(np.log(share / (1 - share))))
 
 
 def log_odds(f: str, scales: list[tuple[float, float, float]]) -> Column:
