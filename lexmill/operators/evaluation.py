@@ -106,6 +106,12 @@ def numeric_suffix(value: Column) -> Column:
     return F.substring_index(value, "_", -1).try_cast("long")
 
 
-def batches(order: str, size: int) -> Column:
-    """Number of the batch of size rows, by order; for frames of known, small size."""
-    return F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size)
+def generation_summary(rows: DataFrame, questions: DataFrame, by: str, retrieval: str, generation: str, answer: str) -> DataFrame:
+    """One row: questions, completed and failed ones, mean latencies, p50, p95 (nearest rank) and largest total, mean length
+    of an answer. A question without a row failed."""
+    joined = questions.select(by).join(rows.withColumn("_done", F.lit(True)), by, "left").withColumn("_total", F.col(retrieval) + F.col(generation))
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return joined.agg(
+        F.count("*").alias("total_questions"), F.count("_done").alias("completed"), F.count_if(F.col("_done").isNull()).alias("failed"), mean(retrieval).alias("mean_retrieval"), mean(generation).alias("mean_generation"), mean("_total").alias("mean_total"),
+        F.round(nearest_rank("_total", 0.5), 6).alias("p50_total"), F.round(nearest_rank("_total", 0.95), 6).alias("p95_total"), F.round(F.max("_total"), 6).alias("max_total"), mean(F.length(answer)).alias("mean_answer_chars"),
+    )

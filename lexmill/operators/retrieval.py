@@ -265,6 +265,21 @@ def containing_pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id
     return found.select("query_id", F.col(doc_id).alias("doc_id"))
 
 
+#: How much of a query keywords are taken from, and how many select documents.
+KEYWORD_CHARS, KEYWORDS = 100, 5
+
+
+def keyword_hits(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
+    """query_id, doc_id, score, rank: documents that contain one of a query's first keywords, by the share of all its
+    keywords that they contain. The queries' keywords are broadcast if they take at most max_bytes; tasks keep k a query."""
+    w = F.array_remove(F.split(F.left(F.col(text), F.lit(KEYWORD_CHARS)), r"\s+"), "")
+    asked = materialize(queries.filter(F.col(text).isNotNull()).select(F.col(query_id).alias("query_id"), w.alias("w")).filter(F.size("w") > 0), "keywords")
+    size = asked.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 64)).first()[0] or 0
+    met = spread(docs.select(doc_id, text)).join(F.broadcast(asked) if size <= max_bytes else asked, F.exists(F.slice("w", 1, KEYWORDS), lambda x: F.contains(F.col(text), x)))
+    score = F.size(F.filter("w", lambda x: F.contains(F.col(text), x))) / F.size("w")
+    return top_k(met.select("query_id", F.col(doc_id).alias("doc_id"), F.round(score, 6).alias("score")), k)
+
+
 def named_paths(**paths: DataFrame) -> DataFrame:
     """Union of hit lists (query_id, doc_id, score, rank) with the path's name and order."""
     out = None

@@ -183,3 +183,48 @@ def contained(passages: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """passages semi-joined with docs by key where the passage, white space folded, stands in the document."""
     fold = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
     return join_sized(docs, passages, key, "inner").filter(fold(F.col("text")).contains(fold(F.col("passage"))))
+
+
+#: Statuses that need a person.
+UNRESOLVED = ("ambiguous", "missing", "contradicted", "needs_confirmation")
+
+
+def built_fact(value: Column, given_status: Column, n_evidence: Column, confidence: Column, flagged: Column) -> dict[str, Column]:
+    """Columns of a fact from a draft: confidence between 0 and 1, status, whether it needs confirmation, normal value.
+
+    A contradiction or ambiguity that the draft states stays, whatever its value.
+    """
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    derived = fact_status(value, n_evidence, sure)
+    status = F.when(given_status.isin("contradicted", "ambiguous"), given_status).when((derived == "extracted") & (given_status == "confirmed"), "confirmed").otherwise(derived)
+    return {"confidence": sure, "status": status, "needs_confirmation": F.coalesce(flagged, F.lit(False)) | status.isin(*UNRESOLVED), "normalized_value": normal_value(value)}
+
+
+def allowed_actions(status: Column, needs_confirmation: Column, value: Column, n_evidence: Column) -> Column:
+    """What a user may do with a fact, in the order in which it is offered."""
+    confirm = (status == "confirmed") & ~needs_confirmation & usable(value) & (n_evidence > 0)
+    first = [F.when(confirm, F.lit("confirm")), F.when(n_evidence > 0, F.lit("correct"))]
+    return F.array_compact(F.array(*first, F.lit("supplement"), F.lit("not_applicable"), F.lit("defer")))
+
+
+def confirmation_question(name: Column, status: Column, n_evidence: Column) -> Column:
+    said = lambda form: F.format_string(form, name)
+    return F.when(status == "missing", said("请补充或确认合同中的“%s”信息。")).when(status == "contradicted", said("合同中“%s”出现不一致，请确认以哪一处内容为准。")).when(n_evidence == 0, said("请确认“%s”的原文位置和具体内容。")).otherwise(said("请确认合同中的“%s”是否准确。"))
+
+
+def initial_state(needs_confirmation: Column, value: Column) -> Column:
+    """Struct(state, effective_value, source) of a fact that no user has touched."""
+    return F.struct(F.when(needs_confirmation, "unreviewed").otherwise("confirmed").alias("state"), F.when(~needs_confirmation, value).alias("effective_value"), F.when(needs_confirmation, "none").otherwise("contract").alias("source"))
+
+
+def review_status(states: DataFrame, by: str, state: str, question: str) -> DataFrame:
+    """by, status, n_pending, first_question of each review: it waits while facts are unreviewed or deferred."""
+    open_ = F.col(state).isin("unreviewed", "deferred")
+    grouped = states.groupBy(by).agg(F.count_if(open_).alias("n_pending"), F.min(F.when(open_, F.col(question))).alias("first_question"))
+    return grouped.withColumn("status", F.when(F.col("n_pending") > 0, "awaiting_confirmation").otherwise("ready"))
+
+
+def first_sources(hits: DataFrame, by: str, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key within a review, in the order in which its queries found it."""
+    first = F.row_number().over(Window.partitionBy(by, *key).orderBy(*order))
+    return hits.withColumn("_n", first).filter("_n = 1").drop("_n")

@@ -36,7 +36,11 @@ def constraint_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def status_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    """How many labelled documents of each source are in each state of activation."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang").join(table(spark, sf, "labels"), "doc_id")
+    level = F.when(F.col("lang") == "en", "A").when(F.col("lang") == "de", "B").otherwise("C")
+    status = F.when(~G.eligible(level, F.col("toxic") == 0, F.lit("ACTIVE")), "BLOCKED").when(F.col("quality") == 1, "ACTIVE").otherwise("PENDING")
+    return docs.groupBy("source", status.alias("status")).agg(F.count("*").alias("n"))
 
 
 def field_pending_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,9 +124,11 @@ def heading_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quote_places(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's own first 40 characters, white space folded, located in it again."""
-    quote = F.trim(F.regexp_replace(F.left(F.col("text"), F.lit(40)), r"\s+", " "))
-    return _docs(spark, sf).select("doc_id", V.locate_quote(quote, F.col("text")).alias("p")).select("doc_id", "p.*")
+    """60 characters from the middle of each document, located in it: as they are, with other white space, or altered."""
+    i, n = F.col("doc_id"), F.length("text")
+    raw = F.regexp_replace(F.substr("text", (n / 2).cast("int") + 1, F.lit(60)), r"^\s+|\s+$", "")
+    quote = F.when(i % 5 == 0, F.concat(F.lit("zq"), raw)).when(i % 5 < 3, F.replace(raw, F.lit(" "), F.lit("\n  "))).otherwise(raw)
+    return _docs(spark, sf).withColumn("q", quote).select("doc_id", V.locate_quote(F.col("q"), F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
 def batch_plans(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,7 +215,12 @@ SQL = {
     "governance_filter": "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS rank FROM documents JOIN labels USING (doc_id) WHERE lang IN ('en', 'de') AND toxic = 0 AND quality = 1",
     "constraint_errors": """WITH e AS (SELECT doc_id, list_filter([CASE WHEN length(t) < 200 THEN 'too_short' END, CASE WHEN NOT contains(t, '.') THEN 'no_stop' END, CASE WHEN length(t) > 20000 THEN 'too_long' END, CASE WHEN coalesce(length(t) <> n_chars, true) THEN 'wrong_count' END, CASE WHEN coalesce(lang NOT IN ('en', 'de'), true) THEN 'other_language' END], lambda x: x IS NOT NULL) AS e FROM (SELECT *, coalesce(text, '') AS t FROM documents))
       SELECT doc_id, array_to_string(e, ',') AS errors, len(e)::INT AS n_errors FROM e""",
-    "status_histogram": "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1",
+    "status_histogram": "SELECT source, CASE WHEN lang NOT IN ('en', 'de') OR toxic <> 0 THEN 'BLOCKED' WHEN quality = 1 THEN 'ACTIVE' ELSE 'PENDING' END AS status, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2",
+    "quote_places": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), r AS (SELECT *, regexp_replace(substr(text, length(text) // 2 + 1, 60), '^\s+|\s+$', '', 'g') AS raw FROM d),
+      q AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'zq' || raw WHEN doc_id % 5 < 3 THEN replace(raw, ' ', chr(10) || '  ') ELSE raw END AS q FROM r),
+      f AS (SELECT *, strpos(text, q) AS pos, regexp_extract(text, array_to_string(list_transform(regexp_extract_all(q, '\S+'), lambda x: regexp_escape(x)), '\s+')) AS folded FROM q)
+      SELECT doc_id, CASE WHEN length(q) > 0 AND pos > 0 THEN 'exact' WHEN length(q) > 0 AND folded <> '' THEN 'normalized' END AS match_type, CASE WHEN length(q) > 0 AND pos > 0 THEN pos - 1 WHEN length(q) > 0 AND folded <> '' THEN strpos(text, folded) - 1 END::INT AS char_start,
+      CASE WHEN length(q) > 0 AND pos > 0 THEN pos - 1 + length(q) WHEN length(q) > 0 AND folded <> '' THEN strpos(text, folded) - 1 + length(folded) END::INT AS char_end FROM f""",
     "field_pending_counts": "SELECT 'o_orderstatus' AS field, count(*) FILTER (o_orderstatus LIKE 'P%') AS n FROM orders UNION ALL SELECT 'o_orderpriority', count(*) FILTER (o_orderpriority LIKE '1%') FROM orders",
     "private_key_rows": r"""SELECT event_type, count(*) FILTER (regexp_matches(coalesce(props, ''), '"(?:token|k|a|ref)"\s*:')) AS n_private, count(*) AS n FROM events GROUP BY 1""",
     "rule_alias_join": f"WITH {HITS} SELECT rule_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM hits GROUP BY 1",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import store
 from lexmill.session import table
+from lexmill.sources.readers import json_from_model
 from lexmill.streaming import ingest
 
 NOW = "1997-01-01 00:00:00"
@@ -70,8 +71,10 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = table(spark, sf, "events").withColumn("v", F.try_parse_json("props"))
-    return parsed.groupBy("event_type").agg(F.count("v").alias("n_parsed"), F.count("*").alias("n"))
+    """The number in each kind's JSON, from text that says more before and after it."""
+    said = F.concat(F.lit("Here it is: ```json "), "props", F.lit(" ``` as asked {"))
+    value = F.try_variant_get(json_from_model(said), "$.k", "long")
+    return table(spark, sf, "events").withColumn("k", value).groupBy("event_type").agg(F.count("k").alias("n_parsed"), F.sum("k").alias("total"), F.min("k").alias("least"), F.max("k").alias("most"), F.count("*").alias("n"))
 
 
 def debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +100,7 @@ SQL = {
     "next_version": "SELECT o_orderkey, (coalesce(max(l_linenumber), 0) + 1)::BIGINT AS next_version FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "optimistic_lock": "WITH s AS (SELECT l_orderkey AS id, max(l_linenumber) AS r FROM lineitem GROUP BY 1) SELECT coalesce(o_orderkey % 4 + 1 = r, false) AS accepted, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM orders LEFT JOIN s ON id = o_orderkey GROUP BY 1",
     "delete_cascade": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1",
-    "json_props": "SELECT event_type, count(*) FILTER (json_valid(props)) AS n_parsed, count(*) AS n FROM events GROUP BY 1",
+    "json_props": "WITH e AS (SELECT event_type, (props->>'k')::BIGINT AS k FROM events) SELECT event_type, count(k) AS n_parsed, sum(k)::BIGINT AS total, min(k) AS least, max(k) AS most, count(*) AS n FROM e GROUP BY 1",
     "debounce_sessions": """WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS b FROM g)
       SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, b""",
     "stream_dedupe": "SELECT DISTINCT sha256(coalesce(text, '')) AS sha256, length(coalesce(text, '')) AS n_chars FROM documents",
