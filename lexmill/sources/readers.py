@@ -49,10 +49,10 @@ def parquet_roles(spark: SparkSession, folder: str, roles: tuple[str, ...]) -> d
     """One Parquet file a role, told by the role in its name; none or two are an error."""
     out = {}
     for role in roles:
-        df = spark.read.option("pathGlobFilter", f"*{role}*.parquet").option("recursiveFileLookup", "true").parquet(folder)
-        if len(df.inputFiles()) != 1:
-            raise ValueError(f"{len(df.inputFiles())} files for {role} in {folder}")
-        out[role] = df
+        named = spark.read.format("binaryFile").option("pathGlobFilter", f"*{role}*.parquet").option("recursiveFileLookup", "true").load(folder).select("path").take(2)
+        if len(named) != 1:
+            raise ValueError(f"{folder} needs exactly one Parquet file of {role}")
+        out[role] = spark.read.parquet(named[0]["path"])
     return out
 
 

@@ -95,8 +95,9 @@ def test_small_readers(spark, tmp_path):
     (tmp_path / "one.json").write_text('{"a": 1,\n "b": "x"}')
     assert tuple(readers.json_object(spark, str(tmp_path / "one.json")).first()) == (1, "x")
     folder = tmp_path / "trio"
+    folder.mkdir()
     for role in ("corpus", "questions"):
-        spark.range(2).toPandas().to_parquet(folder / f"{role}.parquet") if folder.exists() else (folder.mkdir(), spark.range(2).toPandas().to_parquet(folder / f"{role}.parquet"))
+        spark.range(2).toPandas().to_parquet(folder / f"{role}.parquet")
     found = readers.parquet_roles(spark, str(folder), ("corpus", "questions"))
     assert {k: v.count() for k, v in found.items()} == {"corpus": 2, "questions": 2}
     with pytest.raises(ValueError):
