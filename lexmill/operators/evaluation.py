@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.storage import materialize
+
 #: Phrases of a refusal.
 REFUSALS = ("知识库中未找到", "未找到相关信息", "没有找到相关信息", "无法从参考资料", "无法根据参考资料", "insufficient information", "not enough information", "cannot answer", "can't answer")
 METRICS = ("hit_at_1", "hit_at_3", "rr", "recall")
@@ -92,12 +94,49 @@ def inspect_answer(answer: Column, n_contexts: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons]))
 
 
-def spot_checks(rows: DataFrame, row_id: str, mandatory: Column, latency: str, length: str, slowest: int = 2) -> DataFrame:
+def at_positions(rows: DataFrame, row_id: str, shares: tuple[float, ...]) -> DataFrame:
+    """row_id, place: the ids at the given shares of the table's length in the order of ids; 1.0 is the last row.
+
+    Ids are sorted by range and numbered within their task, so only a count a task comes to the driver.
+    """
+    sorted_ids = rows.select(row_id).repartitionByRange(row_id).sortWithinPartitions(row_id)
+    ids = materialize(sorted_ids.withColumn("_at", F.monotonically_increasing_id()), "positions")
+    counts = sorted((r["task"], r["n"]) for r in ids.groupBy(F.shiftright("_at", 33).alias("task")).agg(F.count("*").alias("n")).collect())
+    total, wanted = sum(n for _, n in counts), []
+    for place, share in enumerate(shares):
+        at = min(int(total * share), total - 1)
+        for task, n in counts:
+            if at < n:
+                wanted.append((place, (task << 33) + at))
+                break
+            at -= n
+    held = rows.sparkSession.createDataFrame(wanted, "place int, _at long")
+    return ids.join(F.broadcast(held), "_at").select(row_id, "place")
+
+
+#: Where in the order of rows a sample is filled up from.
+COVERAGE = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def spot_checks(rows: DataFrame, row_id: str, mandatory: Column, latency: str, length: str, slowest: int = 2, target: int = 0) -> DataFrame:
     """row_id and the sorted reasons of rows to check by hand: mandatory ones (array of reasons), the slowest, the
-    shortest and the longest answer. Extremes are top-k's, not sorts of all rows."""
+    shortest and the longest answer. Extremes are top-k's, not sorts of all rows.
+
+    While these are fewer than target, rows at fixed shares of the table, then rows from its start, are added; those passed
+    on the way get the reason too.
+    """
     always = rows.select(row_id, F.explode(mandatory).alias("reason"))
     top = lambda reason, n, *order: rows.orderBy(*order, row_id).limit(n).select(row_id, F.lit(reason).alias("reason"))
     picks = always.unionByName(top("latency_outlier", slowest, F.col(latency).desc())).unionByName(top("shortest_answer", 1, F.col(length))).unionByName(top("longest_answer", 1, F.col(length).desc()))
+    if target:
+        first = rows.select(row_id).distinct().orderBy(row_id).limit(target)
+        # at most five and target rows, so one task numbers them
+        walk = at_positions(rows, row_id, COVERAGE).unionByName(first.withColumn("place", F.row_number().over(Window.orderBy(row_id)) + len(COVERAGE)))
+        picked = picks.select(row_id).distinct()
+        order = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        fresh = walk.join(picked.withColumn("_picked", F.lit(True)), row_id, "left").withColumn("_new", (F.col("_picked").isNull() & (F.row_number().over(Window.partitionBy(row_id).orderBy("place")) == 1)).cast("long"))
+        before = fresh.withColumn("_before", F.coalesce(F.sum("_new").over(order), F.lit(0))).crossJoin(F.broadcast(picked.agg(F.count("*").alias("_n"))))
+        picks = picks.unionByName(before.filter(F.col("_n") + F.col("_before") < target).select(row_id, F.lit("deterministic_coverage_sample").alias("reason")))
     return picks.groupBy(row_id).agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
 
 

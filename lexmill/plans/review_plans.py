@@ -176,7 +176,7 @@ def answer_inspection(spark: SparkSession, sf: str) -> DataFrame:
 
 def spotcheck(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).select("doc_id", "n_chars", F.length("text").alias("length"), F.when(F.col("text").contains("###"), F.array(F.lit("invalid_citation"))).otherwise(F.array().cast("array<string>")).alias("must"))
-    return E.spot_checks(docs, "doc_id", F.col("must"), "n_chars", "length")
+    return E.spot_checks(docs, "doc_id", F.col("must"), "n_chars", "length", target=100)
 
 
 def release_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,8 +261,13 @@ SQL = {
     "answer_inspection": r"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS t, list_transform(regexp_extract_all(coalesce(text, ''), '\[(\d{1,9})\]', 1), lambda x: x::INT) AS c FROM conversations WHERE role = 'assistant')
       SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN regexp_matches(lower(t), 'insufficient information|not enough information|cannot answer|can''t answer') THEN 'refusal_answer' END, CASE WHEN len(c) = 0 THEN 'missing_citation' END, CASE WHEN len(list_filter(c, lambda x: x < 1 OR x > 3)) > 0 THEN 'invalid_citation' END, CASE WHEN length(t) < 50 THEN 'short_answer' END, CASE WHEN contains(t, '\n') THEN 'literal_escaped_newlines' END], lambda x: x IS NOT NULL), ',') AS reasons FROM a""",
     "spotcheck": """WITH d AS (SELECT doc_id, n_chars, length(coalesce(text, '')) AS n, coalesce(text, '') AS t FROM documents),
-      p AS (SELECT doc_id, 'invalid_citation' AS reason FROM d WHERE contains(t, '###') UNION ALL (SELECT doc_id, 'latency_outlier' FROM d ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 2) UNION ALL (SELECT doc_id, 'shortest_answer' FROM d ORDER BY n, doc_id LIMIT 1) UNION ALL (SELECT doc_id, 'longest_answer' FROM d ORDER BY n DESC, doc_id LIMIT 1))
-      SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM p GROUP BY doc_id""",
+      p AS (SELECT doc_id, 'invalid_citation' AS reason FROM d WHERE contains(t, '###') UNION ALL (SELECT doc_id, 'latency_outlier' FROM d ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 2) UNION ALL (SELECT doc_id, 'shortest_answer' FROM d ORDER BY n, doc_id LIMIT 1) UNION ALL (SELECT doc_id, 'longest_answer' FROM d ORDER BY n DESC, doc_id LIMIT 1)),
+      k AS (SELECT DISTINCT doc_id FROM p), n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM d),
+      w AS (SELECT n.doc_id, v.place FROM n JOIN (VALUES (0, 0.0), (1, 0.25), (2, 0.5), (3, 0.75), (4, 1.0)) v(place, share) ON pos = least(floor(n * share), n - 1) UNION ALL SELECT doc_id, pos + 5 FROM n WHERE pos < 100),
+      x AS (SELECT *, (doc_id NOT IN (SELECT doc_id FROM k) AND row_number() OVER (PARTITION BY doc_id ORDER BY place) = 1)::INT AS fresh FROM w),
+      y AS (SELECT *, coalesce(sum(fresh) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+      z AS (SELECT * FROM p UNION ALL SELECT doc_id, 'deterministic_coverage_sample' FROM y WHERE (SELECT count(*) FROM k) + before < 100)
+      SELECT doc_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM z GROUP BY doc_id""",
     "release_gate": "SELECT toxic, bool_and(quality = 1) AND count(*) >= 10 AS passed, count(*) FILTER (quality = 1) AS n_approved, count(*) AS n FROM labels GROUP BY toxic",
     "metric_means": "SELECT event_type, round(avg(value) FILTER (event_id % 10 > 1), 6) AS mean, count(value) FILTER (event_id % 10 > 1) AS n_scored, round(count(value) FILTER (event_id % 10 > 1) / count(*), 6) AS coverage FROM events GROUP BY 1",
     "percentile_nearest": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1",
