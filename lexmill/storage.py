@@ -49,6 +49,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet to the shared folder and read it back: the lineage is cut and any executor can reread it."""
     path = shared_path(df.sparkSession, name)
