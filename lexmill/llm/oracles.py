@@ -74,4 +74,61 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM e GROUP BY conv_id
 """
 
-SQL = {"op4_chat_format": OP4, "op1_quality_rules": OP1, "op3_mixing": OP3, "op5_exact_dedup": OP5, "op10_line_dedup": OP10}
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(doc_id, 9223372036854775807) AS did, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (did > min(did) OVER (PARTITION BY text))::INT AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*)::BIGINT AS n, sum(good)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM m GROUP BY part, mask),
+o AS (
+  SELECT '' AS filter_order, 0 AS held UNION ALL
+  SELECT filter_order || x, held | (1 << i) FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([0, 1, 2, 3, 4]) AS i) WHERE held & (1 << i) = 0),
+s AS (
+  SELECT filter_order, step, (1 << (ascii(substr(filter_order, step, 1)) - 65)) AS bit,
+    list_sum([0] || list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k::INT, 1)) - 65)))::INT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5))
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step, bit, before
+"""
+
+OP12 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT row_number() OVER () AS pid, lang, words FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM t) WHERE len(words) > 0),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, words[i:i + m - 1] AS w FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, m, array_to_string(w, ' ') AS phrase, count(*)::BIGINT AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+x AS (
+  SELECT c.lang, c.m, c.phrase, a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+e AS (SELECT lang, m - 1 AS m, f, unnest([array_to_string(string_split(phrase, ' ')[1:m - 1], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase FROM f WHERE m > 2),
+y AS (SELECT lang, phrase, max(f) AS most FROM e GROUP BY lang, phrase),
+s AS (SELECT b.* FROM b LEFT JOIN y ON y.lang = b.lang AND y.phrase = b.phrase WHERE y.most IS NULL OR 100 * y.most::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+OP13 = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, coalesce(vec_id, 9223372036854775807) AS did, label, embedding::DOUBLE[] AS e,
+    label IS NOT NULL AND coalesce(len(embedding), 0) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings),
+u AS (SELECT rid, label, e, len(e) AS dim, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE ok),
+p AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.label = b.label AND a.dim = b.dim AND a.rid <> b.rid WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT rid AS a, rid AS b FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT r.a AS rid, min(v.did) AS component FROM r JOIN v ON v.rid = r.b GROUP BY r.a),
+n AS (SELECT a AS rid, count(*) AS n_links FROM p GROUP BY a)
+SELECT nullif(did, 9223372036854775807) AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, nullif(component, 9223372036854775807) AS component_id, did = component AS kept
+FROM v JOIN k USING (rid) LEFT JOIN n USING (rid)
+"""
+
+SQL = {"op11_filter_audit": OP11, "op12_phrases": OP12, "op13_embedding_dups": OP13, "op4_chat_format": OP4, "op1_quality_rules": OP1, "op3_mixing": OP3, "op5_exact_dedup": OP5, "op10_line_dedup": OP10}

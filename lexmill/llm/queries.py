@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, exact_dedup, html_text, licences, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash
+from lexmill.llm import chat, embedding_dups, exact_dedup, filter_audit, html_text, licences, line_dedup, mixing, oracles, packing, phrases, quality_classifier, quality_rules, simhash
 from lexmill.session import table
 from lexmill.storage import spread
 
@@ -65,8 +65,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_stream(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
+def op13_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_embeddings(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+
+
 def queries() -> dict:
-    found = (op1_quality_rules, op2_packing, op3_mixing, op4_chat_format, op5_exact_dedup, op6_simhash, op7_html_text, op8_licences, op9_quality_classifier, op10_line_dedup)
+    found = (op1_quality_rules, op2_packing, op3_mixing, op4_chat_format, op5_exact_dedup, op6_simhash, op7_html_text, op8_licences, op9_quality_classifier, op10_line_dedup, op11_filter_audit, op12_phrases, op13_embedding_dups)
     return {f.__name__: f for f in found}
 
 
