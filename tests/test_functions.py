@@ -1,5 +1,8 @@
 """Golden values of the scalar functions."""
 
+import hashlib
+import re
+import unicodedata
 import uuid
 
 import pytest
@@ -15,6 +18,54 @@ def one(spark, expr, **values):
     return row.select(expr.alias("r")).first()["r"]
 
 
+def plainly_redacted(text: str) -> tuple[str, dict[str, int]]:
+    """Brute force: the whole text spelled out character by character, every shape tried at every place."""
+    spelled = [("" if unicodedata.category(c) == "Cf" else unicodedata.normalize("NFKC", c), i) for i, c in enumerate(text)]
+    view, owner = "".join(x for x, _ in spelled), [i for x, i in spelled for _ in x]
+    hits = [(owner[m.start()], pii.KINDS.index(kind), owner[m.start()] - owner[m.end() - 1], k, owner[m.end() - 1], re.sub("[ -]", "", m[0]), head, tail, mask) for k, (shape, kind, head, tail, mask) in enumerate(pii.SHAPES) for m in re.finditer(shape, view)]
+    out, counts, at = "", dict.fromkeys(pii.KINDS, 0), 0
+    for start, kind, _, _, end, digits, head, tail, mask in sorted(hits):
+        if start >= at:
+            counts[pii.KINDS[kind]] += 1
+            out, at = out + text[at:start] + digits[:head] + mask + digits[-tail:], end + 1
+    return out + text[at:], counts
+
+
+def separated_numbers() -> list[str]:
+    """A phone and a card number with each character that may stand in one, as separator and as digit, and what is near."""
+    near = {p for p in range(0x110000) if unicodedata.category(chr(p)) == "Cf" or (unicodedata.decomposition(chr(p)) and any(x in " -Xx" or x.isdecimal() for x in unicodedata.normalize("NFKC", chr(p))))}
+    marks = [chr(p) for p in sorted(near | {32, 45, 88, 0x2010, 0x2011, 0x2013, 0x660, 0x1680, 9, 10})]
+    out = [t.format(m) for m in marks for t in ("call 138{0}0013{0}8000.", "6222{0}0212{0}3456{0}7890", "1{0}38001380{0}0", "11010519900101123{0} {0}")]
+    return [*out, "⑩" * 9, "1㊿㊿㊿㊿㊿", "x" * 30, "1 " * 40, "-" * 30, "138" + "\u200b" * 50 + "00138000", "13800138000" * 2, "6222021234567890 " * 3]
+
+
+def test_redaction_lets_nothing_by(spark):
+    """The query's values equal brute force whatever stands between the digits; so do those of the documents."""
+    texts = separated_numbers()
+    assert [pii.redact_text(t)[:2] for t in texts] == [plainly_redacted(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pii.redacted(F.col("t")).alias("r"), pii.suspect(F.col("t")).alias("s"))
+    for r in docs.collect():
+        text, counts = plainly_redacted(texts[r["i"]])
+        assert (r["r"]["text"], {k: r["r"][k] for k in pii.KINDS}) == (text, counts), texts[r["i"]]
+        assert r["s"] or text == texts[r["i"]]
+        assert r["r"]["hidden"] == sum(unicodedata.category(c) == "Cf" for c in texts[r["i"]])
+
+
+def test_redaction_queries(spark):
+    from lexmill.plans import corpus_plans
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["source"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["text_md5"], {k: r[k] for k in pii.KINDS}) for r in corpus_plans.redact_cards(spark, sf).collect()}
+    want = {i: (hashlib.md5(plainly_redacted(t)[0].encode()).hexdigest(), plainly_redacted(t)[1]) for i, _, t in docs}
+    assert got == want
+    sums = {}
+    for _, source, t in docs:
+        for k, n in plainly_redacted(t)[1].items():
+            sums[source, k] = sums.get((source, k), 0) + n
+    assert {(r["source"], k): r[k] for r in corpus_plans.redact_counts(spark, sf).collect() for k in pii.KINDS} == sums
+
+
 def test_redaction_golden(spark):
     said = "乙方身份证号：110105199001011234，联系电话：13912345678。银行卡号：6222021234567890，请将款项汇入此账户。"
     want = "乙方身份证号：110105********1234，联系电话：139****5678。银行卡号：6222****7890，请将款项汇入此账户。"
