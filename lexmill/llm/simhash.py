@@ -14,7 +14,10 @@ such pairs must share would be six bits wide. Given a `similarity`, the fingerpr
 distinct shingles, and its blocks are hashes of a sample of the shingles instead of a stretch of the bits: a block has the
 least shingle under each of `SAMPLED` orders that all documents share, so two documents agree in it with probability
 similarity ** SAMPLED, in one of `SAMPLES` blocks almost surely (0.998 at 0.8), and unrelated ones hardly ever, whatever
-the corpus's size. Joining on blocks and checking the Hamming distance of the whole fingerprints is as before.
+the corpus's size. Pairs that share a block and are near by fingerprint are then compared by the sets of their shingles
+themselves, and only those of at least the similarity link; the fingerprint lets all but about one in a thousand of them
+through. A text whose shingles equal another's is the same node. While a text is judged, a list of its words and of its
+shingles' hashes is held, some tens of bytes a word.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle make one
 shingle; a null id ranks above all others; repeated rows get a row each. Links and components are of fingerprints, never
@@ -84,11 +87,12 @@ def hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, ends, strict=False)), np.uint64, len(words) - k + 1))
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[list[int], list[int]]:
-    """WIDE signed words of the fingerprint, and the hashes of its SAMPLES blocks."""
+def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[list[int], list[int], bytes]:
+    """WIDE signed words of the fingerprint, the hashes of its SAMPLES blocks, and a digest of all shingles."""
     found = hashes(text, shingle)
+    sig = xxhash.xxh3_128_digest(found.tobytes())
     if not len(found):
-        return [0] * WIDE, [0]
+        return [0] * WIDE, [0], sig
     ones, least = np.zeros(64 * WIDE, np.int64), np.full(SAMPLES * SAMPLED, 2**64 - 1, np.uint64)
     for i in range(0, len(found), 1 << 13):
         some = found[i : i + (1 << 13), None] * ODD[None, :]
@@ -97,26 +101,26 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> tuple[list[int], list[int
         np.minimum(least, some[:, WIDE:].min(axis=0), out=least)
     bits = np.packbits(2 * ones > len(found)).tobytes()
     words = [int.from_bytes(bits[8 * i : 8 * i + 8], "big", signed=True) for i in range(WIDE)]
-    return words, [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(least.reshape(SAMPLES, SAMPLED))]
+    return words, [xxhash.xxh64_intdigest(x.tobytes(), i) - 2**63 for i, x in enumerate(least.reshape(SAMPLES, SAMPLED))], sig
 
 
 def bits_at(similarity: float) -> int:
-    """How many bits of the wide fingerprint differ at a similarity: what is expected of two texts of one length, and 1.6
-    standard deviations."""
+    """How many bits of the wide fingerprint differ at a similarity: what is expected of two texts of one length, and 3
+    standard deviations; pairs within it are compared by their shingles."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * WIDE * p + 1.6 * math.sqrt(64 * WIDE * p * (1 - p)))
+    return round(64 * WIDE * p + 3 * math.sqrt(64 * WIDE * p * (1 - p)))
 
 
 def with_fingerprint(docs: DataFrame, out: str, text: str, shingle: int, wide: bool) -> DataFrame:
-    """docs with the struct out: fp (a word or WIDE of them) and, if wide, the hashes of its blocks."""
+    """docs with the struct out: fp (a word or WIDE of them) and, if wide, the hashes of its blocks and the shingles' digest."""
 
-    @F.arrow_udf("struct<fp:array<long>,keys:array<long>>" if wide else "struct<fp:array<long>>")
+    @F.arrow_udf("struct<fp:array<long>,keys:array<long>,sig:binary>" if wide else "struct<fp:array<long>>")
     def make(texts: pa.Array) -> pa.Array:
         each = (x.encode() for x in one_by_one(texts))
         if not wide:
             return pa.StructArray.from_arrays([pa.array([[fingerprint(x, shingle)] for x in each], pa.list_(pa.int64()))], ["fp"])
         rows = [wide_fingerprint(x, shingle) for x in each]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (0, 1)], ["fp", "keys"])
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], ["fp", "keys", "sig"])
 
     return docs.withColumn(out, make(whole_text(text)))
 
@@ -213,19 +217,90 @@ def near_links(keyed: DataFrame, max_bits: int = 3, small: int = 32, chunk: int
 
 
 def with_components(rows: DataFrame, max_bits: int = 3, blocks: int = 6, **limits) -> DataFrame:
-    """rows (materialised: did, fp, and keys where the fingerprints are wide) with component, the smallest did that links
-    reach, and root, a fingerprint of that did there: components of different texts may share a did, but not both."""
-    if "keys" in rows.columns:
-        nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("did"), F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys")), "nodes")
-        keyed = nodes.select(F.lit(0).alias("choice"), F.explode("keys").alias("key"), "did", "fp")
-    else:
-        nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("did")), "nodes")
-        keys = F.array(*[F.col("fp")[0].bitwiseAND(F.lit(m)) for m in block_masks(blocks, max_bits)])
-        keyed = nodes.select(F.posexplode(keys).alias("choice", "key"), "did", "fp")
-    roots = components(near_links(keyed, max_bits, **limits)).select(F.col("node.fp").alias("fp"), F.col("root.did").alias("component"), F.col("root.fp").alias("root"))
-    named = nodes.join(roots, "fp", "left").select("fp", F.coalesce("component", "did").alias("component"), F.coalesce("root", "fp").alias("root"))
-    # written first, so that both sides of the next join have plain shuffles and AQE splits a hot fingerprint
-    return rows.join(materialize(named, "named"), "fp")
+    """rows (materialised: did, fp) with component, the smallest did that links reach, and root, a fingerprint of that did
+    there: components of different texts may share a did, but not both."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min("did").alias("did")), "nodes")
+    keys = F.array(*[F.col("fp")[0].bitwiseAND(F.lit(m)) for m in block_masks(blocks, max_bits)])
+    keyed = nodes.select(F.posexplode(keys).alias("choice", "key"), "did", "fp")
+    return _named(rows, nodes, near_links(keyed, max_bits, **limits), "fp")
+
+
+def _named(rows: DataFrame, nodes: DataFrame, links: DataFrame, by: str) -> DataFrame:
+    """rows with component and root. nodes: did, one for each value of by; links: a and b, structs of both."""
+    roots = components(links).select(F.col(f"node.{by}").alias(by), F.col("root.did").alias("component"), F.col(f"root.{by}").alias("root"))
+    named = nodes.join(roots, by, "left").select(by, F.coalesce("component", "did").alias("component"), F.coalesce("root", by).alias("root"))
+    # written first, so that both sides of the next join have plain shuffles and AQE splits a hot one's rows
+    return rows.join(materialize(named, "named"), by)
+
+
+def shingle_set(text: bytes, shingle: int) -> bytes:
+    """The distinct shingles' hashes, 32 bits each, sorted."""
+    return np.unique((hashes(text, shingle) >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sorted sets have at least that Jaccard similarity with one."""
+    sizes = np.array([len(x) for x in others])
+    out = (np.minimum(sizes, len(one)) >= similarity * np.maximum(sizes, len(one))) & (len(one) > 0)
+    for some in np.array_split(np.flatnonzero(out), -(-int(sizes[out].sum()) // (1 << 20)) or 1):
+        if len(some):
+            joined = np.concatenate([others[i] for i in some])
+            shared = np.add.reduceat(one[np.minimum(np.searchsorted(one, joined), len(one) - 1)] == joined, np.concatenate(([0], np.cumsum(sizes[some])[:-1])), dtype=np.int64)
+            out[some] = shared >= similarity * (len(one) + sizes[some] - shared)
+    return out
+
+
+def compare_sets(pdf: pd.DataFrame, max_bits: int, similarity: float) -> pd.DataFrame:
+    """Links of the buckets of a cell that keep the components of all similar pairs: those that join what isn't joined yet."""
+    did, sig, fps = pdf["did"].tolist(), pdf["sig"].tolist(), np.array(pdf["fp"].tolist(), np.int64).astype(np.uint64)
+    sets, chunk, out = [np.frombuffer(x, np.uint32) for x in pdf["shingles"]], pdf["chunk"].to_numpy(), []
+    for (_, i, j), rows in pdf.groupby(["key", "i", "j"], sort=False).indices.items():
+        left, right = rows[chunk[rows] == i], rows[chunk[rows] == j]
+        label = np.arange(len(pdf))
+        for at, x in enumerate(left.tolist()):
+            rest = right[at + 1 :] if i == j else right
+            rest = rest[label[rest] != label[x]]
+            rest = rest[_near(fps[x : x + 1], fps[rest], max_bits)[0]]
+            if len(rest):
+                for y in rest[similar(sets[x], [sets[r] for r in rest], similarity)].tolist():
+                    if label[y] != label[x]:
+                        out.append((did[x], sig[x], did[y], sig[y]))
+                        label[rows[label[rows] == label[y]]] = label[x]
+    return pd.DataFrame(out, columns=["a_did", "a_sig", "b_did", "b_sig"], dtype="object")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, chunk: int = 1024, cell: int = 2048) -> DataFrame:
+    """a, b (structs of did and sig): links that keep the components of all pairs of nodes that share a block, are near by
+    fingerprint and have the similarity. nodes: did, uid, fp, keys, sig; texts: uid, text.
+
+    Shingles are made again for the texts of shared blocks only, and go once to each block that they share.
+    """
+    keyed = nodes.select("sig", F.explode("keys").alias("key"))
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    met = materialize(keyed.join(sizes, "key"), "met")
+    live = materialize(nodes.join(met.select("sig").distinct(), "sig", "left_semi"), "live")
+
+    @F.arrow_udf("binary")
+    def make(values: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(x.encode(), shingle) for x in one_by_one(values)], pa.binary())
+
+    sets = materialize(join_sized(texts, materialize(live.select("uid"), "wanted"), "uid", "left_semi").select("uid", make("text").alias("shingles")), "sets")
+    full = live.join(sets, "uid").select("sig", "did", "fp", "shingles")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    dealt = met.join(full, "sig").withColumn("chunk", F.pmod(F.xxhash64("sig"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "did", "sig", "fp", "shingles")
+    total = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / chunk))).first()[0] or 0
+    cells = dealt.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-total // cell)))).alias("cell"))
+    max_bits = bits_at(similarity)
+    links = cells.applyInPandas(lambda pdf: compare_sets(pdf, max_bits, similarity), "a_did long, a_sig binary, b_did long, b_sig binary")
+    return links.select(*[F.struct(F.col(f"{k}_did").alias("did"), F.col(f"{k}_sig").alias("sig")).alias(k) for k in "ab"])
+
+
+def with_similar(rows: DataFrame, texts: DataFrame, similarity: float, shingle: int, **limits) -> DataFrame:
+    """rows (materialised: did, uid, fp, keys, sig) with component, the smallest did that links reach, and root, a digest there."""
+    first = F.min(F.struct("did", "uid", "fp", "keys"))
+    nodes = materialize(rows.groupBy("sig").agg(first.alias("f")).select("sig", "f.*"), "nodes")
+    return _named(rows, nodes, similar_links(nodes, texts, similarity, shingle, **limits), "sig")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, **limits) -> DataFrame:
@@ -238,14 +313,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float | None = 0.8, **limits) -> DataFrame:
     """One row of docs of each component: the smallest id, and of its rows the one with the smallest text hash.
 
-    Links are of a Jaccard similarity of shingles of about similarity or more, or without one at most max_bits of 64 bits.
+    Links are of a Jaccard similarity of shingles of similarity or more, or without one at most max_bits of 64 bits.
     Rows are written once with their fingerprints and a number; what is dropped is a list of numbers.
     """
     wide = similarity is not None
     made, uid = fresh(docs.columns, "_made"), fresh(docs.columns, "_uid")
     held = materialize(with_fingerprint(docs, made, text, shingle, wide).withColumn(uid, F.monotonically_increasing_id()), "fingerprinted")
     rows = materialize(held.select(*row_keys(doc_id, text), F.col(uid).alias("uid"), f"`{made}`.*"), "rows")
-    df = with_components(rows, **({"max_bits": bits_at(similarity)} if wide else {}), **limits)
+    if wide:
+        df = with_similar(rows, held.select(F.col(uid).alias("uid"), whole_text(text).alias("text")), similarity, shingle, **limits)
+    else:
+        df = with_components(rows, **limits)
     df = materialize(df.select("root", "component", "did", "th", "uid"), "components")
     best = df.filter(F.col("did") == F.col("component")).groupBy("root", "did").agg(F.min(F.struct("th", "uid")).alias("best"))
     kept = materialize(best.select(F.col("best.uid").alias("uid")), "kept")

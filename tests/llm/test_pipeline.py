@@ -48,18 +48,12 @@ def test_line_dedup(kept):
 
 
 def test_near_duplicates(kept):
-    """One row of each component stays, text and all; components by comparing all pairs of wide fingerprints."""
-    from lexmill.llm import simhash
+    """One row of each component stays, text and all; components by comparing the shingles of all pairs."""
+    from test_llm_operators import chained, shingles
 
     none = 2**63 - 1
     docs = sorted((none if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept[2].collect())
-    fps = [simhash.wide_fingerprint(t.encode())[0] for _, t in docs]
-    label = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in range(i):
-            if sum((x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(fps[i], fps[j], strict=True)) <= simhash.bits_at(0.8):
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
+    label = chained([shingles(t) for _, t in docs])
     groups = defaultdict(list)
     for doc, x in zip(docs, label, strict=True):
         groups[x].append(doc)
