@@ -15,17 +15,19 @@ f AS (
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]+', '', 'g'))::BIGINT AS n_upper
   FROM w LEFT JOIN rep ON w.rid = rep.rid),
 r AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    (4 * n_symbols > n_words)::INT + (2 * n_upper > word_chars)::INT + (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::INT + (word_chars < 2 * n_words OR word_chars > 14 * n_words)::INT AS n_rules_failed
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [(n_words < 20)::INT, (100 * n_repeat_words > 30 * n_words)::INT] AS base,
+    [(4 * n_symbols > n_words)::INT, (2 * n_upper > word_chars)::INT, (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)::INT, (word_chars < 2 * n_words OR word_chars > 14 * n_words)::INT] AS other
   FROM f),
-h AS (SELECT host, count(*) AS n, sum((base_failed OR n_rules_failed > 0)::BIGINT)::BIGINT AS x FROM r GROUP BY host),
-p AS (SELECT least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(x * x / n) / sum(n) AS sq FROM h),
-k AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(sq - mean * mean, 1e-12) - 1, 2), 10000) AS strength FROM p),
-hr AS (SELECT host, n, strength, (x + mean * strength) / (n + strength) AS rate FROM h, k),
-v AS (SELECT host, rate, CASE WHEN rate - 2 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.6 THEN 'rejected' WHEN rate > 0.02 THEN 'watched' ELSE 'trusted' END AS verdict FROM hr)
+h AS (SELECT host, i AS rule, count(*) AS n, sum(list_concat(base, other)[i])::BIGINT AS x FROM r, (SELECT unnest(range(1, 7)) AS i) GROUP BY host, i),
+p AS (SELECT rule, least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(x * x / n) AS sq, sum(n)::DOUBLE AS docs, count(*) - 1 AS sampling, sum(n::DOUBLE * n) / sum(n) AS weight FROM h GROUP BY rule),
+e AS (SELECT *, CASE WHEN docs - weight - sampling > 1e-9 THEN ((sq - docs * mean * mean) / (mean * (1 - mean)) - sampling) / (docs - weight - sampling) ELSE 0 END AS share FROM p),
+k AS (SELECT rule, mean, round(1 / least(greatest(share, 1 / 10001), 1 / 3) - 1, 6) AS strength FROM e),
+hr AS (SELECT host, mean, n, strength, (x + mean * strength) / (n + strength) AS rate FROM h JOIN k USING (rule)),
+hs AS (SELECT *, sqrt(rate * (1 - rate) / (n + strength + 1)) AS sd FROM hr),
+v AS (SELECT host, max((rate - mean) / sd) AS excess, CASE WHEN bool_or(rate - 2 * sd > greatest(0.5, mean)) THEN 'rejected' WHEN max((rate - mean) / sd) > 2 THEN 'watched' ELSE 'trusted' END AS verdict FROM hs GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_rules_failed <= CASE verdict WHEN 'rejected' THEN -1 WHEN 'watched' THEN 0 ELSE 1 END AS kept,
-  n_rules_failed, round(rate, 9) AS host_rate, verdict AS host_verdict
+  NOT base_failed AND list_sum(other) <= CASE verdict WHEN 'rejected' THEN -1 WHEN 'watched' THEN 0 ELSE 1 END AS kept,
+  list_sum(other)::INT AS n_rules_failed, round(excess, 6) AS host_excess, verdict AS host_verdict
 FROM r JOIN v USING (host)
 """
 

@@ -1,10 +1,14 @@
 """Host-level quality rules.
 
-Each document gets counts and the rules that it fails. Failures are summed by host; a beta prior fitted to all hosts by
-moments shrinks each host's failure rate; the host's verdict then decides how strictly its documents are judged:
-
-* rejected: rate less `sds` standard deviations above `reject_rate`: all its documents go;
-* watched: shrunk rate above `watch_rate`: a document that fails one rule goes;
+Each document gets counts and the rules that it fails. Failures are summed by host and rule; for each rule a beta prior,
+fitted to all hosts by moments, shrinks the hosts' failure rates. The prior's strength comes from the variance of the rates
+beyond what binomial sampling alone gives, so hosts that are all alike are shrunk nearly to the common rate, however few
+documents they have. The host's verdict then decides how strictly its documents are judged:
+
+* rejected: for some rule, the rate less `sds` standard deviations is above both `reject_rate` and the common rate: all its
+  documents go;
+* watched: for some rule, the rate is more than `sds` standard deviations above the common rate: a document that fails one
+  rule goes;
 * trusted: a document goes when it fails two rules, or one of the base rules.
 
 Only DataFrame functions; the text is read once. A row holds a text's words and the hashes of its windows, some tens of bytes
@@ -15,6 +19,8 @@ Edge cases: a null or empty text has no words and fails the base rules; a null h
 are judged one by one; other columns are passed through, whatever their names; an empty table gives an empty result.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,36 +69,65 @@ def with_features(docs: DataFrame, text: str, host: str, out: str) -> DataFrame:
     return df.withColumn(out, features).drop(t, w, h, r, lines)
 
 
+def base_rules(f: str) -> list[Column]:
+    """Too few words; too many in repeated windows."""
+    c = lambda x: F.col(f"{f}.{x}")
+    return [c("n_words") < 20, 100 * c("n_repeat_words") > 30 * c("n_words")]
+
+
 def base_failed(f: str) -> Column:
-    return (F.col(f"{f}.n_words") < 20) | (100 * F.col(f"{f}.n_repeat_words") > 30 * F.col(f"{f}.n_words"))
+    short, repeats = base_rules(f)
+    return short | repeats
 
 
-def rules_failed(f: str) -> Column:
-    """How many of the other rules fail: symbols, shouting, repeated lines, word length."""
+def other_rules(f: str) -> list[Column]:
+    """Symbols, shouting, repeated lines, word length."""
     c = lambda x: F.col(f"{f}.{x}")
-    rules = [4 * c("n_symbols") > c("n_words"), 2 * c("n_upper") > c("word_chars"), (c("n_dup_lines") >= 3) & (10 * c("n_dup_lines") > 3 * c("n_lines")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words"))]
-    return sum((r.cast("int") for r in rules), F.lit(0))
+    return [4 * c("n_symbols") > c("n_words"), 2 * c("n_upper") > c("word_chars"), (c("n_dup_lines") >= 3) & (10 * c("n_dup_lines") > 3 * c("n_lines")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words"))]
 
 
-def host_verdicts(features: DataFrame, f: str, reject_rate: float = 0.6, watch_rate: float = 0.02, sds: float = 2.0) -> DataFrame:
-    """A row a host: host, n_docs, n_failed, host_rate (shrunk), verdict. features has the struct f."""
-    failed = (base_failed(f) | (rules_failed(f) > 0)).cast("long")
-    hosts = materialize(features.groupBy(F.col(f"{f}.host").alias("host")).agg(F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed")), "hosts")
-    n, x = F.col("n_docs"), F.col("n_failed")
-    prior = hosts.agg((F.sum(x) / F.sum(n)).alias("mean"), F.sum(x * x / n).alias("squares"), F.sum(n).alias("docs")).first()
-    mean = min(max(prior["mean"] or 0.0, 1e-6), 1 - 1e-6)
-    spread = max((prior["squares"] or 0.0) / (prior["docs"] or 1) - mean * mean, 1e-12)
-    strength = min(max(mean * (1 - mean) / spread - 1, 2.0), 10_000.0)
-    rate = (x + mean * strength) / (n + strength)
-    sd = F.sqrt(rate * (1 - rate) / (n + strength + 1))
-    verdict = F.when(rate - sds * sd > reject_rate, "rejected").when(rate > watch_rate, "watched").otherwise("trusted")
-    return hosts.select("host", "n_docs", "n_failed", F.round(rate, 9).alias("host_rate"), verdict.alias("verdict"))
+def rules_failed(f: str) -> Column:
+    """How many of the other rules fail."""
+    return sum((r.cast("int") for r in other_rules(f)), F.lit(0))
+
+
+def prior_strength(mean: float, squares: float, docs: float, hosts: float, weight: float) -> float:
+    """How many documents the prior of a rule weighs. squares: sum of x * x / n over hosts; weight: sum of n * n by docs.
+
+    Under a beta prior the variance of the hosts' rates, weighted by documents, is that of binomial sampling (hosts - 1) and
+    a share 1 / (strength + 1) of what free documents add; that share is solved for.
+    """
+    sampling, seen = hosts - 1, (squares - docs * mean * mean) / (mean * (1 - mean))
+    free = docs - weight - sampling
+    share = (seen - sampling) / free if free > 1e-9 else 0.0
+    return round(1 / min(max(share, 1 / 10_001), 1 / 3) - 1, 6)
+
+
+def host_verdicts(features: DataFrame, f: str, reject_rate: float = 0.5, sds: float = 2.0) -> DataFrame:
+    """A row a host: host, n_docs, excess (of the rule that stands out most, in standard deviations above the common rate),
+    verdict. features has the struct f."""
+    rules = [*base_rules(f), *other_rules(f)]
+    hosts = features.groupBy(F.col(f"{f}.host").alias("host")).agg(F.count("*").alias("n_docs"), *[F.count_if(r).alias(f"x{i}") for i, r in enumerate(rules)])
+    hosts = materialize(hosts, "hosts")
+    n = F.col("n_docs").cast("double")
+    sums = hosts.agg(F.sum(n).alias("docs"), F.count("*").alias("hosts"), F.sum(n * n).alias("nn"), *[F.struct(F.sum(f"x{i}").alias("x"), F.sum(F.col(f"x{i}") * F.col(f"x{i}") / n).alias("squares")).alias(f"r{i}") for i in range(len(rules))]).first()
+    docs, excess, surely = sums["docs"] or 1.0, [], []
+    for i in range(len(rules)):
+        mean = min(max((sums[f"r{i}"]["x"] or 0) / docs, 1e-6), 1 - 1e-6)
+        strength = prior_strength(mean, sums[f"r{i}"]["squares"] or 0.0, docs, sums["hosts"], (sums["nn"] or 0.0) / docs)
+        rate = (F.col(f"x{i}") + mean * strength) / (n + strength)
+        sd = F.sqrt(rate * (1 - rate) / (n + strength + 1))
+        excess.append((rate - mean) / sd)
+        surely.append(rate - sds * sd > max(reject_rate, mean))
+    most = F.greatest(*excess)
+    verdict = F.when(functools.reduce(Column.__or__, surely), "rejected").when(most > sds, "watched").otherwise("trusted")
+    return hosts.select("host", "n_docs", F.round(most, 6).alias("excess"), verdict.alias("verdict"))
 
 
 def _judged(df: DataFrame, f: str, **limits) -> tuple[DataFrame, dict[str, str]]:
     """df with the host's verdict and whether the document is kept; the names of the added columns."""
-    names = {x: fresh(df.columns, f"_{x}") for x in ("host", "verdict", "host_rate", "kept")}
-    hosts = host_verdicts(df, f, **limits).select(F.col("host").alias(names["host"]), F.col("verdict").alias(names["verdict"]), F.col("host_rate").alias(names["host_rate"]))
+    names = {x: fresh(df.columns, f"_{x}") for x in ("host", "verdict", "excess", "kept")}
+    hosts = host_verdicts(df, f, **limits).select(F.col("host").alias(names["host"]), F.col("verdict").alias(names["verdict"]), F.col("excess").alias(names["excess"]))
     df = join_sized(df.withColumn(names["host"], F.col(f"{f}.host")), hosts, names["host"])
     allowed = F.when(F.col(names["verdict"]) == "rejected", -1).when(F.col(names["verdict"]) == "watched", 0).otherwise(1)
     # one comparison of both sides of the join: a part on the features alone would be pushed below it and expanded there
@@ -100,12 +135,12 @@ def _judged(df: DataFrame, f: str, **limits) -> tuple[DataFrame, dict[str, str]]
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", **limits) -> DataFrame:
-    """doc_id, counts, base_failed, kept, host verdict and shrunk rate of every document."""
+    """doc_id, counts, base_failed, kept, host verdict and excess of every document."""
     f = "_f"
     narrow = materialize(with_features(docs, text, host, f).select(F.col(doc_id).alias("doc_id"), f), "rules")
     df, names = _judged(narrow, f, **limits)
     counts = [F.col(f"{f}.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return df.select("doc_id", *counts, base_failed(f).alias("base_failed"), F.col(names["kept"]).alias("kept"), rules_failed(f).alias("n_rules_failed"), F.col(names["host_rate"]).alias("host_rate"), F.col(names["verdict"]).alias("host_verdict"))
+    return df.select("doc_id", *counts, base_failed(f).alias("base_failed"), F.col(names["kept"]).alias("kept"), rules_failed(f).alias("n_rules_failed"), F.col(names["excess"]).alias("host_excess"), F.col(names["verdict"]).alias("host_verdict"))
 
 
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:

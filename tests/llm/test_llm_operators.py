@@ -39,6 +39,40 @@ def test_clashing_columns(spark, clashing, keep):
     assert all(r["n_words"] == "extra n_words" for r in out.collect())
 
 
+def test_host_verdicts(spark, tmp_path):
+    """Hosts that fail a rule often, more than others, or as often as all: each verdict occurs and decides what is kept."""
+    from conftest import sentence, write_documents
+
+    rng, rows = random.Random(9), []
+    for host, share in [(f"plain{i}", 0.05) for i in range(30)] + [("worse", 0.3), ("worst", 0.9)]:
+        for i in range(200):
+            text = sentence(rng, 40) + (" " + "#" * 20 if i < 200 * share else "")
+            rows.append((len(rows), text, "en", host))
+    folder = write_documents(tmp_path, rows)
+    got = Q["op1_quality_rules"](spark, folder)
+    assert rows_of(got) == oracle_rows(folder, SQL["op1_quality_rules"], "documents")
+    by = {}
+    for r in got.collect():
+        by.setdefault((r["host_verdict"], r["n_rules_failed"]), set()).add(r["kept"])
+    assert by == {("trusted", 0): {True}, ("trusted", 1): {True}, ("watched", 0): {True}, ("watched", 1): {False}, ("rejected", 0): {False}, ("rejected", 1): {False}}
+    assert {rows[r["doc_id"]][3]: r["host_verdict"] for r in got.collect()} == {f"plain{i}": "trusted" for i in range(30)} | {"worse": "watched", "worst": "rejected"}
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 20, 200])
+def test_alike_hosts_are_shrunk(size):
+    """Hosts of one rate, drawn by chance, give a strength near the cap; unlike ones don't."""
+    rng = random.Random(size)
+
+    def strength(rates):
+        x = [sum(rng.random() < r for _ in range(size)) for r in rates]
+        docs = size * len(x)
+        return quality_rules.prior_strength(sum(x) / docs, sum(v * v / size for v in x), docs, len(x), size)
+
+    assert strength([0.1] * 20_000) > 150
+    if size >= 2:
+        assert strength([rng.betavariate(1, 9) for _ in range(20_000)]) == pytest.approx(10, rel=0.15)
+
+
 def words(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
 
