@@ -5,9 +5,10 @@ a ledger: id, SHA-256 of the text without white space, code points, and the cont
 second reads the ledger into Spark's keyed state: by digest, without expiry, on disk in RocksDB, it retains the stable
 identifier (the first copy's locator), the copy that stays with its id and locator, and the number of copies. Each of its
 micro-batches hands on the entries that it changed; hits, rows of a digest that has more than one copy, fetch their texts
-by locator and are compared byte by byte with the first copy, which never changes. Digests with differing bytes are noted
-and their rows are grouped again by their bytes in the end. A repeated micro-batch replaces its own parts, and both
-streams resume from their checkpoints; the state is not read as a whole but by the entries handed on.
+by locator and are compared byte by byte with the first copy, which never changes. Only files that hold a hit or its first
+copy are read for that, and only copies that are new since the micro-batch before are compared. Digests with differing
+bytes are noted and their rows are grouped again by their bytes in the end. A repeated micro-batch replaces its own parts,
+and both streams resume from their checkpoints; the state is not read as a whole but by the entries handed on.
 
 The text is hashed once. Entries are combined by digest before the shuffle, so a hot digest is one row a task; in the
 joins AQE splits it. A micro-batch reads at most `max_bytes` of document files, or of ledger. The state has as many stores
@@ -18,6 +19,9 @@ Edge cases: null and empty texts are equal; a null id loses to any other; rows o
 by locator, so one row of each group stays; extra columns aren't read; an empty table gives an empty result.
 """
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ def documents_read(spark: SparkSession, path: str, streaming: bool, options: dic
     return df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-LEDGER = "doc_id long, digest binary, n_chars long, file string, row long"
+LEDGER = "doc_id long, digest binary, n_chars long, file string, row long, part long"
 
 
 def locator(file: str = "file", row: str = "row") -> Column:
@@ -52,10 +56,14 @@ def locator(file: str = "file", row: str = "row") -> Column:
 
 
 def write_ledger(spark: SparkSession, path: str, folder: str, max_bytes: int) -> None:
-    """Append the ledger rows of all files under path that the folder doesn't have yet."""
+    """Append the ledger rows of all files under path that the folder doesn't have yet, a part a micro-batch."""
     docs = documents_read(spark, path, True, {"maxBytesPerTrigger": str(max_bytes)})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normal("text"), 256)).alias("digest"), F.length(whole_text("text")).cast("long").alias("n_chars"), "file", "row")
-    rows.writeStream.format("parquet").option("path", f"{folder}/ledger").option("checkpointLocation", f"{folder}/ledger-checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/ledger/part={number}")
+
+    rows.writeStream.option("checkpointLocation", f"{folder}/ledger-checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
 def stores_for(spark: SparkSession, path: str, store_bytes: int, max_stores: int) -> int:
@@ -64,29 +72,28 @@ def stores_for(spark: SparkSession, path: str, store_bytes: int, max_stores: int
     return max(4, min(max_stores, -(-size // store_bytes)))
 
 
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+
+
 def run_state(spark: SparkSession, path: str, folder: str, max_bytes: int, stores: int) -> None:
     """Take the ledger's new rows into the state; write the entries that changed and the digests whose bytes clash."""
-    rows = spark.readStream.schema(LEDGER).option("maxBytesPerTrigger", str(max_bytes)).parquet(f"{folder}/ledger")
+    session = spark.newSession()  # with settings of its own, which other queries don't see
+    for k, v in {**SETTINGS, "spark.sql.shuffle.partitions": str(stores), "spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone")}.items():
+        session.conf.set(k, v)
+    rows = session.readStream.schema(LEDGER).option("maxBytesPerTrigger", str(max_bytes)).parquet(f"{folder}/ledger")
     first = F.min_by(F.struct("file", "row"), F.struct(F.col("_seen"), F.col("file"), F.col("row")))
     keyed = rows.withColumn("_seen", F.expr("_metadata.file_modification_time"))
-    state = keyed.groupBy("digest").agg(first.alias("first"), F.max(best()).alias("best"), F.count("*").alias("copies"))
+    state = keyed.groupBy("digest").agg(first.alias("first"), F.max(best()).alias("best"), F.count("*").alias("copies"), F.max("part").alias("last"))
 
     def changed(batch: DataFrame, number: int) -> None:
-        entries = f"{folder}/state/batch={number}"
+        entries, reached = f"{folder}/state/batch={number}", f"{folder}/reached/batch="
         batch.write.mode("overwrite").parquet(entries)
         now = spark.read.schema(batch.schema).parquet(entries)
-        clashes(spark, path, folder, now).write.mode("overwrite").parquet(f"{folder}/clashes/batch={number}")
+        now.agg(F.coalesce(F.max("last"), F.lit(-1)).alias("part")).write.mode("overwrite").parquet(f"{reached}{number}")
+        since = spark.read.parquet(f"{reached}{number - 1}").first()["part"] if number else -1
+        clashes(spark, path, folder, now, since).write.mode("overwrite").parquet(f"{folder}/clashes/batch={number}")
 
-    settings = {"spark.sql.shuffle.partitions": str(stores), "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(changed).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    query.awaitTermination()
+    state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(changed).start().awaitTermination()
 
 
 def dedup_stream(spark: SparkSession, path: str, folder: str | None = None, max_bytes: int = 64 << 30, store_bytes: int = 256 << 20, max_stores: int = 4096) -> DataFrame:
@@ -112,16 +119,33 @@ def dedup_stream(spark: SparkSession, path: str, folder: str | None = None, max_
     return _result(joined.join(clashing, "digest", "left_anti").unionByName(again.select(*joined.columns)))
 
 
-STATE = "digest binary, first struct<file:string,row:long>, best struct<n_chars:long,not_id:long,file:string,row:long>, copies long"
+STATE = "digest binary, first struct<file:string,row:long>, best struct<n_chars:long,not_id:long,file:string,row:long>, copies long, last long"
+
+
+def texts_in(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """Documents of some of the files under path, named as their locators name them."""
+    schema = spark.read.parquet(path).select("doc_id", "text").schema
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files]
+    return spark.read.schema(schema).parquet(*plain).select("text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def clashes(spark: SparkSession, path: str, folder: str, entries: DataFrame) -> DataFrame:
-    """Digests among the changed entries of which a copy's bytes differ from the first one's. Only rows of groups, known by
-    their place, fetch their texts."""
+def clashes(spark: SparkSession, path: str, folder: str, entries: DataFrame, since: int) -> DataFrame:
+    """Digests among the changed entries of which a new copy's bytes differ from the first one's. New: of the ledger's parts
+    from `since` on, which the micro-batch before reached. Only files that hold a new copy or the first one of such a digest
+    are read, and of them only those rows go on."""
     groups = entries.filter(F.col("copies") > 1).select("digest", "first")
-    rows = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").join(groups, "digest")
-    places = rows.select("digest", locator().alias("place"), "row", ((F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))).alias("is_first"))
-    texts = documents_read(spark, path, False, {}).select(locator().alias("place"), "row", "text").join(places, ["place", "row"]).select("digest", "is_first", normal("text").alias("bytes"))
+    rows = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").filter(F.col("part") >= since).join(groups, "digest")
+    rows = materialize(rows.select("digest", "file", "row", "first"), "new-copies")
+    is_first = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
+    copies = rows.filter(~is_first).select("digest", locator().alias("place"), "row", F.lit(False).alias("is_first"))
+    firsts = rows.filter(~is_first).groupBy("digest").agg(F.min("first").alias("first"))
+    firsts = firsts.select("digest", locator("first.file", "first.row").alias("place"), F.col("first.row").alias("row"), F.lit(True).alias("is_first"))
+    # names of files, which the driver lists in any case
+    files = [r[0] for r in rows.filter(~is_first).select(F.explode(F.array("file", "first.file"))).distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "digest binary")
+    places = copies.unionByName(firsts)
+    texts = texts_in(spark, path, files).select(locator().alias("place"), "row", "text").join(places, ["place", "row"]).select("digest", "is_first", normal("text").alias("bytes"))
     known = texts.filter("is_first").select("digest", F.col("bytes").alias("first_bytes"))
     hits = texts.filter("not is_first").join(known, "digest")
     # distinct only after the write: an aggregate by digest right behind the join would keep AQE from splitting a hot one

@@ -306,6 +306,20 @@ def test_exact_dedup_resumes(spark, tmp_path):
     assert got == {(0, 3, 3, False), (1, 3, 3, False), (3, 3, 3, True), (2, 2, 2, True), (4, 2, 2, False)}
 
 
+def test_exact_dedup_reads_files_with_hits_only(spark, tmp_path):
+    """A file without a copy is gone before the second call, which doesn't miss it; its documents stay in the result."""
+    docs, folder = f"{tmp_path}/documents.parquet", f"{tmp_path}/state"
+    spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").coalesce(1).write.parquet(docs)
+    before = set((tmp_path / "documents.parquet").glob("*.parquet"))
+    spark.createDataFrame([(5, "alone")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(docs)
+    (alone,) = set((tmp_path / "documents.parquet").glob("*.parquet")) - before
+    assert exact_dedup.dedup_stream(spark, docs, folder).count() == 3
+    alone.unlink()
+    spark.createDataFrame([(7, "ab  "), (8, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(docs)
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.dedup_stream(spark, docs, folder).collect()}
+    assert got == {(1, 7, 2), (7, 7, 2), (2, 2, 2), (8, 2, 2), (5, 5, 1)}
+
+
 def test_exact_dedup_clashing_digests(spark, edges, monkeypatch):
     """With one digest for all texts, bytes still tell them apart."""
     want = {tuple(r) for r in Q["op5_exact_dedup"](spark, edges).select("doc_id", "keep_id", "group_size", "kept").collect()}
