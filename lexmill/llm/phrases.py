@@ -14,7 +14,7 @@ so these are grown too: of the prefixes (w, c) where c starts a grown prefix, th
 phrase at the threshold bounds from below: 100 f(w, c) >= 80 f(c) t / (2,000,000 - t). The rest of a four-word phrase
 whose count isn't known is counted once its other cuts reach the threshold.
 
-A pass cuts the texts in Arrow tasks into numbers of words, counts phrases of about a million words at a time, and joins
+A pass cuts the texts in Arrow tasks into numbers of words, counts phrases of stretches of STRETCH bytes at a time, and joins
 their prefixes with those that are to be grown: by broadcast only if they are measured to be few, else by a shuffle. A
 bitmap of the prefixes' hashes, of `2 ** BITS` bits whatever their number, keeps tasks from handing on what the join would
 drop; false hits only cost time. Counts are combined before each shuffle, so a frequent word is a row a task. Sums are 64-bit
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 LEAST, TOP, SCALE, UNKNOWN = 30, 2000, 2_000_000, "und"
 
 PLAIN = bytes(10 if i in BREAKS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
-WORDS, SLICE, BITS = 1 << 20, 4 << 20, 25
+STRETCH, SLICE, BITS = 12 << 20, 4 << 20, 25
 PRIME, ODD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,70 +63,79 @@ def head_slots(langs: pa.Array, heads: pa.Array) -> pa.Array:
         return pa.array(slots(out).astype(np.int64))
 
 
+def numbered(data: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Words as numbers, 0 between pieces, and what the numbers stand for."""
+    words = pc.split_pattern(pa.array([data.replace(b"\n", b" \n ")], pa.binary()), b" ").flatten().dictionary_encode()
+    ids, kinds = words.indices.to_numpy().astype(np.int64) + 1, words.dictionary
+    place = {k: v for v, k in enumerate(kinds.to_pylist(), 1) if k in (b"", b"\n")}
+    ids = ids[ids != place.get(b"", -1)]
+    ids[ids == place.get(b"\n", -1)] = 0
+    return ids, pa.concat_arrays([pa.array([b""], pa.binary()), kinds]).cast(pa.string())
+
+
 class Counter:
-    """Words of one language as numbers (0: a break between pieces), and the counts of their phrases."""
+    """Texts of one language, to be counted together."""
 
     def __init__(self, lang: str):
-        self.lang, self.ids, self.chunks, self.n = lang, {b"\n": 0}, [], 0
+        self.lang, self.texts, self.n = lang, [], 0
 
     def add(self, data: bytes) -> None:
-        words = data.replace(b"\n", b" \n ").split(b" ")
-        ids, known = self.ids, self.ids.setdefault
-        found = np.fromiter((known(w, len(ids)) for w in words if w), np.int64)
-        self.chunks += [found, np.zeros(1, np.int64)]
-        self.n += len(found)
-
-    def phrases(self, orders: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[tuple[list[bytes], list[bytes], np.ndarray]]:
-        """For each order: prefixes, last words and counts."""
-        ids, words = np.concatenate(self.chunks), list(self.ids)
-        size, levels = len(words), []
-        hashed = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-        at = np.flatnonzero(ids)  # where phrases of the order so far start, which of the level's they are
-        names, which = np.unique(ids[at], return_inverse=True)
-        with np.errstate(over="ignore"):
-            hashes = np.uint64(xxhash.xxh64_intdigest(self.lang)) * PRIME + hashed[names]
-        levels.append((np.zeros(len(names), np.int64), names))
-        for order in range(1, max(orders) + 1):
-            if order > 1:
-                if order == max(orders) and bitmap is not None:
-                    place = slots(hashes)
-                    grown = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-                    keep = grown[which] > 0
-                    at, which = at[keep], which[keep]
-                keep = at + order - 1 < len(ids)
-                at, which = at[keep], which[keep]
-                nexts = ids[at + order - 1]
-                at, which, nexts = at[nexts > 0], which[nexts > 0], nexts[nexts > 0]
-                keys, which = np.unique(which * size + nexts, return_inverse=True)
+        self.texts.append(data)
+        self.n += len(data)
+
+    def phrases(self, orders: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+        """For each order: the distinct phrases, a column a word, and their counts; with a bitmap those whose prefix is in it,
+        without one first the number of all words."""
+        ids, names = numbered(b"\n".join(self.texts))
+        size = len(names)
+        hashed = np.array([xxhash.xxh64_intdigest(w) for w in names.to_pylist()], np.uint64) if bitmap is not None else None
+        if bitmap is None:
+            yield [pa.array([""])], np.array([np.count_nonzero(ids)])
+        for order in orders:
+            whole = ids[: max(0, len(ids) - order + 1)] > 0
+            for k in range(1, order):
+                whole &= ids[k : k + len(whole)] > 0
+            at = np.flatnonzero(whole)
+            if bitmap is not None:
                 with np.errstate(over="ignore"):
-                    hashes = hashes[keys // size] * PRIME + hashed[keys % size]
-                levels.append((keys // size, keys % size))
-            if order in orders:
-                heads, last = levels[-1]
-                text = [b""] * len(heads)
-                for above, own in reversed(levels[:-1]):
-                    text = [words[w] + b" " + x for w, x in zip(own[heads].tolist(), text, strict=True)]
-                    heads = above[heads]
-                yield [x[:-1] for x in text], [words[w] for w in last.tolist()], np.bincount(which, minlength=len(last))
+                    h = np.full(len(at), xxhash.xxh64_intdigest(self.lang), np.uint64)
+                    for k in range(order - 1):
+                        h = h * PRIME + hashed[ids[at + k]]
+                    place = slots(h)
+                at = at[((bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1) > 0]
+            keys, columns = ids[at], []
+            for k in range(1, order):
+                if k > 1:
+                    kinds, keys = np.unique(keys, return_inverse=True)
+                    columns = [c[kinds // size] for c in columns] + [kinds % size] if columns else [kinds // size, kinds % size]
+                keys = keys * size + ids[at + k]
+            kinds, f = np.unique(keys, return_counts=True)
+            if order == 1:
+                columns = [kinds]
+            else:
+                columns = [c[kinds // size] for c in columns] + [kinds % size] if columns else [kinds // size, kinds % size]
+            yield [names.take(pa.array(c)) for c in columns], f
 
 
 def counted(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """lang, head, last, f: counts of phrases in stretches of about WORDS words; head and last empty: of all words."""
+    """lang, head, last, f: counts of phrases in stretches of STRETCH bytes. With a bitmap, head is the prefix and last the
+    last word; without one, last is the phrase, or empty for the number of all words."""
     held: dict[str, Counter] = {}
 
+    def made(lang: str, head: pa.Array | None, last: pa.Array, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array([lang] * len(last)), pa.nulls(len(last), pa.string()) if head is None else head, last, pa.array(f.astype(np.int64))]
+        whole = pa.RecordBatch.from_arrays(columns, ["lang", "head", "last", "f"])
+        yield from (whole.slice(i, 1 << 16) for i in range(0, len(last), 1 << 16))
+
     def flush() -> Iterator[pa.RecordBatch]:
         for c in held.values():
-            if bitmap is None:
-                yield made(c.lang, [b""], [b""], np.array([sum(np.count_nonzero(x) for x in c.chunks)]))
-            for heads, last, f in c.phrases(orders, bitmap):
-                for i in range(0, len(last), 1 << 16):
-                    yield made(c.lang, heads[i : i + (1 << 16)], last[i : i + (1 << 16)], f[i : i + (1 << 16)])
+            for columns, f in c.phrases(orders, bitmap):
+                if bitmap is None:
+                    yield from made(c.lang, None, pc.binary_join_element_wise(*columns, " "), f)
+                else:
+                    yield from made(c.lang, pc.binary_join_element_wise(*columns[:-1], " "), columns[-1], f)
         held.clear()
 
-    def made(lang: str, heads: list[bytes], last: list[bytes], f: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array([lang] * len(last)), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (heads, last)), pa.array(f.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "head", "last", "f"])
-
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), one_by_one(batch["text"]), strict=True):
             data, start = text.encode().translate(PLAIN), 0
@@ -133,7 +143,7 @@ def counted(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...], bitmap:
                 end = data.find(b"\n", start + SLICE) + 1 or len(data)
                 held.setdefault(lang, Counter(lang)).add(data[start:end])
                 start = end
-                if sum(c.n for c in held.values()) >= WORDS:
+                if sum(c.n for c in held.values()) >= STRETCH:
                     yield from flush()
     yield from flush()
 
@@ -163,8 +173,9 @@ def counts(docs: DataFrame, orders: tuple[int, ...], heads: DataFrame | None, le
     found = docs.mapInArrow(lambda batches: counted(batches, orders, shared and shared.value), "lang string, head string, last string, f long")
     if heads is not None:
         found = join_sized(found.withColumn("k", key("lang", "head")), materialize(heads.select(key("lang", "head").alias("k")), "heads"), "k", "left_semi")
-    phrase = F.when(F.col("head") == "", F.col("last")).otherwise(F.concat_ws(" ", "head", "last"))
-    sums = found.groupBy("lang", phrase.alias("phrase")).agg(F.sum("f").alias("f"))
+    found = found.select("lang", (F.col("last") if heads is None else F.concat_ws(" ", "head", "last")).alias("phrase"), "f")
+    # dealt out before they are summed: tasks have combined their counts already, and doing it again would combine little
+    sums = found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return materialize(sums.filter((F.col("f") >= least) | (F.col("phrase") == "")), name)
 
 
