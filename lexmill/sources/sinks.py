@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators.store import upsert
+from lexmill.storage import exists
 
 PROTECTED = ("prod_", "legal_active_")
 
@@ -16,12 +17,6 @@ def guard(name: str, exists: bool, resume: bool = False, protected: tuple[str, .
         raise ValueError(f"{name} exists; resume to go on with it")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    found = hadoop.Path(path)
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
-
-
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """One immutable version of a table; readers take the last one."""
     path = f"{folder}/version={version:08d}"

@@ -88,11 +88,9 @@ def test_replace_pages(spark, tmp_path):
 def test_ingest_stream_resumes(spark, tmp_path):
     docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
     spark.createDataFrame([(1, "a" * 3000), (2, "b")], "doc_id long, text string").write.parquet(docs)
-    ingest.ingest_stream(spark, docs, out)
-    first = spark.read.parquet(f"{out}/points").count()
+    first = ingest.ingest_stream(spark, docs, out).count()
     spark.createDataFrame([(3, "c")], "doc_id long, text string").write.mode("append").parquet(docs)
-    ingest.ingest_stream(spark, docs, out)
-    points = spark.read.parquet(f"{out}/points")
+    points = ingest.ingest_stream(spark, docs, out)
     assert points.count() == first + 1
     assert points.select("point_id").distinct().count() == points.count()
     assert str(uuid.uuid5(uuid.NAMESPACE_DNS, "2#0")) in {r[0] for r in points.select("point_id").collect()}
