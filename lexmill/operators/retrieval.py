@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -233,16 +234,61 @@ def dense_hits(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     return top_k(out if out is not None else spark.createDataFrame([], f"query_id {asked}, doc_id {ids}, score double"), k)
 
 
+def automaton(phrases: list[str]) -> ahocorasick.Automaton:
+    """Finds every phrase that isn't empty in one pass over a text."""
+    made = ahocorasick.Automaton()
+    for i, phrase in enumerate(phrases):
+        if phrase:
+            made.add_word(phrase, i)
+    made.make_automaton()
+    return made
+
+
+def phrase_blocks(rows: DataFrame, max_bytes: int) -> Iterator[dict[str, list]]:
+    """rows (name, phrase) in blocks of about max_bytes of text: the names of each phrase."""
+    block: dict[str, list] = {}
+    size = 0
+    for name, phrase in rows.toLocalIterator():
+        block.setdefault(phrase, []).append(name)
+        size += len(phrase.encode())
+        if size >= max_bytes:
+            yield block
+            block, size = {}, 0
+    if block:
+        yield block
+
+
+def phrases_found(docs: DataFrame, phrases: dict[str, list], name_type: str, doc_id: str, text: str) -> DataFrame:
+    """query_id, doc_id: names of the phrases that stand in each document; an empty one stands in all. Linear in the text."""
+    kind, spark = docs.schema[doc_id].dataType.simpleString(), docs.sparkSession
+    shared = spark.sparkContext.broadcast(phrases)
+    name = spark.createDataFrame([], f"n {name_type}").toArrow().schema.field(0).type
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, owners, everywhere = automaton(list(shared.value)), list(shared.value.values()), shared.value.get("", [])
+        for batch in batches:
+            at, found = [], []
+            for i, said in enumerate(batch.column(1)):
+                if said.is_valid:
+                    hits = {p for _, p in search.iter(said.as_py())} if len(search) else ()
+                    mine = [n for p in hits for n in owners[p]] + everywhere
+                    at += [i] * len(mine)
+                    found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(found, name), batch.column(0).take(pa.array(at, pa.int64()))], ["query_id", "doc_id"])
+
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), text)).mapInArrow(find, f"query_id {name_type}, doc_id {kind}")
+
+
 #: Words of a passage by which documents that may contain it are found.
 KEY_WORDS = 5
 
 
-def containing_pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "item_id", text: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
+def containing_pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id", passage_id: str = "item_id", text: str = "text", max_bytes: int = 1 << 20) -> DataFrame:
     """query_id, doc_id of the passages that stand in a document's text, character by character.
 
     A passage's words but its first and last stand whole in such a text, so passages and documents meet by the hash of
-    KEY_WORDS of them, and only those that meet are compared. Shorter passages are compared with all documents, in one
-    pass if they take at most max_bytes together.
+    KEY_WORDS of them, and only those that meet are compared. Shorter passages are searched for all at once by an automaton,
+    in a pass over the documents for each max_bytes of them.
     """
     blank = r"\s+"
     items = passages.filter(F.col(text).isNotNull()).select(F.col(passage_id).alias("query_id"), F.col(text).alias("passage"))
@@ -258,10 +304,10 @@ def containing_pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id
     pairs = materialize(met.join(keys, "key").select("query_id", doc_id).distinct(), "met")
     met_docs = join_sized(docs.select(doc_id, text), materialize(pairs.select(doc_id).distinct(), "met-docs"), doc_id, "left_semi")
     found = met_docs.join(pairs, doc_id).join(long.select("query_id", "passage"), "query_id").filter(F.contains(F.col(text), F.col("passage")))
-    size = short.agg(F.sum(F.octet_length("passage") + 16)).first()[0] or 0
-    if size:
-        less = docs.select(doc_id, text).join(F.broadcast(short) if size <= max_bytes else short, F.contains(F.col(text), F.col("passage")))
-        found = found.select("query_id", doc_id).unionByName(less.select("query_id", doc_id))
+    found = found.select("query_id", doc_id)
+    for phrases in phrase_blocks(short, max_bytes):
+        less = phrases_found(docs, phrases, passages.schema[passage_id].dataType.simpleString(), doc_id, text)
+        found = found.unionByName(less.select("query_id", F.col("doc_id").alias(doc_id)))
     return found.select("query_id", F.col(doc_id).alias("doc_id"))
 
 
@@ -269,15 +315,74 @@ def containing_pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id
 KEYWORD_CHARS, KEYWORDS = 100, 5
 
 
-def keyword_hits(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
+@dataclass
+class KeywordBlock:
+    """Some of the queries: ids, distinct keywords, how often each query has each (words x queries), and which are its first."""
+
+    ids: list
+    words: list[str]
+    counts: np.ndarray
+    first: np.ndarray
+
+
+def keyword_blocks(queries: DataFrame, query_id: str, text: str, max_bytes: int) -> Iterator[KeywordBlock]:
+    """The queries by id in blocks whose matrices take at most max_bytes each (one query at least)."""
+    ids, words, entries = [], {}, []
+
+    def block() -> KeywordBlock:
+        counts, first = np.zeros((len(words), len(ids))), np.zeros((len(words), len(ids)))
+        for q, said in enumerate(entries):
+            for place, word in enumerate(said):
+                counts[words[word], q] += 1
+                first[words[word], q] += place < KEYWORDS
+        return KeywordBlock(ids, list(words), counts, first)
+
+    split = F.array_remove(F.split(F.left(F.col(text), F.lit(KEYWORD_CHARS)), r"\s+"), "")
+    for row in queries.filter(F.col(text).isNotNull()).select(F.col(query_id).alias("q"), split.alias("w")).filter(F.size("w") > 0).orderBy("q").toLocalIterator():
+        if ids and 8 * (len(ids) + 1) * len(words.keys() | set(row["w"])) > max_bytes:
+            yield block()
+            ids, words, entries = [], {}, []
+        for word in row["w"]:
+            words.setdefault(word, len(words))
+        ids.append(row["q"])
+        entries.append(row["w"])
+    if ids:
+        yield block()
+
+
+def keyword_hits(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", query_id: str = "item_id", text: str = "text", max_bytes: int = 64 << 20) -> DataFrame:
     """query_id, doc_id, score, rank: documents that contain one of a query's first keywords, by the share of all its
-    keywords that they contain. The queries' keywords are broadcast if they take at most max_bytes; tasks keep k a query."""
-    w = F.array_remove(F.split(F.left(F.col(text), F.lit(KEYWORD_CHARS)), r"\s+"), "")
-    asked = materialize(queries.filter(F.col(text).isNotNull()).select(F.col(query_id).alias("query_id"), w.alias("w")).filter(F.size("w") > 0), "keywords")
-    size = asked.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 64)).first()[0] or 0
-    met = spread(docs.select(doc_id, text)).join(F.broadcast(asked) if size <= max_bytes else asked, F.exists(F.slice("w", 1, KEYWORDS), lambda x: F.contains(F.col(text), x)))
-    score = F.size(F.filter("w", lambda x: F.contains(F.col(text), x))) / F.size("w")
-    return top_k(met.select("query_id", F.col(doc_id).alias("doc_id"), F.round(score, 6).alias("score")), k)
+    keywords that they contain. Each task searches a text for all keywords of a block of queries at once, by an automaton,
+    and hands on its k best a query; no pair of a document and a query is formed but those."""
+    spark, out = docs.sparkSession, None
+    ids, asked = docs.schema[doc_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    schema = f"query_id {asked}, doc_id {ids}, score double"
+    for block in keyword_blocks(queries, query_id, text, max_bytes):
+        shared = spark.sparkContext.broadcast(block)
+        best = spread(docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), text)).mapInArrow(_keyword_scorer(shared, k), schema)
+        out = best if out is None else out.unionByName(best)
+    return top_k(out if out is not None else spark.createDataFrame([], schema), k)
+
+
+def _keyword_scorer(shared, k: int):
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        search, size = automaton(block.words), block.counts.sum(axis=0)
+        best, kind = [(np.empty(0), np.empty(0, object))] * len(block.ids), None
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                found = np.zeros((batch.num_rows, len(block.words)))
+                for i, said in enumerate(batch.column(1)):
+                    found[i, list({p for _, p in search.iter(said.as_py())})] = 1
+                scores = np.where(found @ block.first > 0, np.round(found @ block.counts / size, 6), -np.inf)
+                keep_best(scores, np.array(batch.column(0).to_pylist()), best, k)
+        for q, (scores, docs) in zip(block.ids, best, strict=True):
+            if len(scores):
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(docs)), pa.array(docs.tolist(), kind), pa.array(scores, pa.float64())], ["query_id", "doc_id", "score"])
+
+    return best_of
 
 
 def named_paths(**paths: DataFrame) -> DataFrame:

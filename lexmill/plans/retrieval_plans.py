@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import FUNCTION_WORDS, english_tokens, signal_tokens, specificity
 from lexmill.operators import evaluation as E
+from lexmill.operators import index
 from lexmill.operators import retrieval as R
 from lexmill.session import table
-from lexmill.storage import materialize
+from lexmill.storage import materialize, shared_path
 
 
 def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -35,6 +36,21 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.dense_hits(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def indexed_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The BM25 rows from an index that is written first."""
+    docs, items = _both(spark, sf)
+    folder = shared_path(spark, "text-index")
+    index.build_text_index(docs, folder)
+    return index.search_text_index(spark, folder, items)
+
+
+def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest vectors from an index; recall against dense_topk is tested."""
+    vectors, folder = table(spark, sf, "embeddings"), shared_path(spark, "vector-index")
+    index.build_vector_index(vectors, folder)
+    return index.search_vector_index(spark, folder, vectors.filter("vec_id % 20 = 0"))
+
+
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(R.lexical_hits(*_both(spark, sf)), "paths")  # each path is used by the fusion more than once
 
@@ -107,7 +123,7 @@ def elimination_stage(spark: SparkSession, sf: str) -> DataFrame:
     return E.elimination({"l1": l1, "l2": l2, "l3": l2.filter("rank <= 3")}, materialize(_gold(spark, sf), "gold"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, sparse_topk, cosine_topk, dense_topk, rrf_fusion, path_union, minmax_fusion, funnel_top3, funnel_context, query_specificity, bm25_vocab_stats, gold_pairs, retrieval_hits, retrieval_summary, baseline_compare, elimination_stage)}
+QUERIES = {f.__name__: f for f in (bm25_topk, sparse_topk, cosine_topk, dense_topk, indexed_bm25_topk, ann_topk, rrf_fusion, path_union, minmax_fusion, funnel_top3, funnel_context, query_specificity, bm25_vocab_stats, gold_pairs, retrieval_hits, retrieval_summary, baseline_compare, elimination_stage)}
 
 WORDS = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'), lambda x: lower(x))"
 STRUCTURE = "['" + "','".join(FUNCTION_WORDS) + "']"
@@ -145,6 +161,7 @@ SUMMARY = BASE + SCORED.format(hits=TOP3.format("bm25"))
 
 SQL = {
     "bm25_topk": BASE + "SELECT query_id, doc_id, score, rank FROM bm25",
+    "indexed_bm25_topk": BASE + "SELECT query_id, doc_id, score, rank FROM bm25",
     "sparse_topk": BASE + "SELECT query_id, doc_id, score, rank FROM sparse",
     "cosine_topk": BASE + "SELECT query_id, doc_id, score, rank FROM dense",
     "dense_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
