@@ -1,6 +1,7 @@
 """Checks of a prepared corpus before it is published: source metadata, articles and their chunks, vectors, public payloads."""
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -109,28 +110,68 @@ def normalised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(size > 0, x / size).otherwise(x))
 
 
-def private_key_paths(names: tuple[str, ...]):
-    """Column function: the paths ($.a.b[0]) of all keys of the JSON text that are among the names, in the text's order;
-    none for a text that is no JSON."""
-
-    def walk(value, path: str, found: list[str]) -> list[str]:
-        for key, item in value.items() if isinstance(value, dict) else ():
+#: What JSON texts are made of; anything else is no JSON.
+JSON_PART = re.compile(r'[ \t\n\r]*(?:(?P<mark>[{}\[\]:,])|(?P<text>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<bare>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))', re.ASCII)
+
+
+def key_paths(text: str, names: frozenset[str]) -> list[str] | None:
+    """Paths of the keys among the names, in the text's order, or None if the text is no JSON. What is open is a list of
+    frames, so any depth is read in one pass."""
+    found, at, end = [], 0, len(text.rstrip(" \t\n\r"))
+    open_: list[list] = []  # of each open object or array: its mark, what is expected next, key or number, length of its path
+    path, want = ["$"], "value"
+    while at < end:
+        m = JSON_PART.match(text, at)
+        if not m:
+            return None
+        at, mark, said = m.end(), m["mark"], m["text"]
+        if mark in ("]", "}"):
+            if not open_ or open_[-1][0] != mark or want not in ("next", "first"):
+                return None
+            open_.pop()
+            want = "next"
+        elif want == "next":
+            if mark != "," or not open_:
+                return None
+            if open_[-1][0] == "]":
+                open_[-1][1] += 1
+                path[len(open_)] = f"[{open_[-1][1]}]"
+            want = "key" if open_[-1][0] == "}" else "value"
+            continue
+        elif want == "key" or want == "first" and open_[-1][0] == "}":
+            if said is None:
+                return None
+            key = json.loads(said)
+            path[len(open_)] = f".{key}"
             if key in names:
-                found.append(f"{path}.{key}")
-            walk(item, f"{path}.{key}", found)
-        for i, item in enumerate(value if isinstance(value, list) else ()):
-            walk(item, f"{path}[{i}]", found)
-        return found
+                found.append("".join(path[: len(open_) + 1]))
+            want = "colon"
+        elif want == "colon":
+            if mark != ":":
+                return None
+            want = "value"
+        elif mark in ("{", "["):
+            open_.append(["}" if mark == "{" else "]", 0])
+            del path[len(open_) :]
+            path.append("[0]")
+            want = "first"
+        elif mark:
+            return None
+        else:
+            want = "next"
+        if want == "next" and not open_ and at < end:
+            return None
+    return found if want == "next" and not open_ else None
+
+
+def private_key_paths(names: tuple[str, ...]):
+    """Column function: the paths ($.a.b[0]) of all keys of the JSON text that are among the names, at any depth, in the
+    text's order; none for a text that is no JSON."""
+    wanted = frozenset(names)
 
     @F.arrow_udf("array<string>")
     def paths(texts: pa.Array) -> pa.Array:
-        out = []
-        for x in texts:
-            try:
-                out.append(walk(json.loads(x.as_py() or "null"), "$", []))
-            except ValueError:
-                out.append([])
-        return pa.array(out, pa.list_(pa.string()))
+        return pa.array([key_paths(x.as_py() or "", wanted) or [] for x in texts], pa.list_(pa.string()))
 
     return paths
 

@@ -55,6 +55,46 @@ def test_token_ids_and_collisions(spark):
     assert tuple(P.collisions(words.unionAll(words)).first()) == (6, 3, 6)
 
 
+def walked(value, names, path="$"):
+    """Brute force: paths of keys among the names in parsed JSON."""
+    pairs = [(f".{k}", k, v) for k, v in value.items()] if isinstance(value, dict) else [(f"[{i}]", None, v) for i, v in enumerate(value)] if isinstance(value, list) else []
+    return [p for step, k, v in pairs for p in ([path + step] if k in names else []) + walked(v, names, path + step)]
+
+
+def test_key_paths_brute_force():
+    import json
+    import random
+
+    rng = random.Random(1)
+
+    def some(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 4:
+            return rng.choice([None, True, -1.5e3, 7, "a\"]}{", "é\n", ""])
+        return [some(depth - 1) for _ in range(rng.randrange(4))] if kind == 4 else {rng.choice(["a", "b", "token", "", "x\"y"]) + rng.choice(["", "1"]): some(depth - 1) for _ in range(rng.randrange(4))}
+
+    names = frozenset({"token", "a", 'x"y', ""})
+    for _ in range(3000):
+        value = some(5)
+        text = json.dumps(value, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        assert P.key_paths(text, names) == walked(value, names), text
+        at = rng.randrange(len(text) + 1)
+        broken = text[:at] + rng.choice('{}[]:,"0 a') + text[at + rng.randrange(2) :]
+        try:
+            pairs = json.loads(broken, object_pairs_hook=lambda x: x)
+        except ValueError:
+            assert P.key_paths(broken, names) is None, broken
+        else:
+            assert P.key_paths(broken, names) is not None, (broken, pairs)
+
+
+def test_key_paths_at_any_depth(spark):
+    deep = '{"a":[' * 50_000 + '{"token":1}' + "]}" * 50_000
+    got = spark.createDataFrame([(deep,), ("[" * 3000,), ("[" * 3000 + "]" * 3000,)], "p string").select(P.private_key_paths(("token",))("p").alias("f")).collect()
+    assert [len(r["f"]) for r in got] == [1, 0, 0]
+    assert got[0]["f"][0] == "$" + ".a[0]" * 50_000 + ".token"
+
+
 def test_private_paths(spark):
     payloads = [json.dumps({"a": [{"token": 1}, {"b": {"path": "x"}}], "token": 2}), "[1, 2]", "no json", None]
     df = spark.createDataFrame([(p,) for p in payloads], "p string")
