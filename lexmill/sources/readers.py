@@ -1,8 +1,10 @@
 """Readers for files that a document corpus comes in."""
 
+import gzip
 import io
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexmill.storage import partitions
+
 SUFFIXES = ("md", "txt", "markdown")
 MAX_DOCX = 10 << 20
 
@@ -72,10 +76,13 @@ def qa_markdown(df: DataFrame, content: str) -> DataFrame:
 
 
 def json_from_model(text: Column) -> Column:
-    """The JSON object in a model's answer as a variant: fences stripped, else from the first { to the last }; null if there is none."""
+    """The JSON object in a model's answer as a variant: fences stripped, else from the first { to the last }; null if there is none.
+
+    Texts that can't be JSON by their first character aren't parsed, as each failure costs an exception."""
     bare = F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.nullif(inner, F.lit(""))))
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    inner = F.when((first > 0) & (last > first) & F.endswith(F.substring(text, F.lit(1), last), F.lit("}")), F.substring(text, first, last - first + 1))
+    return F.coalesce(F.try_parse_json(F.when(bare.rlike(r'^[\[{"\-0-9tfn]'), bare)), F.try_parse_json(inner))
 
 
 def _docx_text(content: bytes) -> str:
@@ -110,21 +117,55 @@ def docx_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("path").alias("source"), read("content").alias("r")).select("source", "r.*")
 
 
-def zipped_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source, record (from 1, blank lines not counted), value of the lines in the gzip members of ZIP files."""
-    import gzip
+def archive_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """source, member, content (as packed), error of the members of ZIP files whose names end so, dealt over all tasks; a file
+    that can't be opened is a row without a member."""
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for source, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in sorted(n for n in z.namelist() if n.endswith(".gz")):
-                        with gzip.open(z.open(member), "rt", encoding="utf-8") as said:
-                            kept = [x.rstrip("\n") for x in said if x.strip()]
-                        yield pd.DataFrame({"source": f"{source}!{member}", "record": range(1, len(kept) + 1), "value": kept})
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for name in sorted(n for n in z.namelist() if n.endswith(suffix) and not n.endswith("/")):
+                            try:
+                                row = (source, name, z.read(name), None)
+                            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError) as bad:
+                                row = (source, name, None, f"{type(bad).__name__}: {bad}")
+                            yield pd.DataFrame([row], columns=["source", "member", "content", "error"])
+                except zipfile.BadZipFile as bad:
+                    yield pd.DataFrame([(source, None, None, f"{type(bad).__name__}: {bad}")], columns=["source", "member", "content", "error"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(lines, "source string, record long, value string")
+    return files.mapInPandas(members, "source string, member string, content binary, error string").repartition(max(partitions(spark), spark.sparkContext.defaultParallelism))
+
+
+def zipped_json_lines(spark: SparkSession, path: str, rows: int = 10_000) -> DataFrame:
+    """source (file!member), record (from 1, blank lines not counted), value, error of the lines in the gzip members of ZIP
+    files. Members are unpacked by many tasks, some `rows` lines at a time; what stops a member or a file is a row with the
+    error, behind the records before it."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["source", "record", "value", "error"]
+        for batch in batches:
+            for source, member, content, error in batch.itertuples(index=False):
+                name, held, n = f"{source}!{member}" if member else source, [], 0
+                try:
+                    if error is None:
+                        with gzip.open(io.BytesIO(content), "rt", encoding="utf-8") as said:
+                            for line in said:
+                                if line.strip():
+                                    n += 1
+                                    held.append((name, n, line.rstrip("\n"), None))
+                                    if len(held) == rows:
+                                        yield pd.DataFrame(held, columns=columns)
+                                        held = []
+                except (OSError, EOFError, zlib.error, UnicodeDecodeError) as bad:
+                    error = f"{type(bad).__name__}: {bad}"
+                if error is not None:
+                    held.append((name, n + 1, None, error))
+                yield pd.DataFrame(held, columns=columns).astype({"record": "int64"})
+
+    return archive_members(spark, path, ".gz").mapInPandas(lines, "source string, record long, value string, error string")
 
 
 def form_feed_pages(df: DataFrame, doc: str, text: str) -> DataFrame:

@@ -50,6 +50,33 @@ def test_docx_and_zip(spark, tmp_path):
     assert [(r["record"], json.loads(r["value"])["a"]) for r in rows] == [(1, 1), (2, 2)]
 
 
+def test_archives_of_many_members(spark, tmp_path):
+    """Members are read by many tasks; a broken member, a cut one, one that isn't UTF-8 and a broken file are errors in place."""
+    import gzip
+    import random
+
+    packed = gzip.compress("".join(f"{random.Random(1).random()} {i}\n\n" for i in range(5000)).encode())
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for i in range(12):
+            z.writestr(f"m{i:02}.gz", gzip.compress(f"a{i}\n \nb{i}\n".encode()))
+        z.writestr("n-broken.gz", b"no gzip")
+        z.writestr("n-cut.gz", packed[: len(packed) // 2])
+        z.writestr("n-latin.gz", gzip.compress(b"fine\n\xff\n"))
+        z.writestr("other.txt", b"not asked for")
+    (tmp_path / "broken.zip").write_bytes(b"PK no zip")
+    found = readers.zipped_json_lines(spark, str(tmp_path / "*.zip"), rows=7)
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+    rows = sorted(((r["source"].rsplit("/", 1)[-1], r["record"], r["value"], (r["error"] or "").split(":")[0]) for r in found.collect()), key=str)
+    good = [r for r in rows if not r[3] and "!m" in r[0]]
+    assert good == [(f"many.zip!m{i:02}.gz", n, f"{x}{i}", "") for i in range(12) for n, x in ((1, "a"), (2, "b"))]
+    assert {(r[0], r[3]) for r in rows if r[3]} == {("broken.zip", "BadZipFile"), ("many.zip!n-broken.gz", "BadGzipFile"), ("many.zip!n-cut.gz", "EOFError"), ("many.zip!n-latin.gz", "UnicodeDecodeError")}
+    assert not any("other" in r[0] for r in rows)
+    cut = [r[1] for r in rows if "n-cut" in r[0]]
+    assert sorted(cut) == list(range(1, len(cut) + 1))
+    assert len(cut) > 100
+
+
 def test_parsers(spark):
     df = spark.createDataFrame([("---\n{\"a\": 1}\n---\n## Body\nline\n",)], "c string")
     assert tuple(df.select(*readers.front_matter(F.col("c"), "## Body")).first()) == ('{"a": 1}', "line")
