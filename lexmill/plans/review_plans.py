@@ -8,6 +8,7 @@ from lexmill.operators import evaluation as E
 from lexmill.operators import governance as G
 from lexmill.operators import labor_rules as L
 from lexmill.operators import review as V
+from lexmill.operators.review_graph import review_graph as review_graph_of
 from lexmill.session import table
 
 #: Rule cards for the English test texts: id, aliases, required.
@@ -100,6 +101,21 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def review_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as contracts, of which some aren't extracted, some wait and some aren't of labour; passages as law and cases."""
+    lines = table(spark, sf, "lineitem")
+    own = lines.select(F.col("l_orderkey").alias("review_id"), F.col("l_linenumber").alias("fact_id"), "l_partkey", "l_suppkey")
+    state = F.when(F.col("l_partkey") % 23 == 0, "unreviewed").when(F.col("l_partkey") % 29 == 0, "deferred").when(F.col("l_suppkey") % 7 == 0, "rejected").otherwise("confirmed")
+    settled = own.select("review_id", "fact_id", state.alias("state"), F.concat(F.lit("question "), (F.col("l_suppkey") % 3).cast("string")).alias("question"))
+    facts = _facts(spark, sf).join(settled, ["review_id", "fact_id"])
+    clauses = own.filter("l_suppkey % 11 = 0").select("review_id", F.lit("parties").alias("clause_type"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("review_id"))
+    reviews = orders.select("review_id", (F.col("review_id") % 13 != 0).alias("confirmed"), (F.col("review_id") % 17 != 0).alias("extracted"))
+    warned = orders.filter("review_id % 3 = 0").select("review_id", F.lit("pages of poor quality").alias("text"))
+    hits = lambda n: table(spark, sf, "benchmark").select(F.format_string("LC-%03d", F.col("item_id") % n).alias("rule_id"), F.col("item_id").alias("doc_id"))
+    return review_graph_of(reviews, facts, clauses, warned, hits(15), hits(11))
+
+
 def rule_findings(spark: SparkSession, sf: str) -> DataFrame:
     return L.findings(_facts(spark, sf)).select("review_id", "rule_id", "finding_type", "risk_level", "query")
 
@@ -199,7 +215,7 @@ def percentile_linear(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        governance_filter, constraint_errors, status_histogram, field_pending_counts, private_key_rows, rule_alias_join, missing_required, contradictions, fact_statuses, confirmation_states, article_rows, rule_findings, scope_check, clause_segments, heading_types,
+        governance_filter, constraint_errors, status_histogram, field_pending_counts, private_key_rows, rule_alias_join, missing_required, contradictions, fact_statuses, confirmation_states, article_rows, rule_findings, review_graph, scope_check, clause_segments, heading_types,
         quote_places, batch_plans, prompt_budgets, ordered_distinct, message_scope, legacy_scope, memory_condense, question_answers, context_text, answer_inspection, spotcheck, release_gate, metric_means, percentile_nearest, percentile_linear,
     )
 }
@@ -243,6 +259,25 @@ SQL = {
       v AS (SELECT review_id, rule_id, string_agg(value, '；' ORDER BY fact_id, value) AS v FROM m GROUP BY ALL),
       h AS (SELECT review_id, rule_id, first(kind ORDER BY o) AS finding_type, first(risk ORDER BY o) AS risk_level FROM v JOIN conditions USING (rule_id) WHERE regexp_matches(v, pattern) GROUP BY ALL)
       SELECT review_id, rule_id, finding_type, risk_level, query FROM (SELECT * FROM h UNION ALL SELECT review_id, rule_id, 'missing_information', 'unconfirmed' FROM (SELECT DISTINCT review_id FROM facts), rules WHERE required AND (review_id, rule_id) NOT IN (SELECT (review_id, rule_id) FROM v)) JOIN rules USING (rule_id)""",
+    "review_graph": f"""WITH {FACTS}, {RULES},
+      st AS (SELECT l_orderkey AS review_id, l_linenumber AS fact_id, CASE WHEN l_partkey % 23 = 0 THEN 'unreviewed' WHEN l_partkey % 29 = 0 THEN 'deferred' WHEN l_suppkey % 7 = 0 THEN 'rejected' ELSE 'confirmed' END AS state, 'question ' || l_suppkey % 3 AS question, l_suppkey % 11 = 0 AS parties FROM lineitem),
+      fs AS (SELECT review_id, fact_id, category, name, CASE WHEN state = 'confirmed' THEN value END AS value, state IN ('unreviewed', 'deferred') AS open, question, parties FROM facts JOIN st USING (review_id, fact_id)),
+      gt AS (SELECT review_id, count(*) FILTER (open) AS n_open, count(DISTINCT question) FILTER (open) AS waiting, bool_or(parties OR regexp_matches(lower(concat_ws(' ', category, name, value)), '劳动|用人单位|试用期|社会保险|social|probation|employment')) AS labour FROM fs GROUP BY 1),
+      br AS (SELECT o_orderkey AS review_id, CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 THEN 'error' WHEN coalesce(n_open, 0) > 0 THEN 'awaiting_confirmation' WHEN NOT coalesce(labour, false) THEN 'out_of_scope' ELSE 'full' END AS branch, coalesce(waiting, 0) AS waiting FROM orders LEFT JOIN gt ON review_id = o_orderkey),
+      ff AS (SELECT fs.* FROM fs JOIN br USING (review_id) WHERE branch = 'full'),
+      m AS (SELECT f.*, rule_id FROM ff f, rules WHERE len(list_filter(aliases, lambda a: contains(lower(category || ' ' || name), lower(a)))) > 0),
+      v AS (SELECT review_id, rule_id, string_agg(coalesce(value, ''), '；' ORDER BY fact_id, value) AS v FROM m GROUP BY ALL),
+      h AS (SELECT review_id, rule_id, first(kind ORDER BY o) AS kind FROM v JOIN conditions USING (rule_id) WHERE regexp_matches(v, pattern) GROUP BY ALL),
+      fd AS (SELECT * FROM h UNION ALL SELECT review_id, rule_id, 'missing_information' FROM (SELECT DISTINCT review_id FROM ff), rules WHERE required AND (review_id, rule_id) NOT IN (SELECT (review_id, rule_id) FROM v)),
+      ct AS (SELECT review_id, count(*) AS findings, count(*) FILTER (kind = 'possible_conflict') AS conflicts, count(DISTINCT rule_id) FILTER (kind = 'missing_information') AS asked FROM fd GROUP BY 1),
+      lq AS (SELECT DISTINCT review_id, rule_id FROM fd UNION ALL SELECT review_id, 'LC-BASE' FROM br WHERE branch = 'full' AND review_id NOT IN (SELECT review_id FROM fd)),
+      ls AS (SELECT review_id, count(DISTINCT item_id) AS legal_sources, bool_or(item_id IS NULL) AS short FROM lq LEFT JOIN benchmark ON rule_id = printf('LC-%03d', item_id % 15) GROUP BY 1),
+      cq AS (SELECT review_id, rule_id FROM fd WHERE kind = 'possible_conflict' QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY rule_id) <= 3),
+      cs AS (SELECT review_id, count(DISTINCT item_id) AS case_sources, bool_or(item_id IS NULL) AS short FROM cq LEFT JOIN benchmark ON rule_id = printf('LC-%03d', item_id % 11) GROUP BY 1),
+      al AS (SELECT br.*, coalesce(findings, 0) AS findings, coalesce(conflicts, 0) AS conflicts, coalesce(asked, 0) AS asked, coalesce(legal_sources, 0) AS legal_sources, coalesce(case_sources, 0) AS case_sources, coalesce(cs.short, ls.short, false)::INT AS short FROM br LEFT JOIN ct USING (review_id) LEFT JOIN ls USING (review_id) LEFT JOIN cs USING (review_id))
+      SELECT review_id, branch, CASE branch WHEN 'error' THEN 'FAILED' WHEN 'awaiting_confirmation' THEN 'AWAITING_CONFIRMATION' WHEN 'out_of_scope' THEN 'OUT_OF_SCOPE' ELSE CASE WHEN short = 1 THEN 'PARTIAL' ELSE 'COMPLETED' END END AS workflow_status, findings, conflicts,
+        CASE branch WHEN 'error' THEN 0 WHEN 'awaiting_confirmation' THEN waiting ELSE asked END AS pending_questions, legal_sources, case_sources,
+        CASE branch WHEN 'full' THEN short WHEN 'out_of_scope' THEN 1 WHEN 'awaiting_confirmation' THEN (review_id % 3 = 0)::INT ELSE 0 END + (findings = 0 AND branch <> 'error')::INT AS warnings FROM al""",
     "scope_check": f"WITH {FACTS} SELECT review_id, bool_or(regexp_matches(lower(category || ' ' || name || ' ' || value), '劳动|用人单位|试用期|社会保险|social|probation|employment')) AS in_scope FROM facts GROUP BY 1",
     "clause_segments": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
       m AS (SELECT *, line_no // 40 + 1 AS page, (length(line) <= 60 AND regexp_matches(line, '^[A-Z0-9]') AND NOT regexp_matches(line, '\. '))::INT AS h, (trim(line) <> '')::INT AS s FROM l),
