@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import BLANK_CLASS, whole_text
-from lexmill.storage import materialize, shared_path
+from lexmill.storage import join_sized, materialize, shared_path
 
 def best() -> Column:
     """Its largest is the copy that stays: most code points, smallest id (a null is the worst), last locator.
@@ -144,8 +144,10 @@ def clashes(spark: SparkSession, path: str, folder: str, entries: DataFrame, sin
     files = [r[0] for r in rows.filter(~is_first).select(F.explode(F.array("file", "first.file"))).distinct().collect()]
     if not files:
         return spark.createDataFrame([], "digest binary")
-    places = copies.unionByName(firsts)
-    texts = texts_in(spark, path, files).select(locator().alias("place"), "row", "text").join(places, ["place", "row"]).select("digest", "is_first", normal("text").alias("bytes"))
+    # texts stay where they are while the places are measured to be few; beyond that those of files with hits are shuffled
+    places = materialize(copies.unionByName(firsts).withColumnRenamed("row", "at"), "places")
+    met = join_sized(texts_in(spark, path, files).select(locator().alias("place"), "row", "text"), places, "place", "inner").filter(F.col("row") == F.col("at"))
+    texts = met.select("digest", "is_first", normal("text").alias("bytes"))
     known = texts.filter("is_first").select("digest", F.col("bytes").alias("first_bytes"))
     hits = texts.filter("not is_first").join(known, "digest")
     # distinct only after the write: an aggregate by digest right behind the join would keep AQE from splitting a hot one
