@@ -1,17 +1,23 @@
 """Main text of HTML pages by the maximum-scoring subsequence of their tokens.
 
-Words score positive and tags negative; words in links, and words in parts that by element, role or class words are no
-content (menus, adverts, forms, comments and the like), are kinds of their own. A kind's weight is its log odds of
-standing inside or outside the content of labelled pages: pages whose author marked it with an article or main element,
-out of `max_pages` pages by id hash. The marks themselves are no tokens, so pages without them are judged alike. One
-linear scan finds the run of tokens with the largest sum, and that run says where the content is.
-
-Where a page has marks, they are evidence in the same scan: a word inside weighs 1 + `MARK` times, one outside
-1 - `MARK` times its weight. What the run starts and ends in the middle of is then completed: the content is the
-article that holds the run, or else the innermost element around it, or, where that is the whole page, the run alone.
-Scripts and parts that are no content are left out of it, and outside articles so is a block with more than half its
-words in links if it stands outside the run, or if it is neither a heading nor a paragraph and its list, table or other
-container has more than half its words in links as a whole.
+Words score positive and tags negative, and one linear scan finds the run of tokens with the largest sum. The weights are
+learned from labelled pages: pages whose author marked the content with an article or main element, out of `max_pages`
+pages by id hash. The marks are no tokens, and names of classes and roles are not looked at in learning, so that pages
+without any are judged by the same signs. These are a word's block: its element, its length, its share of words in links,
+and the same of the blocks before and after it. A ridge-regularised logistic regression tells how much each sign takes from
+a word's score; a tag's weight is its log odds of standing inside or outside the content.
+
+How much an author's mark says is learned as well: the weights so far are applied to the labelled pages without regard
+to marks, and the words inside, beside and (in a main element around articles) near the marks are counted inside and
+outside the runs. Where a page has marks, those log odds raise or lower its words' scores. If no word is left above zero, the
+signs of blocks are left out for that page.
+
+The run's borders are the content's, but for what it starts and ends in the middle of: an article or main element that holds
+the whole run is taken as a whole; without one, the innermost element around the run adds its blocks of a positive score,
+unless it is the whole page. Parts that by element, role or class words are no content (menus, adverts, forms, comments
+and the like) score less by a weight of their own and are left out of the result, as are scripts; and outside articles so is a
+block with more than half its words in links if it stands outside the run, or if it is neither a heading nor a paragraph
+and its list, table or other container has more than half its words in links as a whole.
 
 Time and memory grow with the page's length, however its tags are nested or broken.
 
@@ -24,13 +30,15 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import hash_cutoff, one_by_one
+from lexmill.storage import materialize
 
 #: A tag ends before the next "<" outside quotes, so that unclosed ones cost no more than their length.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][^\s/<>]*)((?>=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^<>])*+)>|[^<]+|<", re.S)
@@ -56,11 +64,22 @@ HEADS = {"header", "head", "site-header", "page-header", "top-header", "main-hea
 ABOUT = {"has", "with", "no", "without"}  # a class such as has-sidebar says something about the content
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 
-#: Kinds of words, and how much an author's mark says beside a word's own weight.
+#: Kinds of words. A word in a link, or in a part that is no content, scores that kind's weight less than others.
 WORD, LINK, OUT, OTHER = "word", "link", "out", "other"
-MARK = 2.0
-#: Weights without labelled pages.
-PLAIN = {WORD: 1.0, LINK: -0.5, OUT: -1.0, OTHER: -0.4}
+#: Where a word of a page with marks stands: inside, only in a main element around the marked articles, or elsewhere.
+IN, NEAR, BESIDE = "in", "near", "beside"
+#: Weights without labelled pages, and what learned ones are shrunk to.
+PLAIN = {WORD: 1.0, LINK: -1.5, OUT: -2.0, OTHER: -0.4, BESIDE: -3.0}
+#: What a word's block is told by, each with its values.
+SIGNS = {
+    "element": ["p", "heading", "item", "cell", "quote", "box"],
+    "length": [str(i) for i in range(8)],
+    "links": ["none", "some", "most"],
+    "before": ["none", "links", "short", "long"],
+    "after": ["none", "links", "short", "long"],
+}
+ELEMENTS = {"p": "p", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell", "caption": "cell", "blockquote": "quote", "pre": "quote"}
+LONG = 16  # words from which a neighbour is long
 
 
 class Element:
@@ -81,10 +100,15 @@ class Element:
 
 
 class Block:
-    __slots__ = ("element", "parts", "words", "links")
+    """A run of text between block tags; size and linked count words of parts that are no content too."""
+
+    __slots__ = ("element", "parts", "words", "links", "size", "linked")
 
     def __init__(self, element: Element):
-        self.element, self.parts, self.words, self.links = element, [], 0, 0
+        self.element, self.parts, self.words, self.links, self.size, self.linked = element, [], 0, 0, 0, 0
+
+    def as_neighbour(self) -> str:
+        return "links" if 2 * self.linked > self.size else "long" if self.size >= LONG else "short"
 
 
 def _level(mark: Element | None) -> int:
@@ -183,6 +207,8 @@ class Page:
         block = self.blocks[-1]
         if n := len(said.split()):
             self.tokens.append((OUT if here.out else LINK if here.link else WORD, n, len(self.blocks) - 1, 0 if here.out else _level(here.mark)))
+            block.size += n
+            block.linked += n * here.link
         if here.out:
             self.out_words.append((here.number, n))
         else:
@@ -202,14 +228,36 @@ class Page:
         return {i for i, n in enumerate(words) if 2 * links[i] > n}
 
 
-def scores(page: Page, weights: dict[str, float]) -> list[float]:
-    """Each token's score."""
+    def signs(self) -> list[tuple[str, ...]]:
+        """What each block is told by, in the order of SIGNS; nothing for blocks without words."""
+        said = [i for i, b in enumerate(self.blocks) if b.size]
+        out: list[tuple[str, ...]] = [()] * len(self.blocks)
+        kinds = ["none", *(self.blocks[i].as_neighbour() for i in said), "none"]
+        for at, i in enumerate(said):
+            b = self.blocks[i]
+            links = "none" if not b.linked else "most" if 2 * b.linked > b.size else "some"
+            out[i] = (ELEMENTS.get(b.element.block.name, "box"), str(min(b.size.bit_length(), 7)), links, kinds[at], kinds[at + 2])
+        return out
+
+    def place(self, level: int) -> str | None:
+        """Where a word stands, by the level of the mark around it; None on pages without marks."""
+        return None if not self.marked else IN if level == self.marked else NEAR if level else BESIDE
+
+
+def scores(page: Page, weights: dict[str, float], signs: bool = True, marks: bool = True) -> list[float]:
+    """Each token's score. A mark's weight is in units of a word's, so that all that words gain is in proportion to it."""
+    lower = [0.0] * len(page.blocks)
+    if signs:
+        known: dict[tuple[str, ...], float] = {}
+        for i, told in enumerate(page.signs()):
+            if told and told not in known:
+                known[told] = sum(weights.get(f"{sign} {value}", 0.0) for sign, value in zip(SIGNS, told, strict=True))
+            lower[i] = known.get(told, 0.0)
     out = []
-    for kind, n, _, level in page.tokens:
-        if page.marked and kind in (WORD, LINK):
-            # a page with articles says nothing of what stands in its main element only
-            inside = level == page.marked
-            out.append(n * (weights[WORD] * (1 + MARK) if inside else weights[kind] if level or kind == LINK else weights[kind] * (1 - MARK)))
+    for kind, n, at, level in page.tokens:
+        if kind in (WORD, LINK, OUT):
+            lift = weights.get(page.place(level), 0.0) if marks else 0.0
+            out.append(n * (weights[WORD] * (1 + lift) + lower[at] + (0.0 if kind == WORD else weights[kind])))
         else:
             out.append(n * weights.get(kind, weights[OTHER]))
     return out
@@ -246,10 +294,18 @@ def _container(page: Page, first: int, last: int) -> Element:
 
 def extract(html: str | None, weights: dict[str, float]) -> str:
     page = Page.of(html or "")
-    run = best_run(scores(page, weights))
+    values = scores(page, weights)
+    run = best_run(values)
+    if run is None:
+        values = scores(page, weights, signs=False)
+        run = best_run(values)
     if run is None:
         return ""
     first, last = (page.tokens[i][2] for i in run)
+    said = [0.0] * len(page.blocks)
+    for value, (kind, _, at, _) in zip(values, page.tokens, strict=True):
+        if kind in (WORD, LINK):
+            said[at] += value
     whole = _container(page, first, last)
     strict = whole.name not in MARKS
     dense = page.link_dense() if strict and any(b.links for b in page.blocks) else set()
@@ -258,52 +314,122 @@ def extract(html: str | None, weights: dict[str, float]) -> str:
         inside = first <= i <= last
         if not (inside if whole.name in WHOLE_PAGE else whole.holds(block.element)):
             continue
+        if strict and not inside and said[i] <= 0 and not block.links:
+            continue
         if strict and 2 * block.links > block.words:
             holder = block.element.holder
             holder = holder if whole.holds(holder) else whole
             if not inside or block.element.block.name not in ALWAYS_SAID and holder.number in dense:
                 continue
-        if said := " ".join("".join(block.parts).split()):
-            kept.append(said)
+        if text := " ".join("".join(block.parts).split()):
+            kept.append(text)
     return "\n\n".join(kept)
 
 
 def fit_weights(pages: DataFrame, html: str = "html", page_id: str = "page_id", max_pages: int = 2000, doubt: float = 20.0) -> dict[str, float]:
-    """Weight of each kind of word and of each tag, from the labelled ones of max_pages pages by id hash.
+    """Weights of words, signs of blocks, tags and marks, from the labelled ones of max_pages pages by id hash.
 
-    Counts are of tokens inside and outside the marked content; doubt is how many tokens of each side the weights of
-    PLAIN count for. As the method asks, words weigh more than nothing and tags less.
+    Tokens are counted inside and outside the marked content, each side scaled to 1000; doubt is how many of these the
+    weights of PLAIN count for. The driver gets a row a combination of signs, whose number doesn't depend on the pages.
     """
     cutoff = hash_cutoff(pages.select(page_id), F.col(page_id), max_pages)
     sample = pages.filter((F.xxhash64(F.col(page_id)) <= F.lit(cutoff)) & F.col(html).rlike("(?i)<(article|main)[\\s>]")).select(html)
+    sample = materialize(sample, "labelled")
+
+    def counted(keys: Callable[[Page], Iterator[tuple[str, bool, int]]]) -> dict[tuple[str, bool], int]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums: Counter = Counter()
+                for text in one_by_one(batch.column(0)):
+                    for key, inside, n in keys(Page.of(text)):
+                        sums[key, inside] += n
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.string()), pa.array([x for _, x in sums], pa.bool_()), pa.array(list(sums.values()), pa.int64())], ["kind", "inside", "n"])
+
+        rows = sample.mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
+        return {(r["kind"], r["inside"]): r["n"] for r in rows}
+
+    weights = weights_of(counted(_told), doubt)
+    return weights | marks_of(counted(lambda page: _agreeing(page, weights)), weights[WORD], doubt)
+
+
+def _told(page: Page) -> Iterator[tuple[str, bool, int]]:
+    """Tokens inside or outside the marks: a tag by its name, words by their kind and their block's signs."""
+    signs = page.signs()
+    for kind, n, at, level in page.tokens:
+        yield " ".join((kind, *signs[at])) if kind in (WORD, LINK, OUT) else kind, page.place(level) == IN, n
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums: Counter = Counter()
-            for text in one_by_one(batch.column(0)):
-                page = Page.of(text)
-                for kind, n, _, level in page.tokens:
-                    sums[kind, level > 0 and level == page.marked] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.string()), pa.array([x for _, x in sums], pa.bool_()), pa.array(list(sums.values()), pa.int64())], ["kind", "inside", "n"])
 
-    counts = sample.mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()  # two rows a known kind
-    return weights_of({(r["kind"], r["inside"]): r["n"] for r in counts}, doubt)
+def _agreeing(page: Page, weights: dict[str, float]) -> Iterator[tuple[str, bool, int]]:
+    """Words by where they stand, inside or outside the run that is found without regard to marks."""
+    first, last = best_run(scores(page, weights, marks=False)) or (0, -1)
+    for i, (kind, n, _, level) in enumerate(page.tokens):
+        if page.marked and kind in (WORD, LINK, OUT):
+            yield page.place(level), first <= i <= last, n
+
+
+def _odds(counts: dict[tuple[str, bool], int], total: dict[bool, int], key: str, doubt: float, prior: float) -> float:
+    """Log odds of the key inside against outside, shrunk to the prior's."""
+    p = 1 / (1 + math.exp(-prior))
+    return math.log((counts.get((key, True), 0) / total[True] * 1000 + doubt * p) / (counts.get((key, False), 0) / total[False] * 1000 + doubt * (1 - p)))
 
 
 def weights_of(counts: dict[tuple[str, bool], int], doubt: float = 20.0) -> dict[str, float]:
-    """Log odds of each kind inside against outside, shrunk to PLAIN."""
+    """Weights from the counts of _told: as the method asks, a word weighs more than nothing, before the signs of its
+    block take something away, and a tag less. Without counts, PLAIN."""
     if not counts:
         return dict(PLAIN)
-    known = sorted(BLOCK | VOID | INLINE | set(PLAIN) - set(MARKS))
-    prior = {k: 1 / (1 + math.exp(-PLAIN.get(k, PLAIN[OTHER]))) for k in known}  # how likely inside
     total = {x: sum(n for (_, i), n in counts.items() if i == x) + 1 for x in (True, False)}
-    weights = {}
-    for kind in known:
-        inside = counts.get((kind, True), 0) / total[True] * 1000 + doubt * prior[kind]
-        outside = counts.get((kind, False), 0) / total[False] * 1000 + doubt * (1 - prior[kind])
-        odds = math.log(inside / outside)
-        weights[kind] = max(odds, 0.01) if kind == WORD else odds if kind in (LINK, OUT) else min(odds, -0.01)
-    return weights
+    weights = {tag: min(_odds(counts, total, tag, doubt, PLAIN[OTHER]), -0.01) for tag in sorted(BLOCK | VOID | INLINE - set(MARKS)) + [OTHER]}
+    words = {key: n for key, n in counts.items() if " " in key[0]}
+    named = Counter()
+    for (key, inside), n in words.items():
+        named[key.split(" ", 1)[0], inside] += n
+    weights[OUT] = min(_odds(named, total, OUT, doubt, PLAIN[OUT]), 0.0)
+    return weights | _fit_signs(words, doubt)
+
+
+def _fit_signs(words: dict[tuple[str, bool], int], doubt: float) -> dict[str, float]:
+    """The most a word scores, and what links and signs take away, by logistic regression on the combinations' counts.
+
+    Newton's steps on a ridge-penalised likelihood; the sides have equal totals, so the score says nothing of how much of
+    a page is content. What is taken away is told from the value of a sign that takes least.
+    """
+    names = [LINK] + [f"{sign} {value}" for sign, values in SIGNS.items() for value in values]
+    places = {name: i for i, name in enumerate(names)}
+    rows = sorted(words.items())
+    x, y, n = np.zeros((len(rows), len(names) + 1)), np.array([key[1] for key, _ in rows], float), np.array([n for _, n in rows], float)
+    x[:, -1] = 1.0
+    for row, ((key, _), _) in enumerate(rows):
+        kind, *told = key.split(" ")
+        x[row, [places[f"{sign} {value}"] for sign, value in zip(SIGNS, told, strict=True)]] = 1.0
+        x[row, 0] = kind == LINK
+    for side in (0.0, 1.0):
+        n[y == side] *= 500 / max(n[y == side].sum(), 1.0)
+    start = np.zeros(len(names) + 1)
+    start[[0, -1]] = PLAIN[LINK], PLAIN[WORD]
+    ridge, beta = np.full(len(names) + 1, doubt / 20), start.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-(x @ beta)))
+        slope = x.T @ (n * (y - p)) - ridge * (beta - start)
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + np.diag(ridge), slope)
+        beta += step
+        if np.abs(step).max() < 1e-9:
+            break
+    weights = {LINK: min(float(beta[0]), 0.0)}
+    most = float(beta[-1])
+    for sign, values in SIGNS.items():
+        best = max(beta[places[f"{sign} {v}"]] for v in values)
+        most += float(best)
+        weights |= {f"{sign} {v}": float(beta[places[f"{sign} {v}"]] - best) for v in values}
+    return weights | {WORD: max(most, 0.01)}
+
+
+def marks_of(counts: dict[tuple[str, bool], int], word: float, doubt: float = 20.0) -> dict[str, float]:
+    """What marks say, in units of a word's weight, from the counts of _agreeing. Without counts, as in PLAIN."""
+    if not counts:
+        return {BESIDE: PLAIN[BESIDE]}
+    total = {x: sum(n for (_, i), n in counts.items() if i == x) + 1 for x in (True, False)}
+    return {place: _odds(counts, total, place, doubt, 0.0) / word for place in (IN, NEAR, BESIDE)}
 
 
 def main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", out: str = "text", **fit) -> DataFrame:

@@ -533,6 +533,69 @@ def test_html_held_out_without_marks(spark):
     assert right / there > 0.99
 
 
+def bare_of(html):
+    """The page without marks, without the names of its other parts, and without classes, ids and roles."""
+    html = re.sub(r"<(/?)(?:nav|aside|header|footer)\b", r"<\1div", re.sub(r"</?article>", "", html))
+    return re.sub(r" (?:class|id|role)=\"[^\"]*\"", "", html)
+
+
+def test_html_learned_weights_decide(spark):
+    """On held-out pages that nothing but the text's own form tells apart, learned weights find the article and PLAIN doesn't."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.fit_weights(pages.filter("page_id % 2 = 0"))
+    rest = [(bare_of(r["html"]), article_of(r["html"])) for r in pages.filter("page_id % 2 = 1").collect()]
+    learned, plain = (sum(html_text.extract(page, w) == want for page, want in rest) for w in (weights, html_text.PLAIN))
+    assert learned >= 0.95 * len(rest)
+    assert plain < 0.1 * len(rest)
+    # what is told by blocks, and by tags, takes away only; what marks say was learned from the runs
+    assert weights["word"] > 0
+    assert all(v <= 0 for k, v in weights.items() if k not in ("word", "in", "near", "beside"))
+    assert weights["in"] > 0 > weights["beside"]
+    # other structures than those seen aren't lost: an article of bare text, and a page of nothing but divisions
+    assert html_text.extract("<body><p>Some words before it.</p><article>only a few words</article></body>", weights) == "only a few words"
+    assert html_text.extract("<body><div>nothing but divisions here</div></body>", weights) == "nothing but divisions here"
+
+
+def test_html_signs_brute_force():
+    """Signs, and the sums of scores, against their definition, on random pages."""
+    rng = random.Random(11)
+    for _ in range(150):
+        blocks = [(rng.choice(["p", "div", "li", "h2", "td", "pre"]), rng.randrange(0, 40), rng.randrange(0, 40)) for _ in range(rng.randrange(0, 7))]
+        page = html_text.Page("".join(f"<{e}>{'w ' * n}<a>{'v ' * k}</a></{e}>" for e, n, k in blocks))
+        said = [(e, n + k, k) for e, n, k in blocks if n + k]
+        kinds = ["none", *("links" if 2 * k > n else "long" if n >= html_text.LONG else "short" for _, n, k in said), "none"]
+        want = [
+            ({"p": "p", "li": "item", "h2": "heading", "td": "cell", "pre": "quote", "div": "box"}[e], str(min(len(bin(n)) - 2, 7)), "none" if not k else "most" if 2 * k > n else "some", kinds[i], kinds[i + 2])
+            for i, (e, n, k) in enumerate(said)
+        ]
+        assert [s for s in page.signs() if s] == want
+        weights = {**html_text.PLAIN, **{f"{sign} {v}": -rng.random() for sign, values in html_text.SIGNS.items() for v in values}}
+        total = sum(n * (1.0 + sum(weights[f"{sign} {v}"] for sign, v in zip(html_text.SIGNS, told))) + k * html_text.PLAIN["link"] for (_, n, k), told in zip(said, want))
+        got = sum(v for v, t in zip(html_text.scores(page, weights), page.tokens, strict=True) if t[0] in ("word", "link"))
+        assert got == pytest.approx(total)
+
+
+def test_html_fit_finds_what_tells():
+    """Of two signs that come together in part, the one that tells gets the weight; sides of any size count alike."""
+    for scale in (1, 1000):
+        counts = {("word p 5 none long long", True): 900 * scale, ("word box 5 none long long", False): 90, ("word p 2 none long long", True): 50 * scale, ("word box 2 none long long", False): 40, ("link item 2 most links links", False): 60}
+        weights = html_text.weights_of(counts)
+        assert weights["element box"] < -1 and weights["element p"] == 0
+        assert abs(weights["length 2"] - weights["length 5"]) < abs(weights["element box"])
+    assert html_text.weights_of({}) == html_text.PLAIN
+    assert html_text.marks_of({}, 1.0) == {"beside": html_text.PLAIN["beside"]}
+    # marks that runs agree with say much, marks that they don't agree with say the contrary
+    agree = html_text.marks_of({("in", True): 95, ("in", False): 5, ("beside", False): 95, ("beside", True): 5}, 2.0)
+    differ = html_text.marks_of({("in", True): 5, ("in", False): 95, ("beside", False): 5, ("beside", True): 95}, 2.0)
+    assert agree["in"] > 0.5 > -0.5 > agree["beside"] and differ["in"] < 0 < differ["beside"] and agree["near"] == 0
+
+
+def test_html_equal_runs():
+    """Of two runs of one sum the first is taken; parts of no content between them stay out."""
+    page = "<body><div><p>one two three</p></div>" + "<section>" * 9 + "</section>" * 9 + "<div><p>four five six</p></div></body>"
+    assert html_text.extract(page, dict(html_text.PLAIN)) == "one two three"
+
+
 def test_html_run_brute_force():
     rng = random.Random(8)
     for _ in range(400):
