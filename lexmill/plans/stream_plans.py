@@ -3,11 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.chunks import fixed_chunks
+from lexmill.functions.ids import text_sha256
 from lexmill.operators.store import expires
+from lexmill.plans.corpus_plans import CHUNKS
 from lexmill.session import table
 from lexmill.sources import deltas
 from lexmill.storage import shared_path
-from lexmill.streaming import ingest, stateful
+from lexmill.streaming import ingest, publish, stateful
 
 FIRST, SECOND = "1996-01-01 00:00:00", "1997-01-01 00:00:00"
 
@@ -74,9 +77,47 @@ def ingest_points(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n_points"), F.sum(F.length("chunk_text")).alias("chunk_chars"), F.bit_xor(F.xxhash64("point_id", "sha256")).alias("points_hash"))
 
 
-QUERIES = {f.__name__: f for f in (retention_stream, message_threads, delta_table, ingest_points)}
+def letter_vector(chunks: DataFrame) -> DataFrame:
+    """Stands for an embedding: the lengths of a chunk and of its vowels, and one."""
+    vowels = F.length("chunk_text") - F.length(F.translate("chunk_text", "aeiou", ""))
+    return chunks.withColumn("vector", F.array(F.length("chunk_text").cast("double"), vowels.cast("double"), F.lit(1.0)))
+
+
+def published_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose chunks all say something, published as articles; English ones activated, an activation of the others
+    rolled back as their check finds fault."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    cut = fixed_chunks(docs, "text", 1000, 200)
+    sound = cut.groupBy("doc_id").agg(F.min(F.trim("chunk") != "").alias("sound"), F.count("*").cast("int").alias("chunk_count")).filter("sound and doc_id is not null").drop("sound")
+    articles = docs.join(sound, "doc_id").select(F.col("doc_id").alias("article_id"), "text", text_sha256(F.col("text")).alias("sha256"), "chunk_count", "lang")
+    chunks = cut.join(sound, "doc_id").select(
+        F.col("doc_id").alias("article_id"), "chunk_index", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("point_id"), text_sha256(F.col("text")).alias("article_sha256"),
+        F.col("start").cast("long").alias("start"), (F.col("start") + F.length("chunk")).cast("long").alias("end"), F.col("chunk").alias("excerpt"), text_sha256(F.col("chunk")).alias("excerpt_sha256"), F.col("chunk").alias("chunk_text"), "chunk_count",
+    )
+    paths = {name: shared_path(spark, name) for name in ("articles", "chunks", "collection")}
+    articles.write.parquet(paths["articles"])
+    chunks.write.parquet(paths["chunks"])
+    out = paths["collection"]
+    points = publish.publish(spark, paths["articles"], paths["chunks"], out, "documents", "documents", letter_vector, 3)
+    written = spark.read.parquet(paths["articles"])
+    english = written.filter("lang = 'en'").select("article_id")
+    unasked = lambda seen: {"not English": seen.join(english, "article_id", "left_anti").count()}
+    publish.activate(spark, out, english, "ops", "2025-01-01", unasked)
+    others = written.join(english, "article_id", "left_anti")
+    try:
+        publish.activate(spark, out, others, "ops", "2025-01-02", unasked)
+    except publish.Refused:
+        pass  # rolled back; SQL knows English ones as active only
+    active = publish.active_points(spark, out).select("point_id", "activated_at")
+    joined = points.join(active, "point_id", "left")
+    return joined.groupBy("article_id").agg(F.count("*").alias("n_points"), F.sum(F.length("chunk_text")).alias("chunk_chars"), F.sum(F.col("vector")[1]).cast("long").alias("vowels"), F.max("activated_at").alias("activated_at"))
+
+
+QUERIES = {f.__name__: f for f in (retention_stream, message_threads, delta_table, ingest_points, published_corpus)}
 
 SQL = {
+    "published_corpus": f"""WITH {CHUNKS}, s AS (SELECT doc_id, count(*) AS n_points, sum(length(chunk))::BIGINT AS chunk_chars, sum(length(chunk) - length(translate(chunk, 'aeiou', '')))::BIGINT AS vowels FROM c GROUP BY doc_id HAVING min(length(trim(chunk))) > 0)
+      SELECT s.doc_id AS article_id, n_points, chunk_chars, vowels, CASE WHEN lang = 'en' THEN '2025-01-01' END AS activated_at FROM s JOIN documents USING (doc_id)""",
     "retention_stream": f"""WITH o AS (SELECT o_orderkey, o_orderdate AS made, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY ELSE o_orderdate + INTERVAL 7 DAY END AS expires_at FROM orders WHERE o_orderdate <= '{SECOND}'),
       d AS (SELECT *, expires_at <= TIMESTAMP '{FIRST}' AND made <= TIMESTAMP '{FIRST}' AS early, o_orderkey % 7 = 0 AS fails FROM o WHERE expires_at <= TIMESTAMP '{SECOND}')
       SELECT o_orderkey, 1 AS attempt, NOT fails AS removed, expires_at FROM d UNION ALL SELECT o_orderkey, 2, true, expires_at FROM d WHERE early AND fails""",
