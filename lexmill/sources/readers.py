@@ -75,6 +75,44 @@ def qa_markdown(df: DataFrame, content: str) -> DataFrame:
     return pairs.select(F.trim("p.q").alias("question"), F.trim("p.a").alias("answer")).filter("question != '' AND answer != ''")
 
 
+def stripped(text: Column) -> Column:
+    """text without white space of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
+def qa_pairs(spark: SparkSession, path: str, kind: str, limit: int = 20) -> DataFrame:
+    """question, answer of a set of question files, in order of their place: kind `md` is a folder of Markdown files of one pair each,
+    `jsonl` lines with user and assistant, `json` one array of such objects.
+
+    The first `limit` items count, whether they are valid or not; of these the ones without a question or an answer are left
+    out, so fewer than the limit may come though more valid ones follow. A Markdown file without a pair is no item; a line
+    that isn't JSON, or a file that isn't an array, is an error.
+    """
+    if kind == "md":
+        parts = F.split(stripped(F.col("content")), "## assistant", -1)
+        user = stripped(parts[0])
+        question = stripped(F.when(F.lower(user).startswith("## user"), F.substr(user, F.lit(8))).otherwise(user))
+        files = text_files(spark, path, ("md",)).withColumn("parts", parts).filter(F.size("parts") > 1)
+        items = files.select(F.struct("source").alias("at"), question.alias("question"), stripped(F.col("parts")[1]).alias("answer")).filter("question != '' and answer != ''")
+    elif kind == "jsonl":
+        lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"))
+        items = _pairs(lines.filter(stripped(F.col("value")) != "").select("at", F.parse_json("value").alias("v")))
+    elif kind == "json":
+        whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+        if whole.filter(F.coalesce(~F.schema_of_variant("v").startswith("ARRAY"), F.lit(True))).count():
+            raise ValueError(f"{path} isn't an array")
+        items = _pairs(whole.select(F.posexplode(F.expr("cast(v as array<variant>)")).alias("at", "v")).withColumn("at", F.struct("at")))
+    else:
+        raise ValueError(f"{kind} is none of md, jsonl, json")
+    return items.orderBy("at").limit(limit).filter("question != '' and answer != ''").select("question", "answer")
+
+
+def _pairs(items: DataFrame) -> DataFrame:
+    """Place, question and answer of objects; what they lack or hold as null is empty."""
+    said = lambda name: stripped(F.coalesce(F.variant_get("v", f"$.{name}", "string"), F.lit("")))
+    return items.select("at", said("user").alias("question"), said("assistant").alias("answer"))
+
+
 def json_from_model(text: Column) -> Column:
     """The JSON object in a model's answer as a variant: fences stripped, else from the first { to the last }; null if there is none.
 

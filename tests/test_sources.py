@@ -88,6 +88,32 @@ def test_parsers(spark):
     assert [(r["page_no"], r["text"]) for r in pages.collect()] == [(1, "a"), (2, "b")]
 
 
+def test_question_sets(spark, tmp_path):
+    """The limit counts items as they come, valid or not; then those without a question or an answer go."""
+    import json
+
+    items = [{"user": " q1 ", "assistant": "a1"}, {"user": "", "assistant": "a2"}, {"user": "q3"}, {"user": "q4", "assistant": None}, {"user": 5, "assistant": "a5\u3000"}, {"user": "q6", "assistant": "a6"}]
+    lines, array = tmp_path / "set.jsonl", tmp_path / "set.json"
+    lines.write_text("\n\n  \n".join(map(json.dumps, items)), encoding="utf-8")
+    array.write_text(json.dumps(items), encoding="utf-8")
+    for limit in (0, 1, 3, 5, 6, 20):
+        want = [(q, a) for q, a in [("q1", "a1"), ("", "a2"), ("q3", ""), ("q4", ""), ("5", "a5"), ("q6", "a6")][:limit] if q and a]
+        for path, kind in ((lines, "jsonl"), (array, "json")):
+            assert [tuple(r) for r in readers.qa_pairs(spark, str(path), kind, limit).collect()] == want
+    folder = tmp_path / "md" / "deep"
+    folder.mkdir(parents=True)
+    for name, said in {"a.md": "## User\nq1\n## assistant\na1\n## assistant\nmore", "b.md": "no pair", "c.md": "## user\n\n## assistant\na3", "d.md": "bare question ## assistant answer", "e.txt": "## user\nx\n## assistant\ny"}.items():
+        (folder / name).write_text(said, encoding="utf-8")
+    assert [tuple(r) for r in readers.qa_pairs(spark, str(tmp_path / "md"), "md").collect()] == [("q1", "a1"), ("bare question", "answer")]
+    assert readers.qa_pairs(spark, str(tmp_path / "md"), "md", 1).count() == 1
+    array.write_text("{}", encoding="utf-8")
+    with pytest.raises(ValueError, match="array"):
+        readers.qa_pairs(spark, str(array), "json")
+    lines.write_text("{\"user\": \"q\"}\nnot JSON\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)json|malformed"):
+        readers.qa_pairs(spark, str(lines), "jsonl").collect()
+
+
 def test_versions_and_export(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "k int, v string")
     folder = str(tmp_path / "t")
