@@ -6,9 +6,8 @@ the width that its pattern can match. Before that, a text only leaves the JVM if
 from the rules' patterns, so no text that a rule can match is kept back. Of overlapping detections the one with the
 higher priority stays, then the longer; a detection whose words lie within a kept one's is suppressed.
 
-The rules are of two sorts: some two hundred written one by one from the words of licence texts, notices and links, and
-forms times licences, which give another four hundred for the ways in which some forty licences are granted, named and
-tagged.
+The rules are of two sorts: 173 written one by one from the words of licence texts, notices and links, and seven forms times
+some forty licences, which give another 373 for the ways in which these are granted, named and tagged.
 
 Base phrases are places where their words stand consecutively; all are counted, whatever the rules say. Time grows with
 a text's length and its detections (times their logarithm); one text at a time is a Python string.

@@ -3,6 +3,10 @@
 Words are summed by source; targets share `budget_pct` percent of all words by the sources' weights and stop at
 `most_times` a source's size, the excess being shared again until none is above. A source's rate is target / size; a
 document is taken floor(rate) times, and once more if a hash of its id, read as a fraction, is below the rest.
+Documents are drawn one by one, so what a source misses its target by has a standard deviation of the square root of
+f (1 - f) times the sum of its squared sizes, f being the rate's fraction: a share that falls with the square root of the
+number of documents, and a few per cent for a source of a few hundred. Drawing them in an order that balances sizes would
+shuffle whole texts.
 
 Sums by source are combined before the shuffle; sources are ranked by a range sort, and the water level is found in
 rounds of one aggregate over the source table. Rates are broadcast only after their size is measured; beyond it the

@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 from helpers import oracle_rows, rows_of
+from pyspark.sql import functions as F
 from pyspark.sql.functions import col as F_col
 
-from lexmill.llm import exact_dedup, html_text, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash
+from lexmill.llm import chat, exact_dedup, html_text, licences, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash
 from lexmill.llm.oracles import SQL
 from lexmill.llm.queries import TOKENIZER, queries
 from lexmill.storage import materialize
@@ -255,6 +256,24 @@ def test_packing_brute_force(spark, edges):
     assert len(sequences) <= least + 2
 
 
+def test_packing_clashing_columns(spark, edges, clashing):
+    """Extra columns named as the operator names its own change nothing."""
+    plain = packing.pack(spark.read.parquet(f"{edges}/documents.parquet"), TOKENIZER)
+    got = packing.pack(clashing, TOKENIZER)
+    pieces = lambda df: Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert pieces(got) == pieces(plain)
+
+
+def test_chat_clashing_columns_and_empty(spark, edges, nothing):
+    said = spark.read.parquet(f"{edges}/conversations.parquet")
+    extra = said.withColumns({c: F.lit(f"extra {c}") for c in ("turns", "key", "slice", "node", "at", "steps", "is_leaf", "path", "loss")})
+    read = lambda df: sorted(map(str, chat.read_back(chat.prefix_trees(df)).collect()))
+    assert read(extra) == read(said)
+    none = spark.read.parquet(f"{nothing}/conversations.parquet")
+    trees = chat.prefix_trees(none)
+    assert trees.count() == 0 and chat.read_back(trees).count() == 0
+
+
 def test_packing_plan_uses_everything():
     rng = random.Random(1)
     lengths = Counter(min(1023, int(rng.expovariate(1 / 300)) + 1) for _ in range(20_000))
@@ -294,6 +313,21 @@ def test_mixing_meets_targets(spark):
     assert mixed == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_mixing_misses_as_said(spark):
+    """What each source misses its target by is within four of the deviations that the docstring gives; equal fractions and sizes too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    ties = spark.range(3000).selectExpr("id + 100000 AS doc_id", "'w w w w w' AS text", "concat('tie', id % 3) AS source")
+    rows, by = docs.unionByName(ties), defaultdict(list)
+    source = {r["doc_id"]: r["source"] for r in rows.select("doc_id", "source").collect()}
+    for r in mixing.mix_table(rows).collect():
+        by[source[r["doc_id"]], r["source_size"], r["target"]].append((r["size"], r["taken"]))
+    assert len(by) > 10
+    for (_, size, target), rows in by.items():
+        f = target / size % 1
+        deviation = (f * (1 - f) * sum(n * n for n, _ in rows)) ** 0.5
+        assert abs(sum(t for _, t in rows) - target) <= 4 * deviation + 1e-6
+
+
 def test_exact_dedup_resumes(spark, tmp_path):
     """A second call with one folder only reads new files and moves the kept copy to the longer text."""
     docs = tmp_path / "documents.parquet"
