@@ -6,7 +6,8 @@ from one version, one is refused and its folder is never listed. Readers take a
 whole. (That needs a store whose rename is atomic, as HDFS's is.) Old folders stay, so a table can be rolled back to any version, until vacuum drops what the kept versions don't list.
 
 A key may have many rows (a document its points): a delta replaces all rows of the keys that it names. Keys of deltas are
-joined by broadcast only if they are measured to be few; else both sides are shuffled. Compaction folds the deltas into a
+joined by broadcast only if they are measured to be few; else both sides are shuffled. Rows may also be appended without
+naming keys: what is only appended is read without a join. Compaction folds the deltas into a
 new base; until then reading costs the base and the deltas since.
 """
 
@@ -28,7 +29,8 @@ class Manifest(NamedTuple):
     version: int
     key: str
     schema: str
-    #: kind (rows or keys), folder and bytes of each part, oldest first; "keys" names the keys whose older rows are gone.
+    #: kind, folder and bytes of each part, oldest first: "rows" are the base and what upserts wrote, "more" what was
+    #: appended, and "keys" names the keys whose older rows are gone.
     parts: tuple[tuple[str, str, int], ...]
     note: str
     tags: tuple[str, ...]
@@ -102,6 +104,11 @@ def upsert(folder: str, rows: DataFrame, expected: int | None = None, tag: str |
     return _change(folder, rows, None, expected, tag, tags_kept, "upsert")
 
 
+def append(folder: str, rows: DataFrame, expected: int | None = None, tag: str | None = None, tags_kept: int = 1000) -> int:
+    """Add rows and leave all others, also those of the same keys."""
+    return _change(folder, rows, None, expected, tag, tags_kept, "append")
+
+
 def delete(folder: str, keys: DataFrame, expected: int | None = None, tag: str | None = None, tags_kept: int = 1000) -> int:
     """Drop all rows of the keys."""
     return _change(folder, None, keys, expected, tag, tags_kept, "delete")
@@ -120,7 +127,9 @@ def _change(folder: str, rows: DataFrame | None, keys: DataFrame | None, expecte
     if expected is not None and expected != now.version:
         raise Conflict(f"{folder} is at version {now.version}, not {expected}")
     parts = list(now.parts)
-    if rows is not None:
+    if note == "append":
+        parts.append(_write(rows.select(*read(spark, folder).columns), folder, "more"))
+    elif rows is not None:
         rows = rows.select(*read(spark, folder).columns)
         kept = _write(rows, folder, "rows")
         if keys is None:
@@ -140,8 +149,12 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFr
     schema = StructType.fromJson(json.loads(at.schema))
     load = lambda i: spark.read.schema(schema).parquet(f"{folder}/{at.parts[i][1]}")
     keys = [i for i, p in enumerate(at.parts) if p[0] == "keys"]
+    added = [i for i, p in enumerate(at.parts) if p[0] == "more"]
     if not keys:
-        return load(0)
+        out = load(0)
+        for i in added:
+            out = out.unionByName(load(i))
+        return out
     key, order = schema[at.key], fresh(schema.names, "_order")
     named = [spark.read.schema(StructType([key])).parquet(f"{folder}/{at.parts[i][1]}").withColumn(order, F.lit(i)) for i in keys]
     gone = named[0]
@@ -154,10 +167,15 @@ def read(spark: SparkSession, folder: str, version: int | None = None) -> DataFr
         if i and p[0] == "rows":
             some = load(i).withColumn(fresh(schema.names, "_part"), F.lit(i))
             later = some if later is None else later.unionByName(some)
-    if later is None:
-        return base.select(*schema.names)
-    part = fresh(schema.names, "_part")
-    return base.select(*schema.names).unionByName(later.join(last, at.key).filter(F.col(part) > F.col(order)).select(*schema.names))
+    part, out = fresh(schema.names, "_part"), base.select(*schema.names)
+    if later is not None:
+        out = out.unionByName(later.join(last, at.key).filter(F.col(part) > F.col(order)).select(*schema.names))
+    for i in added:
+        some = load(i)
+        if i < keys[-1]:  # keys named since may be among them
+            some = join_sized(some, last, at.key).filter(F.col(order).isNull() | (F.col(order) < i))
+        out = out.unionByName(some.select(*schema.names))
+    return out
 
 
 def compact(spark: SparkSession, folder: str) -> int:

@@ -2,8 +2,8 @@
 
 A corpus comes as two Parquet folders, articles and their chunks (the columns that `prepared.article_errors` and
 `prepared.chunk_errors` check). Nothing is written before all gates hold. Chunks then arrive as a stream; each micro-batch
-gets its vectors and is one commit of the table of points, tagged with its number, so a run that was stopped between
-write and checkpoint goes on without losing or doubling a point. The run is complete when the table holds exactly the
+gets its vectors and is appended to the table of points by one commit, tagged with its number, so a run that was stopped
+between write and checkpoint goes on without losing or doubling a point, and readers needn't join. The run is complete when the table holds exactly the
 chunks' points. What a run does is kept in a table of one row, `out`/state; a run is only taken up again by asking for it, and
 only with the corpus that it was begun with.
 
@@ -108,7 +108,7 @@ def publish(
         sent = df.count()
         if faults["rows"] != sent or faults["ids"] != sent or faults["faulty"]:
             raise Refused(f"batch {number} of {sent} chunks", faults.asDict())
-        deltas.upsert(at, held, tag=f"batch {number}")
+        deltas.append(at, held, tag=f"batch {number}")  # ids are unique by the gates, so no keys need be named
 
     if not done:
         stream_of(spark, chunks, files).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()

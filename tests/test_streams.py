@@ -138,3 +138,27 @@ def test_ingest_stopped_before_its_checkpoint(spark, tmp_path, monkeypatch):
     found = ingest.ingest_stream(spark, docs, out).select("point_id", "doc_id", "chunk_text")
     assert rows(found) == batch_points(spark.read.parquet(docs))
     assert deltas.last_version(spark, f"{out}/points") == 1
+
+
+def test_appended_rows(spark, tmp_path):
+    """Appended rows stay beside those of their key until a later change names it; null keys, tags, rollback, compaction."""
+    folder, rows = str(tmp_path / "t"), lambda *x: spark.createDataFrame(list(x), "k long, v string")
+    read = lambda version=None: sorted(map(tuple, deltas.read(spark, folder, version).collect()), key=str)
+    deltas.create(rows((1, "a"), (2, "b")), folder, "k")
+    assert deltas.append(folder, rows((1, "c"), (3, "d"), (None, "n")), 0, "one") == 1
+    assert deltas.append(folder, rows((9, "again")), tag="one") == 1
+    with pytest.raises(deltas.Conflict):
+        deltas.append(folder, rows((9, "late")), 0)
+    first = sorted([(1, "a"), (2, "b"), (1, "c"), (3, "d"), (None, "n")], key=str)
+    assert read() == first
+    assert "Join" not in deltas.read(spark, folder)._jdf.queryExecution().toString()
+    deltas.upsert(folder, rows((1, "e")))
+    assert read() == sorted([(2, "b"), (3, "d"), (None, "n"), (1, "e")], key=str)
+    deltas.append(folder, rows((1, "f"), (4, "g")))
+    deltas.delete(folder, rows((4, ""), (2, "")))
+    last = sorted([(3, "d"), (None, "n"), (1, "e"), (1, "f")], key=str)
+    assert read() == last and read(1) == first
+    deltas.compact(spark, folder)
+    assert read() == last
+    deltas.rollback(spark, folder, 1)
+    assert read() == first
