@@ -88,6 +88,36 @@ def test_bm25_vectors(spark):
     assert got == {1: {ids["rate"]: pytest.approx(weight(2)), ids["pay"]: pytest.approx(weight(1))}}
 
 
+def test_bm25_index_sql(spark, tmp_path):
+    """Words of one id count once in the SQL too, whatever their length; a weight of half a unit is rounded alike."""
+    import duckdb
+
+    from lexmill.plans import acceptance_plans
+
+    pair = colliding()
+    docs = [(1, " ".join(pair) + " pay"), (2, "x" * 64 + " " + "y" * 200 + " x x"), (3, None)] + [(n, "w " * n + "v " * (n * n)) for n in range(4, 60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    c.sql("create table benchmark (item_id bigint, text varchar)")
+    got = sorted(tuple(r) for r in acceptance_plans.bm25_index(spark, str(tmp_path)).collect())
+    assert got[0][1] == 2
+    assert got == sorted(c.sql(acceptance_plans.SQL["bm25_index"]).fetchall())
+
+
+def colliding() -> tuple[str, str]:
+    """Two words of one token id."""
+    from hashlib import blake2s
+
+    seen: dict[bytes, str] = {}
+    for n in range(1 << 20):
+        digest = blake2s(f"w{n}".encode(), digest_size=4).digest()
+        if digest in seen:
+            return seen[digest], f"w{n}"
+        seen[digest] = f"w{n}"
+    raise AssertionError("no collision")
+
+
 @pytest.mark.parametrize("target", [0, 3, 5, 6, 9, 40])
 def test_spot_checks_fill_up(spark, target):
     """Against the walk row by row that the selection stands for."""
