@@ -9,7 +9,7 @@ from lexmill.operators.store import expires
 from lexmill.plans.corpus_plans import CHUNKS
 from lexmill.session import table
 from lexmill.sources import deltas
-from lexmill.storage import shared_path
+from lexmill.storage import partitions, shared_path
 from lexmill.streaming import ingest, publish, stateful
 
 FIRST, SECOND = "1996-01-01 00:00:00", "1997-01-01 00:00:00"
@@ -37,7 +37,7 @@ def retention_stream(spark: SparkSession, sf: str) -> DataFrame:
     for now in (FIRST, SECOND):
         new = rows.filter((F.col("at") <= F.lit(now)) & (F.lit(True) if before is None else F.col("at") > F.lit(before)))
         new.unionByName(clock(spark, now)).write.mode("append").parquet(events)
-        found, before = stateful.sweep(spark, events, out, purge), now
+        found, before = stateful.sweep(spark, events, out, purge, stores=max(8, partitions(spark))), now
     return found.select(F.col("id").cast("long").alias("o_orderkey"), "attempt", "removed", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
 
 

@@ -15,6 +15,8 @@ from lexmill.storage import exists
 
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 LEAST_INTERVAL = 30
+#: Owners a state key.
+OWNERS = 64
 EVENT = "owner string, id string, kind string, at timestamp, expires_at timestamp"
 DUE = "owner string, id string, expires_at timestamp, attempt int, swept_at timestamp"
 MESSAGE = "thread string, id string, seq long, version long, role string, text string, removed boolean"
@@ -29,7 +31,8 @@ def own_session(spark: SparkSession, stores: int) -> SparkSession:
 
 
 class Retention(StatefulProcessor):
-    """Of an owner's rows: when each expires, when it is next tried, and how often it was. One timer an owner, at the earliest.
+    """Of a bucket of owners' rows: when each expires, when it is next tried, and how often it was. One timer a bucket, at the
+    earliest; a call of Python a key costs more than what it does for a row, so a key holds the rows of some tens of owners.
 
     A row is handed on when the watermark has passed its expiry, and again every interval until a `gone` event says that
     it has been removed; so a removal that fails keeps the row. A row that is put again gets its new expiry. A `gone` event
@@ -44,33 +47,35 @@ class Retention(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         held, timer = self._load()
         for r in sorted(rows, key=lambda r: (r["at"], r["kind"] == "gone")):
-            known = held.get(r["id"])
+            name = json.dumps([r["owner"], r["id"]])
+            known = held.get(name)
             if r["kind"] == "put":
-                held[r["id"]] = [r["expiry"], r["expiry"], 0]
+                held[name] = [r["expiry"], r["expiry"], 0]
             elif known:
                 if not known[2] and known[0] < r["at"]:
-                    yield Row(owner=key[0], id=r["id"], expires=known[0], attempt=1, swept=timerValues.getCurrentWatermarkInMs())
-                del held[r["id"]]
-        yield from self._due(key, held, timer, timerValues)
+                    yield Row(owner=r["owner"], id=r["id"], expires=known[0], attempt=1, swept=timerValues.getCurrentWatermarkInMs())
+                del held[name]
+        yield from self._due(held, timer, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         held, _ = self._load()
-        yield from self._due(key, held, None, timerValues)
+        yield from self._due(held, None, timerValues)
 
     def _load(self) -> tuple[dict[str, list[int]], int | None]:
         found = self.held.get()
         return (json.loads(found[0]), found[1]) if found else ({}, None)
 
-    def _due(self, key: tuple, held: dict[str, list[int]], timer: int | None, timers: TimerValues) -> Iterator[Row]:
+    def _due(self, held: dict[str, list[int]], timer: int | None, timers: TimerValues) -> Iterator[Row]:
         now = timers.getCurrentWatermarkInMs()
-        for i, row in held.items():
+        for name, row in held.items():
             if row[1] < now:
                 row[1:] = [now + self.interval, row[2] + 1]
-                yield Row(owner=key[0], id=i, expires=row[0], attempt=row[2], swept=now)
+                owner, i = json.loads(name)
+                yield Row(owner=owner, id=i, expires=row[0], attempt=row[2], swept=now)
         first = min((row[1] for row in held.values()), default=None)
-        if timer is not None and timer != first:
+        if timer is not None and timer != (first and first + 1):
             self.handle.deleteTimer(timer)
-        if first is not None and timer != first:
+        if first is not None and timer != first + 1:
             self.handle.registerTimer(first + 1)
         if held:
             self.held.update((json.dumps(held), first + 1))
@@ -78,6 +83,16 @@ class Retention(StatefulProcessor):
             self.held.clear()
 
 
+def owner_buckets(spark: SparkSession, events: str, out: str, stores: int) -> int:
+    """How many buckets the owners are dealt into: some tens of owners a bucket by the first call's events. It is kept with the
+    checkpoint, as state stays where it is."""
+    at = f"{out}/buckets"
+    if not exists(spark, at):
+        found = spark.read.schema(EVENT).parquet(events).agg(F.approx_count_distinct("owner").alias("n")).first()["n"]
+        spark.range(1).select(F.lit(max(4 * stores, found // OWNERS)).cast("long").alias("n")).write.parquet(at)
+    return spark.read.parquet(at).first()["n"]
+
+
 def sweep(spark: SparkSession, events: str, out: str, purge: Callable[[DataFrame], DataFrame], interval: int = 300, delay: int = 3600, stores: int = 8) -> DataFrame:
     """Take the new events into the state, try to remove what is due, and acknowledge what was removed.
 
@@ -91,10 +106,11 @@ def sweep(spark: SparkSession, events: str, out: str, purge: Callable[[DataFrame
     acknowledged = f"{out}/acknowledged"
     if not exists(spark, acknowledged):
         spark.createDataFrame([], EVENT).write.parquet(f"{acknowledged}/batch=-1")
+    bucket = F.pmod(F.xxhash64("owner"), F.lit(owner_buckets(spark, events, out, stores))).alias("bucket")
     sources = [session.readStream.schema(EVENT).parquet(x).select(*[c.split()[0] for c in EVENT.split(", ")]) for x in (events, acknowledged)]
     rows = sources[0].unionByName(sources[1]).filter("kind != 'put' or expires_at is not null").withWatermark("at", f"{delay} seconds")
     ms = lambda c: F.unix_millis(F.col(c))
-    due = rows.select("owner", "id", "kind", F.col("at").alias("recorded"), ms("at").alias("at"), ms("expires_at").alias("expiry")).groupBy("owner").transformWithState(Retention(interval), "owner string, id string, expires long, attempt int, swept long", "append", "EventTime")
+    due = rows.select(bucket, "owner", "id", "kind", F.col("at").alias("recorded"), ms("at").alias("at"), ms("expires_at").alias("expiry")).groupBy("bucket").transformWithState(Retention(interval), "owner string, id string, expires long, attempt int, swept long", "append", "EventTime")
 
     def write(batch: DataFrame, number: int) -> None:
         tried = purge(batch.select("owner", "id", F.timestamp_millis("expires").alias("expires_at"), "attempt", F.timestamp_millis("swept").alias("swept_at")))

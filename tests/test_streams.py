@@ -35,6 +35,19 @@ def test_failed_removals_are_tried_again(spark, tmp_path):
     assert stateful.sweep(spark, events, out, fine).count() == 5
 
 
+def test_owners_share_state_keys(spark, tmp_path):
+    """Some tens of owners are one key of the state; no owner's rows touch another's, also of equal ids, odd names or none."""
+    events, out = str(tmp_path / "events"), str(tmp_path / "out")
+    owners = [*[f"o{i}" for i in range(400)], 'a","b', "a\n", None]
+    day = "2024-01-{:02d} 00:00:00".format
+    put(spark, events, *[(o, "x", "put", day(1), day(5 if n % 2 else 20)) for n, o in enumerate(owners)], ("clock", "clock", "clock", day(10), None))
+    purge = lambda due: due.withColumn("removed", F.lit(True))
+    due = stateful.sweep(spark, events, out, purge, stores=1).collect()
+    assert {r["owner"] for r in due} == set(owners[1::2])
+    assert len(due) == len(owners[1::2])
+    assert spark.read.parquet(f"{out}/buckets").first()["n"] < len(owners) / 32
+
+
 def test_threads_in_any_order(spark, tmp_path):
     """Messages, edits and removals in any order, repeated, over restarts: one result."""
     rows = [("t", "1", 1, 1, "user", "hi", False), ("t", "2", 2, 1, "assistant", "draft", False), ("t", "2", 9, 2, "assistant", "final", False), ("t", "3", 3, 1, "user", None, False), ("t", "3", 3, 2, "user", None, True), ("s", "1", 1, 1, None, "other", False)]
