@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.operators.acceptance import case_queries, law_queries, resolved_value
 from lexmill.operators.labor_rules import findings as rule_findings
 from lexmill.operators.labor_rules import in_scope
-from lexmill.storage import materialize
+from lexmill.storage import join_sized, materialize
 
 #: Clause types that show a labour contract, states of facts that a person has to settle.
 LABOUR_CLAUSES = ("parties", "probation", "compensation", "social_insurance", "work_hours")
@@ -33,9 +33,15 @@ def branches(reviews: DataFrame, facts: DataFrame, clauses: DataFrame, review: s
 
 
 def retrieved(queries: DataFrame, hits: DataFrame, review: str, name: str) -> DataFrame:
-    """review, the number of distinct documents of its queries, and whether a query found none. hits: rule_id, doc_id."""
-    found = queries.select(review, "rule_id").join(hits.select("rule_id", "doc_id"), "rule_id", "left")
-    return found.groupBy(review).agg(F.count_distinct("doc_id").alias(name), F.bool_or(F.col("doc_id").isNull()).alias(f"{name}_missing"))
+    """review, the number of distinct documents of its queries, and whether a query found none. hits: rule_id, doc_id.
+
+    Reviews ask sets of a few rules, of which there are far fewer than reviews; each set's documents are counted once, and no
+    review meets a document."""
+    asked = materialize(queries.groupBy(review).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), "\n").alias("_asked")), "asked")
+    sets = asked.select("_asked").distinct()
+    found = sets.select("_asked", F.explode(F.split("_asked", "\n")).alias("rule_id")).join(hits.select("rule_id", "doc_id").distinct(), "rule_id", "left")
+    counts = found.groupBy("_asked").agg(F.count_distinct("doc_id").alias(name), F.bool_or(F.col("doc_id").isNull()).alias(f"{name}_missing"))
+    return join_sized(asked, materialize(counts, "asked-counts"), "_asked").drop("_asked")
 
 
 def review_graph(reviews: DataFrame, facts: DataFrame, clauses: DataFrame, warnings: DataFrame, law: DataFrame, cases: DataFrame | None = None, review: str = "review_id") -> DataFrame:

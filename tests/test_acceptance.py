@@ -80,6 +80,20 @@ def test_remaining(spark):
             A.remaining(work, spark.createDataFrame(done, schema), "k", model="m")
 
 
+def test_retrieved_by_sets_of_rules(spark):
+    """Distinct documents of each review's queries, against sets; reviews aren't joined with documents."""
+    from lexmill.operators.review_graph import retrieved
+
+    asks = {r: {f"R{(r * k) % 7}" for k in range(1, 1 + r % 4)} for r in range(1, 60)}
+    docs = {f"R{n}": {d for d in range(40) if d % (n + 2) == 0} for n in range(6)}  # R6 finds none
+    queries = spark.createDataFrame([(r, q) for r, some in asks.items() for q in some], "review int, rule_id string")
+    hits = spark.createDataFrame([(q, d) for q, some in docs.items() for d in some] * 2, "rule_id string, doc_id int")
+    got = retrieved(queries, hits, "review", "n")
+    want = {r: (len(set().union(*[docs.get(q, set()) for q in some])), "R6" in some) for r, some in asks.items() if some}
+    assert {r["review"]: (r["n"], r["n_missing"]) for r in got.collect()} == want
+    assert "rule_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bm25_vectors(spark):
     docs = spark.createDataFrame([(1, "rate rate pay"), (2, ""), (3, None)], "doc_id int, text string")
     got = {r["doc_id"]: dict(zip(r["indices"], r["weights"], strict=True)) for r in A.bm25_vectors(docs).collect()}
