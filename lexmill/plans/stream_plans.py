@@ -42,15 +42,16 @@ def retention_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def message_threads(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations said twice, edited and partly removed, arriving last turns first in several micro-batches."""
+    """Conversations said twice, edited and partly removed, arriving last turns first: what arrives is merged before more comes."""
     said = table(spark, sf, "conversations").filter("conv_id is not null and turn is not null")
     base = said.select(F.col("conv_id").cast("string").alias("thread"), F.col("turn").cast("string").alias("id"), F.col("turn").cast("long").alias("seq"), F.lit(1).cast("long").alias("version"), "role", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("removed"))
     edits = base.filter("seq % 3 = 1").withColumns({"version": F.lit(2).cast("long"), "text": F.concat(F.lit("edited: "), F.col("text")), "seq": F.col("seq") + 100})
     removals = base.filter("seq % 5 = 4").withColumns({"version": F.lit(3).cast("long"), "removed": F.lit(True)})
     messages, out = shared_path(spark, "messages"), shared_path(spark, "threads")
     for part in (removals, edits.unionByName(base.filter("seq > 2")), base):
-        part.coalesce(1).write.mode("append").parquet(messages)
-    now = stateful.merge_threads(spark, messages, out, files=1).filter("not removed")
+        part.write.mode("append").parquet(messages)
+        merged = stateful.merge_threads(spark, messages, out, stores=max(8, partitions(spark)))
+    now = merged.filter("not removed")
     line = F.concat("role", F.lit(": "), "text")
     return now.groupBy(F.col("thread").cast("long").alias("conv_id")).agg(F.count("*").alias("n_messages"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), "\n")).alias("thread_md5"))
 

@@ -48,6 +48,24 @@ def test_owners_share_state_keys(spark, tmp_path):
     assert spark.read.parquet(f"{out}/buckets").first()["n"] < len(owners) / 32
 
 
+def test_message_files_are_not_one_task(spark, tmp_path, monkeypatch):
+    """Each arrival of messages is written by as many tasks as read it, and merged before the next."""
+    from lexmill.plans import stream_plans
+
+    talk = [(c, t, "user", f"said {c} {t}") for c in range(50) for t in range(6)]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    found, merge = [], stateful.merge_threads
+
+    def seen(session, messages, out, *args, **kwargs):
+        found.append(len(session.read.schema(stateful.MESSAGE).parquet(messages).inputFiles()))
+        return merge(session, messages, out, *args, **kwargs)
+
+    monkeypatch.setattr(stream_plans.stateful, "merge_threads", seen)
+    assert stream_plans.message_threads(spark, str(tmp_path)).count() == 50
+    assert len(found) == 3
+    assert min(b - a for a, b in itertools.pairwise([0, *found])) > 1
+
+
 def test_threads_in_any_order(spark, tmp_path):
     """Messages, edits and removals in any order, repeated, over restarts: one result."""
     rows = [("t", "1", 1, 1, "user", "hi", False), ("t", "2", 2, 1, "assistant", "draft", False), ("t", "2", 9, 2, "assistant", "final", False), ("t", "3", 3, 1, "user", None, False), ("t", "3", 3, 2, "user", None, True), ("s", "1", 1, 1, None, "other", False)]
