@@ -48,6 +48,19 @@ def _ranges(points: list[int], form: str) -> str:
     return "".join(out)
 
 
+def _java(points: list[int]) -> str:
+    """A Java class of the code points, behind a few wide ranges that hold them: most letters are told by those, not by hundreds
+    of narrow ones."""
+    if not points:
+        return ""
+    near, high = [p for p in points if p < 0x80], [p for p in points if p >= 0x80]
+    hull, low = set(near), [p for p in high if p < 0x600]
+    for p in low:
+        hull.update(range(p & ~63, (p | 63) + 1))
+    wide = _ranges(sorted(hull), "\\x{%x}") + (f"\\x{{{min(p for p in high if p >= 0x600):x}}}-\\x{{10ffff}}" if high and high[-1] >= 0x600 else "")
+    return f"[{wide}&&[{_ranges(points, '\\x{%x}')}]]"
+
+
 @cache
 def alphabet() -> Alphabet:
     """What each character of a run stands for, runs long enough for a number, the gate and invisible characters for the JVM."""
@@ -66,9 +79,8 @@ def alphabet() -> Alphabet:
     everything = sorted(several + one + other)
     widest = max(sum(x.isdecimal() for x in plain.get(p, "")) for p in several)
     run = re.compile(f"[{_ranges(everything, '\\U%08x')}]{{{-(-FEWEST // widest)},}}")
-    java = lambda points: _ranges(points, "\\x{%x}")
-    gate = f"[{java(one)}](?:[{java(other)}]*+[{java(one)}]){{{FEWEST - 1}}}|[{java(several)}]"
-    return Alphabet(plain, run, gate, java(sorted(p for p in everything if plain.get(p) == "")))
+    gate = f"{_java(one)}(?:{_java(other)}*+{_java(one)}){{{FEWEST - 1}}}|{_java(several)}"
+    return Alphabet(plain, run, gate, _java(sorted(p for p in everything if plain.get(p) == "")))
 
 
 def masked(run: str, counts: dict[str, int]) -> str:
@@ -118,5 +130,6 @@ def redacted(text: Column) -> Column:
         rows = [redact_text(x) for x in texts]
         return pd.DataFrame({"text": [r[0] for r in rows], **{k: [r[1][k] for r in rows] for k in KINDS}, "hidden": [r[2] for r in rows]})
 
-    plain = F.struct(text.alias("text"), *[F.lit(0).alias(k) for k in KINDS], F.length(F.regexp_replace(text, f"[^{alphabet().hidden}]", "")).alias("hidden"))
-    return F.when(suspect(text), redact(F.when(suspect(text), text))).otherwise(plain)
+    hidden = F.when(F.octet_length(text) == F.length(text), F.lit(0)).otherwise(F.length(F.regexp_replace(text, f"[^{alphabet().hidden}]+", "")))
+    found = redact(F.when(suspect(text), text))
+    return F.struct(F.coalesce(found["text"], text).alias("text"), *[F.coalesce(found[k], F.lit(0)).alias(k) for k in KINDS], F.when(found["text"].isNotNull(), found["hidden"]).otherwise(hidden).alias("hidden"))
