@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType
 
 from lexmill.functions.ids import text_sha256
 from lexmill.operators.governance import errors, protected
+from lexmill.storage import join_sized, materialize
 
 #: What a source's metadata must say, and prefixes of collections that no ingest may touch.
 IN_FORCE, LEVEL, STATUS_CODE = "有效", "A", 3
@@ -57,14 +58,15 @@ def article_errors(articles: DataFrame, chunks: DataFrame) -> DataFrame:
     """article_id, errors of each article: missing parts, a repeated id, chunks missing, miscounted or not numbered 0..n-1.
 
     articles: article_id, text, sha256, chunk_count; chunks: article_id, chunk_index, chunk_count. Numbers are contiguous
-    if there are as many different ones as chunks, from 0 to that count less 1, so no list of them is gathered.
+    if there are as many different ones as chunks, from 0 to that count less 1, so no list of them is gathered. Texts are
+    measured and hashed before they are grouped, so none is shuffled.
     """
-    by_id = articles.groupBy("article_id").agg(F.count("*").alias("n"), F.min("text").alias("text"), F.min("sha256").alias("sha256"), F.min("chunk_count").alias("chunk_count"))
+    by_id = articles.groupBy("article_id").agg(F.count("*").alias("n"), F.min(F.length("text")).alias("size"), F.min(text_sha256(F.col("text"))).alias("found"), F.min("sha256").alias("sha256"), F.min("chunk_count").alias("chunk_count"))
     held = chunks.groupBy("article_id", "chunk_index").agg(F.count("*").alias("same"), F.min("chunk_count").alias("lo"), F.max("chunk_count").alias("hi"))
     held = held.groupBy("article_id").agg(F.sum("same").alias("n_chunks"), F.count("*").alias("n_numbers"), F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     c, n = F.col, F.coalesce("n_chunks", F.lit(0))
     found = errors(
-        missing_id=c("article_id").isNull(), repeated_id=c("n") > 1, missing_text=blank(c("text")), hash_differs=c("sha256") != text_sha256(c("text")), no_chunks=n == 0, wrong_count=c("chunk_count") != n,
+        missing_id=c("article_id").isNull(), repeated_id=c("n") > 1, missing_text=c("size").isNull() | (c("size") == 0), hash_differs=c("sha256") != c("found"), no_chunks=n == 0, wrong_count=c("chunk_count") != n,
         not_contiguous=(n > 0) & ((c("n_numbers") != n) | (c("first") != 0) | (c("last") != n - 1)), count_differs=(n > 0) & ((c("lo") != c("chunk_count")) | (c("hi") != c("chunk_count"))),
     )
     return by_id.join(held, "article_id", "left").select("article_id", found.alias("errors"))
@@ -73,17 +75,22 @@ def article_errors(articles: DataFrame, chunks: DataFrame) -> DataFrame:
 def chunk_errors(articles: DataFrame, chunks: DataFrame) -> DataFrame:
     """article_id, chunk_index, errors of each chunk: its article, its place in it, its words and their hash.
 
-    chunks: article_id, chunk_index, point_id, article_sha256, start, end, excerpt, excerpt_sha256, chunk_text.
+    chunks: article_id, chunk_index, point_id, article_sha256, start, end, excerpt, excerpt_sha256, chunk_text. What a chunk
+    says by itself is checked first and written with the digest of its excerpt, which is compared with the digest of its
+    place; so of texts only the articles' are shuffled, once.
     """
-    points = chunks.groupBy("point_id").agg(F.count("*").alias("n_points"))
-    texts = articles.dropDuplicates(["article_id"]).select("article_id", F.col("text").alias("_text"), F.col("sha256").alias("_sha256"), F.lit(True).alias("_known"))
-    df = chunks.join(points, "point_id", "left").join(texts, "article_id", "left")
-    c, known = F.col, F.coalesce("_known", F.lit(False))
+    c, known, digest = F.col, F.coalesce("_known", F.lit(False)), lambda x: F.unhex(text_sha256(x))
     span = (c("start") >= 0) & (c("start") < c("end"))
+    alone = {"bad_span": ~span, "hash_differs": c("excerpt_sha256") != text_sha256(c("excerpt")), "blank_text": blank(F.trim("chunk_text"))}
+    marks = chunks.select("article_id", "chunk_index", "point_id", "article_sha256", "start", "end", digest(c("excerpt")).alias("_excerpt"), *[x.alias(f"_{name}") for name, x in alone.items()])
+    marks = materialize(marks, "chunk-marks")
+    repeated = materialize(marks.groupBy("point_id").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated-points")
+    texts = articles.dropDuplicates(["article_id"]).select("article_id", F.col("text").alias("_text"), F.col("sha256").alias("_sha256"), F.lit(True).alias("_known"))
+    df = join_sized(marks, repeated, "point_id").join(texts, "article_id", "left")
     fits = span & (c("end") <= F.length("_text"))
     found = errors(
-        missing_point=blank(c("point_id")), repeated_point=F.coalesce(c("n_points") > 1, F.lit(False)), unknown_article=~known, other_article=known & (c("article_sha256") != c("_sha256")), bad_span=~span,
-        beyond_article=known & span & ~fits, excerpt_differs=known & fits & (c("excerpt") != F.substr("_text", c("start") + 1, c("end") - c("start"))), hash_differs=c("excerpt_sha256") != text_sha256(c("excerpt")), blank_text=blank(F.trim("chunk_text")),
+        missing_point=blank(c("point_id")), repeated_point=c("_n").isNotNull(), unknown_article=~known, other_article=known & (c("article_sha256") != c("_sha256")), bad_span=c("_bad_span"),
+        beyond_article=known & span & ~fits, excerpt_differs=known & fits & (c("_excerpt") != digest(F.substr("_text", c("start") + 1, c("end") - c("start")))), hash_differs=c("_hash_differs"), blank_text=c("_blank_text"),
     )
     return df.select("article_id", "chunk_index", found.alias("errors"))
 

@@ -16,16 +16,17 @@ from lexmill.session import table
 def _prepared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Documents as articles, and their chunks of 1000 characters; some ids lack an article, a hash or a number."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = fixed_chunks(docs.withColumnRenamed("article_id", "doc_id"), "text", 1000, 200).withColumnRenamed("doc_id", "article_id")
     i, n = F.col("article_id"), F.greatest(F.ceil((F.length("text") - 200) / 800), F.lit(1)).cast("int")
     articles = docs.select(i, "text", F.when(i % 29 == 0, "x").otherwise(text_sha256(F.col("text"))).alias("sha256"), F.when(i % 31 == 0, n + 1).otherwise(n).alias("chunk_count"))
-    start, end = F.col("start").cast("long"), F.col("start").cast("long") + F.length("chunk")
     counts = articles.select(i, "chunk_count", F.col("sha256").alias("article_sha256"))
+    cut = fixed_chunks(docs.join(counts, "article_id"), "text", 1000, 200)  # joined before it is cut, as a chunk repeats what its neighbours say
+    start, end = F.col("start").cast("long"), F.col("start").cast("long") + F.length("chunk")
     chunks = cut.select(
         i, F.when(i % 17 == 0, F.col("chunk_index") * 2).otherwise(F.col("chunk_index")).alias("chunk_index"), F.when(i % 37 == 0, F.lit("p")).otherwise(F.concat_ws("#", i.cast("string"), F.col("chunk_index").cast("string"))).alias("point_id"),
         start.alias("start"), F.when(i % 41 == 0, end + 10_000_000).otherwise(end).alias("end"), F.when(i % 23 == 0, F.upper("chunk")).otherwise(F.col("chunk")).alias("excerpt"), text_sha256(F.col("chunk")).alias("excerpt_sha256"), F.col("chunk").alias("chunk_text"),
+        "chunk_count", "article_sha256",
     )
-    return articles.filter(i % 19 != 0), chunks.join(counts, "article_id")
+    return articles.filter(i % 19 != 0), chunks
 
 
 def article_checks(spark: SparkSession, sf: str) -> DataFrame:

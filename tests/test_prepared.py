@@ -14,6 +14,7 @@ from lexmill.operators import retrieval as R
 from lexmill.operators import review as V
 from lexmill.operators import store
 from lexmill.sources import readers, sinks
+from lexmill.storage import materialize
 
 
 def sha(text):
@@ -30,6 +31,21 @@ def test_article_and_chunk_errors(spark):
     assert got == {("a", 0): [], ("a", 2): ["excerpt_differs", "blank_text"], ("c", 0): ["repeated_point", "beyond_article"], ("e", 0): ["repeated_point", "unknown_article", "hash_differs"]}
 
 
+def test_chunk_texts_are_not_shuffled(spark, monkeypatch):
+    """Chunks are written and joined without their texts; one whose place says something else is still found."""
+    kept = {}
+    monkeypatch.setattr(P, "materialize", lambda df, name: kept.setdefault(name, materialize(df, name)))
+    text = "some words " * 400
+    articles = spark.createDataFrame([(1, text, sha(text), 5)], "article_id long, text string, sha256 string, chunk_count int")
+    rows = [(1, k, f"p{k % 4}", sha(text), k * 800, min(k * 800 + 1000, len(text)), text[k * 800 : k * 800 + 1000]) for k in range(5)]
+    rows[2] = (*rows[2][:6], rows[2][6].replace("words", "WORDS"))
+    chunks = spark.createDataFrame(rows, "article_id long, chunk_index int, point_id string, article_sha256 string, start int, end int, excerpt string")
+    chunks = chunks.withColumns({"excerpt_sha256": F.sha2("excerpt", 256), "chunk_text": F.col("excerpt")})
+    got = {r["chunk_index"]: r["errors"] for r in P.chunk_errors(articles, chunks).collect()}
+    assert got == {0: ["repeated_point"], 1: [], 2: ["excerpt_differs"], 3: [], 4: ["repeated_point"]}
+    assert not {"excerpt", "chunk_text"} & set(kept["chunk-marks"].columns) and kept["repeated-points"].count() == 1
+
+
 def test_source_errors(spark):
     names = "doc_id title source_level target_collection status effective_date official_url raw_file markdown_file raw_sha256 raw_found markdown_sha256 markdown_found".split()
     good = ("d", "t", "A", "legal", "有效", "2024-01-01", "https://x", "raw/a.docx", "md/a.md", "h", "h", "m", "m")
