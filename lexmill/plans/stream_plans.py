@@ -87,12 +87,12 @@ def letter_vector(chunks: DataFrame) -> DataFrame:
 def published_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents whose chunks all say something, published as articles; English ones activated, an activation of the others
     rolled back as their check finds fault."""
-    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
-    cut = fixed_chunks(docs, "text", 1000, 200)
-    sound = cut.groupBy("doc_id").agg(F.min(F.trim("chunk") != "").alias("sound"), F.count("*").cast("int").alias("chunk_count")).filter("sound and doc_id is not null").drop("sound")
-    articles = docs.join(sound, "doc_id").select(F.col("doc_id").alias("article_id"), "text", text_sha256(F.col("text")).alias("sha256"), "chunk_count", "lang")
-    chunks = cut.join(sound, "doc_id").select(
-        F.col("doc_id").alias("article_id"), "chunk_index", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("point_id"), text_sha256(F.col("text")).alias("article_sha256"),
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
+    articles = docs.filter("article_id IS NOT NULL").select("article_id", "text", text_sha256(F.col("text")).alias("sha256"), F.greatest(F.ceil((F.length("text") - 200) / 800), F.lit(1)).cast("int").alias("chunk_count"), "lang")
+    says = F.forall(F.sequence(F.lit(0), F.col("chunk_count") - 1), lambda k: F.trim(F.substr("text", k * 800 + 1, F.lit(1000))) != "")
+    articles = articles.filter(says)  # an article's own chunks, so nothing is gathered
+    chunks = fixed_chunks(articles, "text", 1000, 200).select(
+        "article_id", "chunk_index", F.concat_ws("#", F.col("article_id").cast("string"), F.col("chunk_index").cast("string")).alias("point_id"), F.col("sha256").alias("article_sha256"),
         F.col("start").cast("long").alias("start"), (F.col("start") + F.length("chunk")).cast("long").alias("end"), F.col("chunk").alias("excerpt"), text_sha256(F.col("chunk")).alias("excerpt_sha256"), F.col("chunk").alias("chunk_text"), "chunk_count",
     )
     paths = {name: shared_path(spark, name) for name in ("articles", "chunks", "collection")}
@@ -110,8 +110,8 @@ def published_corpus(spark: SparkSession, sf: str) -> DataFrame:
     except publish.Refused:
         pass  # rolled back; SQL knows English ones as active only
     active = publish.active_points(spark, out).select("point_id", "activated_at")
-    joined = points.join(active, "point_id", "left")
-    return joined.groupBy("article_id").agg(F.count("*").alias("n_points"), F.sum(F.length("chunk_text")).alias("chunk_chars"), F.sum(F.col("vector")[1]).cast("long").alias("vowels"), F.max("activated_at").alias("activated_at"))
+    joined = points.select("point_id", "article_id", F.length("chunk_text").alias("chars"), F.col("vector")[1].alias("vowels")).join(active, "point_id", "left")
+    return joined.groupBy("article_id").agg(F.count("*").alias("n_points"), F.sum("chars").alias("chunk_chars"), F.sum("vowels").cast("long").alias("vowels"), F.max("activated_at").alias("activated_at"))
 
 
 QUERIES = {f.__name__: f for f in (retention_stream, message_threads, delta_table, ingest_points, published_corpus)}

@@ -13,6 +13,7 @@ new base; until then reading costs the base and the deltas since.
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,9 +105,10 @@ def upsert(folder: str, rows: DataFrame, expected: int | None = None, tag: str |
     return _change(folder, rows, None, expected, tag, tags_kept, "upsert")
 
 
-def append(folder: str, rows: DataFrame, expected: int | None = None, tag: str | None = None, tags_kept: int = 1000) -> int:
-    """Add rows and leave all others, also those of the same keys."""
-    return _change(folder, rows, None, expected, tag, tags_kept, "append")
+def append(folder: str, rows: DataFrame, expected: int | None = None, tag: str | None = None, tags_kept: int = 1000, check: Callable[[DataFrame], None] | None = None) -> int:
+    """Add rows and leave all others, also those of the same keys. check gets the rows as they are written; if it raises, they
+    are deleted and nothing is committed."""
+    return _change(folder, rows, None, expected, tag, tags_kept, "append", check)
 
 
 def delete(folder: str, keys: DataFrame, expected: int | None = None, tag: str | None = None, tags_kept: int = 1000) -> int:
@@ -119,7 +121,7 @@ def replace(folder: str, rows: DataFrame, keys: DataFrame, expected: int | None
     return _change(folder, rows, keys, expected, tag, tags_kept, "replace")
 
 
-def _change(folder: str, rows: DataFrame | None, keys: DataFrame | None, expected: int | None, tag: str | None, tags_kept: int, note: str) -> int:
+def _change(folder: str, rows: DataFrame | None, keys: DataFrame | None, expected: int | None, tag: str | None, tags_kept: int, note: str, check: Callable[[DataFrame], None] | None = None) -> int:
     spark = (rows if rows is not None else keys).sparkSession
     now = manifest(spark, folder)
     if tag is not None and tag in now.tags:
@@ -128,7 +130,15 @@ def _change(folder: str, rows: DataFrame | None, keys: DataFrame | None, expecte
         raise Conflict(f"{folder} is at version {now.version}, not {expected}")
     parts = list(now.parts)
     if note == "append":
-        parts.append(_write(rows.select(*read(spark, folder).columns), folder, "more"))
+        rows = rows.select(*read(spark, folder).columns)
+        parts.append(_write(rows, folder, "more"))
+        if check:
+            path = f"{folder}/{parts[-1][1]}"
+            try:
+                check(spark.read.schema(rows.schema).parquet(path))
+            except Exception:
+                remove(spark, [path])
+                raise
     elif rows is not None:
         rows = rows.select(*read(spark, folder).columns)
         kept = _write(rows, folder, "rows")

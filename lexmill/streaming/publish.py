@@ -103,12 +103,15 @@ def publish(
         deltas.create(empty, at, "point_id")
 
     def batch(df: DataFrame, number: int) -> None:
-        held = materialize(embed(df.select(*KEPT)).select(*KEPT, F.col("vector").cast("array<double>").alias("vector")), "embedded")
-        faults = held.agg(F.count("*").alias("rows"), F.count_distinct("point_id").alias("ids"), F.count_if(F.size(prepared.vector_errors(F.col("vector"), dimension)) > 0).alias("faulty")).first()
         sent = df.count()
-        if faults["rows"] != sent or faults["ids"] != sent or faults["faulty"]:
-            raise Refused(f"batch {number} of {sent} chunks", faults.asDict())
-        deltas.append(at, held, tag=f"batch {number}")  # ids are unique by the gates, so no keys need be named
+
+        def check(held: DataFrame) -> None:
+            faults = held.agg(F.count("*").alias("rows"), F.count_distinct("point_id").alias("ids"), F.count_if(F.size(prepared.vector_errors(F.col("vector"), dimension)) > 0).alias("faulty")).first()
+            if faults["rows"] != sent or faults["ids"] != sent or faults["faulty"]:
+                raise Refused(f"batch {number} of {sent} chunks", faults.asDict())
+
+        made = embed(df.select(*KEPT)).select(*KEPT, F.col("vector").cast("array<double>").alias("vector"))
+        deltas.append(at, made, tag=f"batch {number}", check=check)  # written once; ids are unique by the gates, so no keys need be named
 
     if not done:
         stream_of(spark, chunks, files).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()

@@ -128,6 +128,17 @@ def test_doubled_vectors_are_refused(spark, tmp_path):
     assert deltas.read(spark, f"{tmp_path}/out/points").count() == 0
 
 
+def test_points_are_written_once(spark, tmp_path, monkeypatch):
+    """Points are checked where they are committed; no second copy of them is made, and a refused batch's is deleted."""
+    paths, out, written = corpus(spark, str(tmp_path / "in")), tmp_path / "out", []
+    monkeypatch.setattr(publish, "materialize", lambda df, name: written.append(name) or df)
+    with pytest.raises(Exception, match="batch 0"):
+        run(spark, paths, out, lambda c: embed(c).unionByName(embed(c)), files=100)
+    assert len(list((out / "points" / "data").iterdir())) == 1  # the empty base
+    assert run(spark, paths, out, files=100, resume=True).count() == 10
+    assert not written
+
+
 def test_activation_goes_back_on_faults(spark, tmp_path):
     paths, out = corpus(spark, str(tmp_path / "in")), str(tmp_path / "out")
     articles = spark.read.parquet(paths[0])
