@@ -1,8 +1,11 @@
 """Chunkers: fixed steps, sentence-aware steps with overlap, and recursive separators."""
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +38,23 @@ def split_preferred(text: str, size: int, overlap: int) -> Iterator[tuple[int, i
         start = end - overlap if end - overlap > start else end
 
 
+def spans_of(texts: pa.Array, size: int, overlap: int) -> pa.Array:
+    """Lists of start and end of each text's chunks. One text at a time is a Python string, and of spans eight bytes are kept."""
+    at, ends = array("i"), array("i", [0])
+    for text in texts:
+        for span in split_preferred(text.as_py() or "", size, overlap):
+            at.extend(span)
+        ends.append(len(at) // 2)
+    pairs = np.frombuffer(at, np.int32).reshape(-1, 2) if at else np.empty((0, 2), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["start", "end"]))
+
+
 def preferred_chunks(df: DataFrame, text: str, size: int = 1200, overlap: int = 120) -> DataFrame:
     """df with chunk_index, start, end and chunk. Only offsets come from Python; texts are cut in the JVM."""
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in split_preferred(t or "", size, overlap)] for t in texts])
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        return spans_of(texts, size, overlap)
 
     single = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end")))
     found = F.when(F.length(text) <= size, single).otherwise(spans(F.when(F.length(text) > size, F.col(text))))

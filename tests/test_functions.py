@@ -5,9 +5,11 @@ import re
 import unicodedata
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import chunks as C
 from lexmill.functions import pii, text
 from lexmill.functions.chunks import fixed_chunks, preferred_chunks, recursive_chunks, split_preferred
 from lexmill.functions.ids import numbered, signature, uuid5
@@ -154,3 +156,14 @@ def test_labels_and_forms(spark):
     assert len(one(spark, text.limited(c("x" * 50), 20))) <= 20
     assert one(spark, text.clean_document(c("﻿a​b c　"))) == "ab c"
     assert one(spark, text.markdown_heading(c("第一章 总则"), {"^第.+章": 2, "^第.+条": 4})) == "## 第一章 总则"
+
+
+def test_spans_come_one_text_at_a_time(monkeypatch):
+    """No text is a Python string before its turn; spans are those of the splitter."""
+    texts = [None, "", "a" * 50, "one。two\nthree " * 9]
+    seen = []
+    monkeypatch.setattr(C, "split_preferred", lambda t, *n, real=C.split_preferred: seen.append(t) or real(t, *n))
+    got = C.spans_of(pa.array(texts), 20, 5)
+    assert seen == ["", "", *texts[2:]]
+    assert [[(s["start"], s["end"]) for s in r] for r in got.to_pylist()] == [list(C.split_preferred(t or "", 20, 5)) for t in texts]
+    assert C.spans_of(pa.array([], pa.string()), 20, 5).to_pylist() == []
