@@ -54,13 +54,27 @@ def mark_contradictions(facts: DataFrame, value: str, *key: str) -> DataFrame:
     return keyed.join(spread, "_k").withColumn("contradicted", F.coalesce("_c", F.lit(False)) & F.col("_v").isNotNull()).drop("_k", "_v", "_c")
 
 
+def _said(cards: list[tuple[str, list[str]]], haystack: Column) -> list[Column]:
+    """Whether an alias of each card stands in the haystack, which is lower case. An alias that holds another of its card adds nothing."""
+    needed = lambda aliases: [a for n, a in enumerate(aliases) if not any(b in a and (b != a or m < n) for m, b in enumerate(aliases))]
+    return [reduce(or_, (F.contains(haystack, F.lit(a)) for a in needed([a.lower() for a in aliases]))) for _, aliases in cards]
+
+
 def alias_matches(facts: DataFrame, cards: list[tuple[str, list[str]]], haystack: Column) -> DataFrame:
     """facts with rule_id, a row for each of the cards (rule_id, aliases) of which an alias stands in the haystack, case
     ignored. The cards are a fixed list, so all are searched in one expression on the row, without a join."""
-    said = [F.when(reduce(or_, (F.contains(F.col("_h"), F.lit(a.lower())) for a in aliases)), F.lit(rule)) for rule, aliases in cards]
+    said = [F.when(here, F.lit(rule)) for here, (rule, _) in zip(_said(cards, F.col("_h")), cards, strict=True)]
     return facts.withColumn("_h", F.lower(haystack)).withColumn("rule_id", F.explode(F.array_compact(F.array(*said)))).drop("_h")
 
 
+def alias_mask(facts: DataFrame, cards: list[tuple[str, list[str]]], haystack: Column) -> DataFrame:
+    """facts with matched, a long whose bit n is set where alias_matches would give a row for card n of at most 63."""
+    if len(cards) > 63:
+        raise ValueError("a mask has room for 63 cards")
+    bits = [F.when(here, F.lit(1 << n).cast("long")).otherwise(F.lit(0).cast("long")) for n, here in enumerate(_said(cards, F.col("_h")))]
+    return facts.withColumn("_h", F.lower(haystack)).withColumn("matched", reduce(Column.bitwiseOR, bits)).drop("_h")
+
+
 def missing_required(present: DataFrame, required: list[str], key: str, per: str) -> DataFrame:
     """(per, key) of the required keys, a fixed list, that a group of present lacks."""
     found = present.groupBy(per).agg(F.collect_set(F.when(F.col(key).isin(required), F.col(key))).alias("_found"))  # at most the fixed list
