@@ -91,6 +91,13 @@ def law_queries(reviews: DataFrame, findings: DataFrame, review: str) -> DataFra
     return asked.unionByName(none.select(review, F.lit(BASELINE[0]).alias("rule_id"), F.lit(BASELINE[1]).alias("query")))
 
 
+def held_law_queries(held: DataFrame, review: str) -> DataFrame:
+    """What law_queries gives, from reviews that hold their findings (review, found), one a rule at most; nothing is shuffled."""
+    baseline = F.struct(F.lit(BASELINE[0]).alias("rule_id"), F.lit(BASELINE[1]).alias("query"))
+    asked = F.transform("found", lambda f: F.struct(f["rule_id"].alias("rule_id"), f["query"].alias("query")))
+    return held.select(review, F.inline(F.when(F.size("found") > 0, asked).otherwise(F.array(baseline))))
+
+
 def case_queries(findings: DataFrame, review: str) -> DataFrame:
     """review, rule_id, case_no: the first conflicts of each review, by rule."""
     place = F.row_number().over(Window.partitionBy(review).orderBy("rule_id"))
